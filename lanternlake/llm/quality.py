@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_SEPARATED, Block, PrefixHash, byte_class, materialise, mix64, row_key, text_blocks
+from .shared import SPACE_SEPARATED, Block, PrefixHash, byte_class, materialise, mix64, row_key, text_blocks, with_text
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -184,7 +184,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
         .groupBy("_k1", "_k2")
         .agg(F.first("_removed").alias("_removed"))
     )
-    keyed = docs.select("*", *row_key("doc_id", "source", "text"))
+    keyed = docs.select(F.struct("*").alias("_row"), "text", "source", *row_key("doc_id", "source", "text"))
     remaining = F.array_join(
         F.filter(
             F.split("text", "\n", -1),
@@ -192,8 +192,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
         ),
         "\n",
     )
-    out = keyed.join(rulings, ["_k1", "_k2"])
-    out = out.withColumn("text", F.when(F.size("_removed") > 0, remaining).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.size("_removed") > 0, remaining).otherwise(F.col("text"))
+    out = keyed.join(rulings, ["_k1", "_k2"]).select("_row", text.alias("_kept_text"))
+    return with_text(out, docs)

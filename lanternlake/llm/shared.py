@@ -54,6 +54,17 @@ def row_key(*columns: str) -> list[Column]:
     ]
 
 
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the struct ``_row``, with ``text`` replaced by ``_kept_text``.
+
+    ``n_chars``, where present, is set to the length of the new text.
+    """
+    new = {"text": F.col("_kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_kept_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
+
+
 # --- byte-level text arrays -------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)
