@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontaminate, mixing, quality, simhash, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,37 @@ def op1_quality(spark, sf_dir):
     return quality.op1(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
+def op4_tokens(spark, sf_dir):
+    return tokens.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_urls(spark, sf_dir):
+    return urls.op6(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark, sf_dir):
+    return mixing.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_warc": op3_warc,
+    "op4_tokens": op4_tokens,
+    "op5_decontamination": op5_decontamination,
+    "op6_urls": op6_urls,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
 }
-ORACLES = {}
+ORACLES = {"op3_warc": warc.OP3_SQL, "op6_urls": urls.OP6_SQL}
