@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, tokens, urls, warc
+from . import decontaminate, mixing, quality, secrets, simhash, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark, sf_dir):
     return quality.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark, sf_dir):
+    return secrets.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.op3(table(spark, sf_dir, "pages"))
 
@@ -39,13 +43,19 @@ def op9_mixing(spark, sf_dir):
     return mixing.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_urls": op6_urls,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op3_warc": warc.OP3_SQL, "op6_urls": urls.OP6_SQL}
