@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets, simhash, tokens, toxicity, urls, warc
+from . import decontaminate, extract, mixing, quality, secrets, simhash, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_urls(spark, sf_dir):
     return urls.op6(table(spark, sf_dir, "pages"))
 
 
+def op7_extraction(spark, sf_dir):
+    return extract.op7(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.op8(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_urls": op6_urls,
+    "op7_extraction": op7_extraction,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
