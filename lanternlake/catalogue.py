@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import report_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (report_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
