@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..sources import tables as T
+from ..streaming import replay
 from ..sources.tables import AS_OF, CHAT_SQL, DOCUMENTS_SQL, FEEDBACK_SQL, TOPICS_SQL, USERS_SQL, with_sql
 
 START, END = "2024-01-05", "2024-01-24"
@@ -205,3 +206,9 @@ def document_list(s, d):
 def user_search(s, d):
     hit = F.lower("username").contains("#00000000") | F.lower("email").contains(".0000000")
     return T.users(s, d).filter(~F.col("is_deleted") & hit).select("user_id", "username")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def events_replay(s, d):
+    """Structured Streaming over the event files, to their end. Days are those of the session zone, UTC here."""
+    return replay.replay(s, d)
