@@ -92,8 +92,8 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int
         mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = sorted((r["query_id"], r["vector"]) for r in mine.collect())
         ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
         if len(rows):
+            matrix = np.array([r[1] for r in rows], np.float64)
             shared = spark.sparkContext.broadcast((ids, matrix))
             parts.append(vectors.select(F.col("idx").cast("long"), "vector").mapInArrow(_nearest(shared, k), "query_id long, idx long, dense_score double"))
     if not parts:

@@ -31,9 +31,8 @@ def valid_name(name: Column, suffix: str = ".pdf") -> Column:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON list; rows of no object in it are left out, and a broken file has none."""
-    rows = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.filter(F.col("_broken").isNull()).drop("_broken")
+    """Rows of a JSON list; what is no object of the schema is left out, and a broken file has none."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
 def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
