@@ -192,3 +192,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     return contamination(packed, benchmark, keep=("row",)).filter("not contaminated").select("keep_row.*")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS run
+  FROM (SELECT *, least(13, len(w)) AS m FROM b WHERE len(w) > 0), unnest(range(1, len(w) - m + 2)) AS u(i)),
+sizes AS (SELECT DISTINCT m FROM iw),
+dw AS (SELECT n, m, i, array_to_string(w[i:i + m - 1], ' ') AS run FROM d, sizes, unnest(range(1, len(w) - m + 2)) AS u(i)),
+hit AS (SELECT n, i, m, item_id FROM dw JOIN iw USING (m, run)),
+words AS (SELECT n, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, 13)) AS v(k) WHERE k < m GROUP BY n),
+items AS (SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)
+"""

@@ -195,3 +195,28 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     text = F.when(F.size("_removed") > 0, remaining).otherwise(F.col("text"))
     out = keyed.join(rulings, ["_k1", "_k2"]).select("_row", text.alias("_kept_text"))
     return with_text(out, docs)
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT n, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+rep AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT n, i, count(*) OVER (PARTITION BY n, run) AS c FROM g), unnest([0, 1, 2]) AS v(k) WHERE c > 1 GROUP BY n),
+l AS (SELECT n, source, t, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT n, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+worded AS (SELECT *, len(string_split(norm, ' ')) AS words FROM l WHERE norm <> ''),
+dup AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY n),
+host AS (SELECT source, greatest(30, 0.02 * count(DISTINCT t)) AS most FROM d GROUP BY source),
+frequent AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM worded GROUP BY 1, 2) c
+  JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE docs > most),
+left_ AS (SELECT n, CAST(sum(CASE WHEN f.norm IS NULL THEN words ELSE 0 END) AS BIGINT) AS words_left
+  FROM worded x LEFT JOIN frequent f ON x.norm = f.norm AND x.source IS NOT DISTINCT FROM f.source GROUP BY n),
+base AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words_left, 0) AS words_left
+  FROM d JOIN w USING (n) LEFT JOIN rep USING (n) LEFT JOIN dup USING (n) LEFT JOIN left_ USING (n))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.5 * n_words AS kept FROM base
+"""

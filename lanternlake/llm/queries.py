@@ -63,4 +63,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op3_warc": warc.OP3_SQL, "op6_urls": urls.OP6_SQL}
+ORACLES = {"op1_quality": quality.OP1_SQL, "op5_decontamination": decontaminate.OP5_SQL, "op3_warc": warc.OP3_SQL, "op6_urls": urls.OP6_SQL}
