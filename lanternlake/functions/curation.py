@@ -137,3 +137,24 @@ def procedural_overview(question_folded: Column, answer_folded: Column) -> Colum
         asks = asks | question_folded.contains(phrase)
     steps = F.regexp_extract_all(answer_folded, F.lit(r"(?m)(?:^|\n)\s*(?:buoc\s*)?(\d+)\s*[.):]"), 1)
     return ~one_step & asks & (F.size(F.array_distinct(steps)) >= 2)
+
+
+def question_with_image(question: Column, image_text: Column, valid: Column) -> Column:
+    """The question and what an image adds to it, without empty parts; an image that is not valid adds nothing."""
+    part = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.concat_ws("\n", part(question), F.when(valid, part(image_text)))
+
+
+def size_label(size: Column) -> Column:
+    """Bytes as B, KB or MB with one decimal."""
+    kb, mb = size / 1024, size / 1048576
+    return (
+        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+        .when(size < 1048576, F.concat(F.format_number(kb, 1), F.lit(" KB")))
+        .otherwise(F.concat(F.format_number(mb, 1), F.lit(" MB")))
+    )
+
+
+def axis_label(day: Column, group: str) -> Column:
+    """Short label of a bucket on a chart axis."""
+    return F.date_format(day, {"day": "dd/MM", "week": "dd/MM", "month": "MM/yyyy", "year": "yyyy"}[group])

@@ -59,6 +59,12 @@ def clean_page(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
 
 
+def page_text(text: Column) -> Column:
+    """Raw page text with plain spaces, pairs of line feeds as one (in a single pass), stripped."""
+    plain = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\n\n"), F.lit("\n"))
+    return F.regexp_replace(plain, r"(?U)\A\s+|\s+\z", "")
+
+
 def channel_tokens(text: Column) -> Column:
     """Bag of lexical tokens of two or more characters, as written (``raw:``) and folded (``fold:``)."""
     cut = lambda t, name: F.transform(

@@ -215,3 +215,19 @@ def session_history(chats: DataFrame) -> DataFrame:
     )
     rows = chats.filter(~F.col("is_deleted")).select("session_id", "id", "created_at", turns.alias("t"))
     return rows.filter((F.col("t.n") == 0) | (F.coalesce("t.content", F.lit("")) != "")).select("session_id", "id", "created_at", "t.n", "t.role", "t.content")
+
+
+def is_last_admin(users: DataFrame, user_id: int) -> DataFrame:
+    """Whether no other live admin remains without a user."""
+    others = users.filter((F.col("role") == "admin") & ~F.col("is_deleted") & (F.col("user_id") != user_id))
+    return others.agg((F.count("*") == 0).alias("last_admin"))
+
+
+def activity(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """Activity rows with the given columns as JSON."""
+    return rows.select("user_id", F.lit(kind).alias("activity_type"), F.to_json(F.struct(*columns)).alias("metadata"))
+
+
+def names_differ(names: DataFrame, column: str = "file_name") -> DataFrame:
+    """Whether all names of a batch differ without case."""
+    return names.agg((F.count(column) == F.countDistinct(F.lower(column))).alias("unique"))

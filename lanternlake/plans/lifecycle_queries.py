@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle as L
+from ..functions import curation
+from ..operators import evidence, lifecycle as L
 from ..sources import tables as T
 from ..sources.tables import AS_OF, CHAT_SQL, DOCUMENTS_SQL, FEEDBACK_SQL, SESSIONS_SQL, USERS_SQL, with_sql
 
@@ -220,3 +221,55 @@ def feedback_latest(s, d):
 )
 def session_history(s, d):
     return L.session_history(T.chat_logs(s, d)).drop("created_at")
+
+
+@query(f"{with_sql(USERS_SQL)} SELECT count(*) = 0 AS last_admin FROM users WHERE role = 'admin' AND NOT is_deleted AND user_id <> 3")
+def last_admin_guard(s, d):
+    return L.is_last_admin(T.users(s, d), 3)
+
+
+@query(f"{D} SELECT status, CAST(sum(file_size) AS BIGINT) AS bytes, count(*) AS files FROM stored GROUP BY status")
+def storage_totals(s, d):
+    return T.catalogue_documents(s, d).groupBy("status").agg(F.sum("file_size").alias("bytes"), F.count("*").alias("files"))
+
+
+@query(f"{D} SELECT id, CASE WHEN file_size < 1024 THEN file_size || ' B' ELSE format('{{:.1f}} KB', file_size / 1024) END AS label FROM stored WHERE file_size < 1048576")
+def size_labels(s, d):
+    small = T.catalogue_documents(s, d).filter("file_size < 1048576")
+    return small.select("id", curation.size_label(F.col("file_size")).alias("label"))
+
+
+@query(f"{CS} SELECT count(*) AS batches FROM (SELECT batch_id FROM chat_logs WHERE is_deleted GROUP BY 1 HAVING bool_and(deleted_by = user_id))")
+def self_service_batches(s, d):
+    batches = L.trash_batches(T.chat_logs(s, d), T.sessions(s, d))
+    return batches.agg(F.count_if(F.col("deletion_source") == "self_service").alias("batches"))
+
+
+@query("SELECT user_id, 'question' AS activity_type, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS metadata FROM events")
+def activity_log(s, d):
+    return L.activity(T.read(s, d, "events"), "question", "event_id", "event_type")
+
+
+@query(f"{D} SELECT count(file_name) = count(DISTINCT lower(file_name)) AS unique FROM stored")
+def batch_names_unique(s, d):
+    return L.names_differ(T.catalogue_documents(s, d))
+
+
+@query("SELECT 'src' || n_nationkey AS source FROM nation INTERSECT SELECT source FROM documents")
+def selected_available(s, d):
+    chosen = T.read(s, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return chosen.intersect(T.read(s, d, "documents").select("source"))
+
+
+@query(f"{CS} SELECT session_id, title FROM sessions WHERE NOT is_deleted AND user_id = 7 AND contains(lower(title), '-01-1') ORDER BY updated_at DESC")
+def session_search(s, d):
+    mine = T.sessions(s, d).filter(~F.col("is_deleted") & (F.col("user_id") == 7) & F.lower("title").contains("-01-1"))
+    return mine.orderBy(F.desc("updated_at")).select("session_id", "title")
+
+
+def unique_pages(s, d):
+    hashes = [(1, 0, 0), (1, 1, 0b111), (1, 2, (1 << 20) - 1), (1, 3, -1), (2, 0, 5), (2, 1, 5)]
+    return evidence.unique_pages(s.createDataFrame(hashes, "answer_id long, position int, phash long"))
+
+
+QUERIES["unique_pages"] = unique_pages
