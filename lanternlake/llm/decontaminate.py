@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import ALNUM, Block, PrefixHash, text_blocks
+from .shared import ALNUM, Block, PrefixHash, map_texts, text_blocks
 
 WINDOW = 13
 #: Benchmark text that is searched at a time; its windows are broadcast, and more takes more passes.
 BENCHMARK_BYTES = 32 << 20
 #: Bytes of training text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SPANS = "array<struct<w0:bigint,w1:bigint,c0:bigint,c1:bigint>>"
 
 
@@ -168,7 +168,7 @@ def contamination(
         last = k == passes - 1
         kept = [f for f in rows.schema.fields if f.name != "text" or not last]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(phrases), shard_bytes, last), schema)
+        rows = map_texts(rows, _pass(spark.sparkContext.broadcast(phrases), shard_bytes, last), schema)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["w1"] - s["w0"])
     rows = rows.withColumn("n_hit", hit)
     return rows.select(

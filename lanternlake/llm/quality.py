@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_SEPARATED, Block, PrefixHash, byte_class, materialise, mix64, row_key, text_blocks, with_text
+from .shared import SPACE_SEPARATED, Block, PrefixHash, byte_class, map_texts, materialise, mix64, row_key, text_blocks, with_text
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,14 +106,15 @@ def line_statistics(docs: DataFrame) -> DataFrame:
             (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("int").alias("w"),
         ),
     )
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").alias("_host"),
         *row_key("doc_id", "source", "text"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"),
         F.coalesce(hashed, F.array().cast("array<struct<h:bigint,w:int>>")).alias("_lines"),
         "text",
-    ).mapInArrow(_with_base, schema)
+    )
+    return map_texts(rows, _with_base, schema)
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Block, byte_class, text_blocks, with_text
+from .shared import LOWER, Block, byte_class, map_texts, text_blocks, with_text
 
 # Fixed patterns of the contract, on UTF-8 bytes, where letters without case are ASCII only.
 KINDS = ("assign", "access", "hex", "learned")
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_findings: int
     if count > sample_docs:
         share = int(sample_docs / count * 1_000_000)
         texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share)
-    rows = texts.mapInArrow(_labelled, "secret boolean, window binary").distinct()
+    rows = map_texts(texts, _labelled, "secret boolean, window binary").distinct()
     take = lambda secret: rows.filter(F.col("secret") == secret).orderBy(F.xxhash64("window"), "window").limit(sample_findings)
     found = take(True).union(take(False)).collect()
     network = Network()
@@ -256,7 +256,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     network = docs.sparkSession.sparkContext.broadcast(learn(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep), "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_scan(network), f"{schema}, found {FOUND}")
+    return map_texts(rows, _scan(network), f"{schema}, found {FOUND}")
 
 
 def _listing(spans) -> F.Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         context_folder = spark.sparkContext.getCheckpointDir()
         if context_folder:
-            return context_folder
+            return re.sub(r"^file:/(?=[^/])", "file:///", context_folder)
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lanternlake-")
@@ -54,6 +55,22 @@ def row_key(*columns: str) -> list[Column]:
     ]
 
 
+#: Rows of an Arrow batch for tables with texts.
+BATCH_ROWS = 512
+
+
+def map_texts(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches.
+
+    Arrow holds a batch outside the heap on both sides of the pipe and bounds it by rows only, so a
+    session with larger batches is set to BATCH_ROWS, which rows of several KB need.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        rows.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` from the struct ``_row``, with ``text`` replaced by ``_kept_text``.
 
@@ -120,7 +137,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def text_blocks(column: pa.Array, block_bytes: int = 1 << 22) -> Iterator[tuple[int, int, list[bytes]]]:
+def text_blocks(column: pa.Array, block_bytes: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of whole rows of about ``block_bytes`` (first row, last row + 1, texts); null gives b''.
 
     A row longer than that stands alone, so memory follows the longest text and not the batch.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SPACE_SEPARATED, Block, materialise, row_key, text_blocks
+from .shared import SPACE_SEPARATED, Block, map_texts, materialise, row_key, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -75,9 +75,8 @@ def _fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, content key and fingerprint ``_fp`` (long) of every row; a null or empty text gives zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, _k1 long, _k2 long, _fp long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
+    return map_texts(rows, _fingerprint_batches, "doc_id long, _k1 long, _k2 long, _fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_blocks
+from .shared import map_texts, text_blocks
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -258,7 +258,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = TOKEN_LIMIT)
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         "text",
     )
-    counted = rows.mapInArrow(_count(model), "doc_id long, n_bytes long, n_tokens long")
+    counted = map_texts(rows, _count(model), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Block, PrefixHash, byte_class, text_blocks
+from .shared import ALNUM, Block, PrefixHash, byte_class, map_texts, text_blocks
 
 #: Rows that the fit may use: labelled toxic, labelled clean, and the longest text in characters.
 MAX_TOXIC = 2500
@@ -253,7 +253,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")
     schema = "doc_id long, held_out boolean, score double, offending array<struct<start:bigint,end:bigint,score:double>>"
-    scored = rows.mapInArrow(_score(model, threshold), schema)
+    scored = map_texts(rows, _score(model, threshold), schema)
     return scored.select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending"
     )

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir
+from .shared import map_texts, materialise, shared_dir
 
 #: Payloads below this size are never revisits.
 MIN_REVISIT = 1000
@@ -181,7 +181,7 @@ def write_monolithic(records: DataFrame, folder: str, roll: int = ARCHIVE_BYTES)
     fs, root = _filesystem(folder)
     fs.create_dir(root)
     rows = records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    return materialise(rows.mapInArrow(_write_monolithic(folder, roll), "path string, records long"), "warc-listing")
+    return materialise(map_texts(rows, _write_monolithic(folder, roll), "path string, records long"), "warc-listing")
 
 
 def normalise(listing: DataFrame, folder: str) -> DataFrame:
