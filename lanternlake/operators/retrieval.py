@@ -175,6 +175,13 @@ def roll_up(children: DataFrame) -> DataFrame:
     return p.withColumn("parent_rank", F.row_number().over(order))
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(id, class_id) of all ids in ``sets`` (id, tokens): ids with equal sets share the smallest of them."""
+    keyed = sets.select("id", F.xxhash64(F.array_sort("tokens")).alias("h"), F.size("tokens").alias("n"), F.hash(F.array_sort("tokens")).alias("g"))
+    least = keyed.groupBy("h", "n", "g").agg(F.min("id").alias("class_id"))
+    return keyed.join(least, ["h", "n", "g"]).select("id", "class_id")
+
+
 def similar_sets(sets: DataFrame, threshold: float = 0.78) -> DataFrame:
     """Pairs (left, right, jaccard) of ids in ``sets`` (id, tokens) at a Jaccard similarity of ``threshold``.
 

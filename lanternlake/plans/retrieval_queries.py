@@ -195,6 +195,13 @@ def near_dup_pairs(s, d):
     return retrieval.similar_sets(sets).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(f"WITH {SETS.replace('min(doc_id) AS id', 'list(doc_id) AS ids, min(doc_id) AS class_id')} SELECT unnest(ids) AS id, class_id FROM sets")
+def near_dup_classes(s, d):
+    """Membership of all documents in the classes that near_dup_pairs links."""
+    words = F.array_distinct(F.regexp_extract_all(text.fold_ws("text"), F.lit(text.WORDS), 0))
+    return retrieval.set_classes(read(s, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")))
+
+
 WORD_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
