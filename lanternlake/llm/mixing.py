@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WORD, materialise, row_key
@@ -12,9 +13,12 @@ from .shared import WORD, materialise, row_key
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is used at most so many times.
 MAX_USES = 3
-#: Output shards: one for about so many words, at most MAX_SHARDS.
-SHARD_WORDS = 250_000
-MAX_SHARDS = 4096
+#: Output shards: one for about so many words. The tree of a source ends in groups of about GROUP_WORDS,
+#: each of which belongs to one output shard or to a run of them; both are at most MAX_PARTS. A document counts
+#: as ten words more there, so that many empty ones are dealt too.
+SHARD_WORDS = 1_000_000
+GROUP_WORDS = 100_000
+MAX_PARTS = 1 << 18
 #: Sources are listed on the driver and broadcast; more of them than this is an error.
 MAX_SOURCES = 100_000
 #: Words in a block, the unit of quotas; a source has at most 2**28 blocks.
@@ -42,7 +46,7 @@ def targets(sizes: list[float], weights=WEIGHTS, max_uses: float = MAX_USES) ->
 
 
 def split_quota(blocks: np.ndarray, quota: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks drawn of each shard when ``quota`` of all ``blocks`` are drawn without replacement.
+    """Blocks drawn of each part when ``quota`` of all ``blocks`` are drawn without replacement.
 
     A node of the tree splits its quota between its two halves by one hypergeometric draw.
     """
@@ -63,26 +67,55 @@ def split_quota(blocks: np.ndarray, quota: int, rng: np.random.Generator) -> np.
 
 def _quotas(seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
+        group = group.sort_values("part")
         source, rest = int(group["sid"].iloc[0]), float(group["rest"].iloc[0])
         words = group["words"].to_numpy(np.int64)
         unit = max(BLOCK_WORDS, -(-int(words.sum()) // (1 << 28)))
         blocks = -(-words // unit)
         drawn = split_quota(blocks, round(rest / max(1, words.sum()) * blocks.sum()), np.random.default_rng([seed, source]))
         quota = words * (drawn / np.maximum(blocks, 1))
-        return pd.DataFrame({"sid": group["sid"], "shard": group["shard"], "quota": quota})
+        return pd.DataFrame({"sid": group["sid"], "part": group["part"], "quota": quota})
 
     return run
 
 
+def fill(words: np.ndarray, quota: float) -> np.ndarray:
+    """Which documents, in permuted order, make up a quota of words.
+
+    Each that still fits is taken; at last the one document is moved, in or out, that brings the words
+    nearest.
+    """
+    taken, used = np.zeros(len(words), bool), 0
+    for i, w in enumerate(words.tolist()):
+        if w and used + w <= quota:
+            taken[i] = True
+            used += w
+    change = np.where(taken, -words, words)
+    nearest = int(np.abs(quota - used - change).argmin()) if len(words) else 0
+    if len(words) and words[nearest] and abs(quota - used - change[nearest]) < abs(quota - used):
+        taken[nearest] = not taken[nearest]
+    return taken
+
+
+def _draw(part: pa.Table) -> pa.Table:
+    part = part.sort_by([("turn", "ascending"), ("_k1", "ascending"), ("_k2", "ascending")])
+    taken = fill(part.column("words").to_numpy(), part.column("quota")[0].as_py())
+    return part.drop_columns(["words", "quota"]).append_column("extra", pa.array(taken.astype(np.int32)))
+
+
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def plan_mix(docs: DataFrame, weights=WEIGHTS, max_uses: int = MAX_USES, seed: int = SEED) -> DataFrame:
     """Content key, doc_id, size, source_size, target, shard, copies and shuffle key of every distinct row.
 
     ``n`` counts equal rows of ``docs``, which share a decision. A null text has size 0, a null source
     comes last, an empty table gives no rows. Every source is used whole ``target // source_size`` times;
-    the rest of its target is a quota of blocks that the tree splits among the output shards. A shard
-    takes its documents in permuted order up to its quota, and then moves the one document that brings
-    its words nearest. The draws depend on the seed and the rows only.
+    the rest of its target is a quota of blocks that the tree splits among runs of output shards, down to
+    parts of about GROUP_WORDS of the source. A part takes its documents in permuted order up to its quota,
+    then moves the one document that brings its words nearest, and deals them to its shards. The draws
+    depend on the seed and the rows only.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -95,46 +128,45 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_uses: int = MAX_USES, seed: i
         ),
         "mix-sizes",
     )
-    by_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    by_source = rows.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("rows")
+    )
     listed = by_source.limit(MAX_SOURCES + 1).collect()
     if len(listed) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     listed.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     wanted = targets([r["words"] for r in listed], weights, max_uses)
-    shards = min(MAX_SHARDS, max(1, -(-sum(r["words"] for r in listed) // SHARD_WORDS)))
+    parts = lambda words, size: min(MAX_PARTS, max(1, -(-words // size)))
+    shards = parts(sum(r["words"] for r in listed), SHARD_WORDS)
     table = []
     for i, (r, target) in enumerate(zip(listed, wanted)):
         whole = int(min(max_uses, target // r["words"])) if r["words"] else 0
-        table.append((i, r["source"], r["words"], target, whole, max(0.0, target - whole * r["words"])))
+        rest = max(0.0, target - whole * r["words"])
+        table.append((i, r["source"], r["words"], target, whole, rest, parts(r["words"] + 10 * r["rows"], GROUP_WORDS)))
     sources = spark.createDataFrame(
-        table, "sid int, source string, source_size long, target double, whole int, rest double"
+        table, "sid int, source string, source_size long, target double, whole int, rest double, parts int"
     )
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select(
-        "_k1", "_k2", "doc_id", "size", "n", "sid", "source_size", "target", "whole", "rest",
-        F.pmod(F.xxhash64("_k1", "_k2", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"),
+        "_k1", "_k2", "doc_id", "size", "n", "sid", "source_size", "target", "whole", "rest", "parts",
+        F.pmod(F.xxhash64("_k1", "_k2", F.lit(seed)), F.col("parts")).cast("int").alias("part"),
         F.xxhash64("_k2", "_k1", F.lit(seed + 1)).alias("turn"),
     )
-    held = placed.filter("rest > 0").groupBy("sid", "shard").agg(
+    # A part covers this run of output shards, within which a document has a place by chance.
+    place = F.pmod(F.xxhash64("turn"), F.lit(1 << 30)) / (1 << 30)
+    shard = F.floor((F.col("part") + place) * shards / F.col("parts")).cast("int")
+    held = placed.filter("rest > 0").groupBy("sid", "part").agg(
         F.sum(F.col("size") * F.col("n")).alias("words"), F.first("rest").alias("rest")
     )
     quotas = materialise(
-        held.groupBy("sid").applyInPandas(_quotas(seed), "sid int, shard int, quota double"), "mix-quotas"
+        held.groupBy("sid").applyInPandas(_quotas(seed), "sid int, part int, quota double"), "mix-quotas"
     )
-    drawn = placed.join(quotas, ["sid", "shard"], "left").withColumn("quota", F.coalesce("quota", F.lit(0.0)))
-    group = Window.partitionBy("sid", "shard")
-    words = F.col("size") * F.col("n")
-    turn = group.orderBy("turn", "_k1", "_k2")
-    upto = F.sum(words).over(turn.rowsBetween(Window.unboundedPreceding, 0))
-    drawn = drawn.withColumn("extra", ((upto - words / 2) <= F.col("quota")) & (F.col("quota") > 0) & (words > 0))
-    drawn = drawn.withColumn("gap", F.col("quota") - F.sum(F.when(F.col("extra"), words).otherwise(0)).over(group))
-    after = F.abs(F.col("gap") - F.when(F.col("extra"), -words).otherwise(words))
-    drawn = drawn.withColumn("after", after)
-    nearest = F.row_number().over(group.orderBy("after", "turn", "_k1", "_k2"))
-    moved = (nearest == 1) & (F.col("after") < F.abs("gap")) & (words > 0) & (F.col("quota") > 0)
-    drawn = drawn.withColumn("moved", moved)
-    copies = F.col("whole") + (F.col("extra") != F.col("moved")).cast("int")
+    drawn = placed.join(quotas, ["sid", "part"]).withColumn("words", F.col("size") * F.col("n"))
+    drawn = drawn.groupBy("sid", "part").applyInArrow(_draw, f"{_types(placed)}, extra int")
+    resting = placed.join(quotas, ["sid", "part"], "left_anti").select(*placed.columns, F.lit(0).alias("extra"))
+    drawn = drawn.select(*placed.columns, "extra").union(resting)
+    copies = F.col("whole") + F.col("extra")
     return drawn.select(
-        "_k1", "_k2", "doc_id", "size", "n", "source_size", "target", "shard", "turn", copies.alias("copies")
+        "_k1", "_k2", "doc_id", "size", "n", "source_size", "target", shard.alias("shard"), "turn", copies.alias("copies")
     )
 
 

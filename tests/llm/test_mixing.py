@@ -27,7 +27,8 @@ def test_splitting_tree():
 
 
 def test_contract(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(mixing, "GROUP_WORDS", 1000)
     rows, df = table(spark)
     df = df.withColumn("size", F.lit(1))
     got = mixing.op9(df).collect()
