@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +152,15 @@ class Findings:
         digits, letters = (np.concatenate(([0], np.cumsum(t[block.raw]))) for t in (DIGIT, LETTER))
         mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
         self.other = []
+        covers: dict[int, tuple[list[int], list[int]]] = {}
+        for i, spans in self.base.items():
+            spans.sort()
+            covers[i] = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
         for i, s, e in zip(owners[mixed].tolist(), starts[mixed].tolist(), ends[mixed].tolist()):
             a, b = s - int(block.starts[i]), e - int(block.starts[i])
-            if not any(x < b and a < y for x, y, _ in self.base.get(i, ())):
+            begins, furthest = covers.get(i, ((), ()))
+            before = bisect_left(begins, b)
+            if not before or furthest[before - 1] <= a:
                 self.other.append((i, a, b))
 
     def windows(self, spans: list[tuple[int, int, int]]) -> np.ndarray:
