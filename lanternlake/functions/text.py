@@ -13,11 +13,23 @@ WORDS = r"(?U)\w+"
 LEXICAL = r"(?U)\w+(?:[-_.]\w+)*"
 
 
+class _Bare(dict):
+    """Translation table that drops combining marks and writes đ as d; filled as characters are met."""
+
+    def __missing__(self, point: int):
+        c = chr(point)
+        self[point] = None if unicodedata.category(c) == "Mn" else {"đ": "d", "Đ": "D"}.get(c, c)
+        return self[point]
+
+
+_BARE = _Bare()
+
+
 def fold(text: str | None) -> str:
     """Without combining marks, đ as d, caseless; white space stays."""
-    decomposed = unicodedata.normalize("NFD", text or "")
-    bare = "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
-    return bare.replace("đ", "d").replace("Đ", "D").casefold()
+    if not text or text.isascii():
+        return (text or "").lower()
+    return unicodedata.normalize("NFD", text).translate(_BARE).casefold()
 
 
 def squeeze(text: str) -> str:
