@@ -33,7 +33,7 @@ def brute_components(rows):
 def test_contract_matches_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog while seven grey owls watch from a tall pine tree " * 4
     rows = [(i, base + f"ending {i}") for i in range(12)]
-    rows += [(20, None), (21, ""), (22, "  \n\t"), (23, "One"), (24, "one"), (25, "two  words"), (26, "TWO words"), (40, "long text " * 20_000)]
+    rows += [(20, None), (21, ""), (22, "  \n\t"), (23, "One"), (24, "one"), (25, "two  words"), (26, "TWO words"), (50, "long text " * 20_000)]
     rows += [(30 + i, f"text number {i} is about {i * 7} other things entirely and has {i} items") for i in range(15)]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("fingerprint", F.lit(1))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8(df).collect()}
