@@ -27,18 +27,27 @@ class Phrases:
     def __init__(self, ids: list[str], texts: list[bytes], window: int = WINDOW):
         block = Block(texts, ALNUM, lower=True)
         words = PrefixHash(block.raw).spans(block.word_starts, block.word_ends)
-        self.words, number = np.unique(words, return_inverse=True)
-        number = number.reshape(-1) + 1
-        held: dict[tuple, set[int]] = {}
-        for i, (a, b) in enumerate(zip(block.word_offsets[:-1].tolist(), block.word_offsets[1:].tolist())):
-            for at in range(a, max(a, b - window) + 1) if b > a else ():
-                held.setdefault(tuple(number[at : min(at + window, b)].tolist()), set()).add(i)
         self.ids = ids
-        self.items = [sorted(v) for v in held.values()]
-        self.lengths = np.array([len(k) for k in held], np.int64)
-        self.patterns = np.zeros((len(held), window), np.int64)
-        for row, key in enumerate(held):
-            self.patterns[row, : len(key)] = key
+        self.words, number = np.unique(words, return_inverse=True)
+        #: Word numbers of all items; window k is ``flat[starts[k] : starts[k] + lengths[k]]``.
+        self.flat = (number.reshape(-1) + 1).astype(np.int32)
+        sizes = block.n_words
+        count = np.where(sizes > 0, np.maximum(sizes - window, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        starts = block.word_offsets[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        lengths = np.minimum(sizes, window)[owner]
+        keys, first, same = np.unique(
+            PrefixHash(self.flat).spans(starts, starts + lengths), return_index=True, return_inverse=True
+        )
+        self.starts, self.lengths = starts[first], lengths[first]
+        held = np.unique(same.reshape(-1) * max(1, len(sizes)) + owner)
+        #: Items that hold window k: ``holders[bounds[k] : bounds[k + 1]]``.
+        self.holders = held % max(1, len(sizes))
+        self.bounds = np.searchsorted(held // max(1, len(sizes)), np.arange(len(keys) + 1))
+
+    def items(self, window: int) -> list[str]:
+        """Ids of the items that hold a window."""
+        return [self.ids[i] for i in self.holders[self.bounds[window] : self.bounds[window + 1]].tolist()]
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, 0 for a word of no window."""
@@ -55,7 +64,7 @@ def occurrences(block: Block, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
     one separator each in the indexed sequence.
     """
     none = np.zeros(0, np.int64)
-    if not len(phrases.patterns) or not len(block.word_starts):
+    if not len(phrases.starts) or not len(block.word_starts):
         return none, none, none
     number = phrases.number(PrefixHash(block.raw).spans(block.word_starts, block.word_ends))
     n = len(number)
@@ -67,7 +76,7 @@ def occurrences(block: Block, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
     keep[-1] = True
     text, word = text[keep], word[keep]
     index = FMIndex(text)
-    low, high = index.search(phrases.patterns, phrases.lengths)
+    low, high = index.search(phrases.flat, phrases.starts, phrases.lengths)
     count = np.where(phrases.lengths > 0, np.maximum(high - low, 0), 0)
     window = np.repeat(np.arange(len(count)), count)
     rows = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + low[window]
@@ -100,7 +109,7 @@ def scan(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int, li
         for t, k, a, b in zip(owner[by].tolist(), window[by].tolist(), first[by].tolist(), last[by].tolist()):
             c0, c1 = int(chars[block.word_starts[a]] - base[t]), int(chars[block.word_ends[b - 1]] - base[t])
             spans.setdefault(t, []).append((a - int(offset[t]), b - int(offset[t]), c0, c1))
-            items.setdefault(t, set()).update(phrases.ids[i] for i in phrases.items[k])
+            items.setdefault(t, set()).update(phrases.items(k))
     return block.n_words, {t: _merge(s) for t, s in spans.items()}, items
 
 

@@ -88,17 +88,19 @@ class FMIndex:
             start = np.where(bit, zeros + ones[start], start - ones[start])
         return row - start
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix rows [low, high) of each pattern, given left-aligned in a matrix with its length."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        # A symbol that the text lacks may lie above the levels of the tree.
-        alive = np.flatnonzero((lengths > 0) & (patterns.max(axis=1, initial=0) < 1 << self.levels))
-        high[np.setdiff1d(np.arange(len(patterns)), alive)] = 0
-        for back in range(1, patterns.shape[1] + 1):
+    def search(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix rows [low, high) of each pattern ``flat[start : start + length]``."""
+        low, high = np.zeros(len(starts), np.int64), np.where(lengths > 0, self.n, 0).astype(np.int64)
+        alive = np.flatnonzero(lengths > 0)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             alive = alive[lengths[alive] >= back]
             if not len(alive):
                 break
-            symbol = patterns[alive, lengths[alive] - back]
+            symbol = flat[starts[alive] + lengths[alive] - back].astype(np.int64)
+            # A symbol that the text lacks may lie above the levels of the tree.
+            known = symbol < 1 << self.levels
+            high[alive[~known]] = low[alive[~known]]
+            alive, symbol = alive[known], symbol[known]
             both = self.rank(np.tile(symbol, 2), np.concatenate((low[alive], high[alive])))
             base = self.counts[symbol]
             low[alive], high[alive] = base + both[: len(alive)], base + both[len(alive) :]
