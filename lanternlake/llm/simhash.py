@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups through pivot distance tables."""
+"""SimHash groups through pivot distance tables, and groups of texts by the true similarity of their shingles."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SPACE_SEPARATED, Block, map_texts, materialise, row_key, text_blocks
+from .shared import SPACE_SEPARATED, Block, PrefixHash, map_texts, materialise, row_key, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -20,6 +20,10 @@ PIVOTS = 24
 TILE = 1024
 #: Two fingerprints with at most two differing bits agree in at least two of these four 16-bit bands.
 BAND_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+#: Texts whose sets of runs of so many words have at least this Jaccard similarity are near copies in the pipeline.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Texts and shingles of them from which the common shingles are known; they set an order and lose no pair.
+SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
 
 
 def pivot_fingerprints(count: int = PIVOTS) -> np.ndarray:
@@ -178,13 +182,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")
-    groups = connected_components(materialise(links(distinct), "fingerprint-links"))
+    return _with_component(prints, distinct, connected_components(materialise(links(distinct), "fingerprint-links")))
+
+
+def _with_component(prints: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
     named = distinct.join(groups.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn(
         "component", F.coalesce("component", "_fp")
     )
     least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    ids = named.join(least, "component").select("_fp", "component_id")
-    return prints.join(ids, "_fp").select("doc_id", "_k1", "_k2", "_fp", "component_id")
+    ids = named.join(least, "component").select("_fp", "component", "component_id")
+    return prints.join(ids, "_fp").select("doc_id", "_k1", "_k2", "_fp", "component", "component_id")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -192,14 +199,157 @@ def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the runs of ``width`` words of each text; a shorter text is one run."""
+    block = Block(texts, SPACE_SEPARATED, lower=True)
+    words = PrefixHash(PrefixHash(block.raw).spans(block.word_starts, block.word_ends))
+    out = []
+    for a, b in zip(block.word_offsets[:-1].tolist(), block.word_offsets[1:].tolist()):
+        run = min(width, b - a)
+        starts = np.arange(a, b - run + 1) if run else np.zeros(0, np.int64)
+        out.append(np.unique(words.spans(starts, starts + run)))
+    return out
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def _least_common(similarity: float, a: int, b: int) -> int:
+    """Shingles that sets of these sizes must share to be that similar."""
+    return int(np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
+
+
+def _all_shingles(width: int):
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in text_blocks(batch.column(0)):
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    return run
+
+
+def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that several texts of a sample hold."""
+    count = docs.count()
+    texts = docs.select("text").filter(F.col("text").isNotNull())
+    if count > SAMPLE_TEXTS:
+        texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(SAMPLE_TEXTS / count * 1_000_000))
+    held = map_texts(texts.dropDuplicates(["text"]), _all_shingles(width), "s long").groupBy("s").agg(F.count("*").alias("n"))
+    found = held.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
+    hashes, counts = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefixes(shared_common, width: int, similarity: float):
+    def run(batches):
+        common, counts = shared_common.value
+        for batch in batches:
+            rest = batch.drop_columns(["text"])
+            for first, last, texts in text_blocks(batch.column(batch.schema.get_field_index("text"))):
+                keys, sizes, prefixes = [], [], []
+                for hashes in shingle_sets(texts, width):
+                    keys.append(_set_key(hashes))
+                    sizes.append(len(hashes))
+                    rank = np.zeros(len(hashes), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                        rank = np.where(common[at] == hashes, counts[at], 0)
+                    length = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+                    prefixes.append(hashes[np.lexsort((hashes, rank))[:length]].view(np.int64))
+                part = rest.slice(first, last - first)
+                found = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "_fp", "n", "prefix"])
+
+    return run
+
+
+def _texts_by_set(width: int):
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in text_blocks(batch.column(0)):
+                keys = np.array([_set_key(x) for x in shingle_sets(texts, width)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(texts, pa.binary())], ["_fp", "text"])
+
+    return run
+
+
+def _similar(width: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b"))
+            keep = []
+            for x, y in zip(a, b):
+                p, q = shingle_sets([x.as_py(), y.as_py()], width)
+                keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= _least_common(similarity, len(p), len(q)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets that are similar by all their shingles."""
+    pairs = materialise(pairs, "near-candidates")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct(), "near-candidate-sets")
+    texts = map_texts(docs.select("text"), _texts_by_set(width), "_fp long, text binary")
+    texts = materialise(texts.join(wanted, "_fp", "left_semi").dropDuplicates(["_fp"]), "near-candidate-texts")
+    side = lambda s: texts.select(F.col("_fp").alias(s), F.col("text").alias(f"text_{s}"))
+    return map_texts(pairs.join(side("a"), "a").join(side("b"), "b"), _similar(width, similarity), "a long, b long")
+
+
+def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS) -> DataFrame:
+    """Like near_duplicates, with all texts linked whose shingle sets have a Jaccard of ``similarity`` or more.
+
+    Equal sets are collapsed; texts without words are one set. In any one order of all shingles, two such sets
+    share one among the first (1 - similarity) of each, so pairs meet there and none is lost. Rare shingles
+    come first. Each set is compared with the first and last set of every shingle, and only pairs that this
+    leaves in different components are compared further. All links are verified on whole texts.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
+    schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>"
+    prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
+    members = prints.select("_fp", "n", F.explode("prefix").alias("s"))
+    least, most = F.min(F.struct("_fp", "n")), F.max(F.struct("_fp", "n"))
+    heads = members.groupBy("s").agg(least.alias("lo"), most.alias("hi")).filter("lo._fp < hi._fp")
+    heads = materialise(heads, "shared-shingles")
+    shared = materialise(members.join(heads, "s").distinct(), "shared-members")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs that may be similar, by their sizes and the shingles that they share among the first ones."""
+        rest = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1
+        need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
+        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+        counted = pairs.filter(sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        return counted.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
+
+    star = F.explode(F.array("lo", "hi")).alias("h")
+    star = shared.select("_fp", "n", star).filter("_fp <> h._fp").select(F.col("_fp").alias("a"), F.col("h._fp").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
+    edges = materialise(_verified(docs, near(star), width, similarity), "near-links")
+    first = connected_components(edges)
+    placed = shared.select("s", "_fp", "n").join(first.withColumnRenamed("node", "_fp"), "_fp", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "_fp")), "near-members")
+    several = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    open_ = materialise(placed.join(several, "s", "left_semi"), "near-open-members")
+    x = open_.select("s", F.col("_fp").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = open_.select("s", F.col("_fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = x.join(y, "s").filter("a < b and ca <> cb")
+    more = _verified(docs, near(pairs), width, similarity)
+    groups = connected_components(materialise(edges.union(more), "near-links"))
+    distinct = prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"))
+    return _with_component(prints, distinct, groups)
+
+
+def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of its smallest doc_id.
 
     Among rows that share that id, one stays. Rows of a component without any id keep the one with the
     smallest content key.
     """
-    found = near_duplicates(docs)
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_alone")).agg(
+    found = similar_texts(docs, similarity, width)
+    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("component")).alias("_alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("best")
     )
     stay = best.select("best._k1", "best._k2")

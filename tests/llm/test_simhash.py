@@ -63,3 +63,34 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "2", "9", "None"]
     assert simhash.op8(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_by_true_similarity(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"line{j}" for j in range(60)]
+    rows = []
+    for base in range(12):
+        words = [f"w{base}x{j}" for j in range(200)] + (passage if base % 2 else [])
+        for copy in range(8):
+            mine = list(words)
+            for at in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+                mine[at] = f"new{base}y{copy}z{at}"
+            rows.append((len(rows), " ".join(mine)))
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in rows:
+            for j, b in rows[:i]:
+                if i // 8 == j // 8 and root[i] != root[j] and jaccard(a, b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
+    assert got == dict(enumerate(root))
+    assert 12 <= len(set(root)) < 60
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
+    # SimHash at two bits does not see these.
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() > len(set(root))
