@@ -73,6 +73,57 @@ def test_network_adds_and_redacts(spark):
     assert clean[1001].text == corpus()[-1][1]
 
 
+#: Shapes that the network never learns from.
+HELD_OUT = {
+    "uuid": [("", "0123456789abcdef", 8, 8), *[("-", "0123456789abcdef", 4, 4)] * 3, ("-", "0123456789abcdef", 12, 12)],
+    "handle": [("ghp_", secrets.UPPER + secrets.LOWERED + secrets.DIGITS, 36, 36)],
+    "base32": [("", secrets.UPPER + "234567", 26, 40)],
+    "chat": [("xoxb-", secrets.DIGITS, 10, 12), ("-", secrets.DIGITS, 10, 12), ("-", secrets.UPPER + secrets.LOWERED + secrets.DIGITS, 24, 24)],
+    "url-safe": [("", secrets.UPPER + secrets.LOWERED + secrets.DIGITS + "-_", 22, 43)],
+}
+
+
+def test_recall_and_false_findings_on_held_out_shapes():
+    rng = np.random.default_rng(8)
+    syllables = "an ber con de en fla gri hos ing ka lo mun ner or pre qua rit sta tion ul ver wan zer".split()
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 7)))
+    texts = [" ".join(word() for _ in range(300)).encode() for _ in range(60)]
+    found = secrets.Findings(texts)
+    windows = np.unique(found.windows(found.starts, found.ends)[0], axis=0)
+    network = secrets.fit(np.zeros((0, windows.shape[1]), np.uint8), windows[::2])
+    assert network.recall >= 0.95
+    other = windows[1::2]
+    assert (network.probability(other) >= network.threshold).mean() < 0.001
+    for name, shape in HELD_OUT.items():
+        seen = secrets.planted(other[:400], rng, {name: shape})
+        assert (network.probability(seen) >= network.threshold).mean() >= 0.9, name
+
+
+def test_every_candidate_at_full_length():
+    key = "q7Zk2xVb9TfLw4Rn8YcJ5mHs3PdG6aEu"
+    texts = [("/usr/share/" + "word/" * 30 + key).encode(), b"token=abcdefgh/" + key.encode(), b"onlylettersbutlong " + key[:9].encode(), b""]
+    found = secrets.Findings(texts)
+    spans = [texts[int(found.owner(np.array([a]))[0])][a - found.block.starts[found.owner(np.array([a]))[0]] :][: b - a] for a, b in zip(found.starts, found.ends)]
+    assert spans == [texts[0], b"onlylettersbutlong", key[:9].encode()]
+    windows, first = found.windows(found.starts, found.ends)
+    seen = {int(x) for w in windows[: first[1]] for x in w[secrets.INSIDE :]}
+    assert {int(secrets.SYMBOL_OF[c]) for c in key.encode()} <= seen
+    last = bytes((windows[first[1] - 1, secrets.INSIDE :] + 31).astype(np.uint8))
+    assert last == texts[0][-secrets.WITHIN :]
+
+
+def test_long_and_repeated_texts(spark):
+    key = "q7Zk2xVb9TfLw4Rn8YcJ5mHs3PdG6aEu"
+    rows = corpus() + [(2000, "plain words here " * 60_000 + key), (2001, "same " + key), (2001, "same " + key), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)).withColumn("window", F.lit("x"))
+    got = secrets.op2(df).collect()
+    assert len(got) == len(rows)
+    spans = [r.spans for r in got if r.doc_id == 2001]
+    assert spans == ["learned:5:37"] * 2
+    assert [r.spans for r in got if r.doc_id == 2000] == ["learned:1020000:1020032"]
+    assert [r.spans for r in got if r.doc_id is None] == [""]
+
+
 def test_overlaps_are_one(spark):
     text = "x token=" + "0" * 30 + " y"
     df = spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id long, text string")
