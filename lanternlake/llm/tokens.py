@@ -6,9 +6,10 @@ the state of a deterministic transducer over code points. A transition carries t
 number of emitted pieces (negative where a longer piece replaces shorter ones), so that the count of a
 text is the sum over its path. States are compiled as they are first reached.
 
-Pieces never run across the start of a word, so the transducer is reset there. A chunk of text is
-thus a map from its entry state to its exit state that is constant from the first word start on: the
-prefix scan over chunks hands each one the exit state of the last chunk before it.
+Pieces never run across the start of a word, so the transducer is reset there. A chunk of text is a map
+from entry states to exit states and counts. With a word start in it the map is constant from there on.
+The other maps are tabulated for the states that occur, all chunks at a time, and composed by a parallel
+prefix scan, which doubles the chunks that a composed map spans in each step.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MAX_TABLE = 48_000_000
 MAX_STATES = 250_000
 SPACE = "▁"
 _DELTA = 32
+#: Exit states of a stretch without word starts for all of which its chunks are tabulated, where their own do not meet.
+COMMON_STATES = 16
 
 
 class Vocabulary:
@@ -126,7 +129,7 @@ class Transducer:
         if column == self.space and facts[0][1] is not None and not facts[0][1].endswith(SPACE):
             packed = self.step(0, column)
         elif isinstance(symbol, int):
-            packed = self.intern((("", None, 0),)) * 2 * _DELTA + symbol + _DELTA
+            packed = self.pack((("", None, 0),), symbol)
         else:
             for suffix, last, before in facts:
                 piece = suffix + symbol
@@ -137,10 +140,15 @@ class Transducer:
                 raise AssertionError("no piece ends here")
             new = [("", piece, 0)]
             new += [(s + symbol, last, b - delta) for s, last, b in facts if s + symbol in vocabulary.prefixes]
-            packed = self.intern(tuple(new)) * 2 * _DELTA + delta + _DELTA
+            packed = self.pack(tuple(new), delta)
         self.table[state * self.width + column] = packed
         return packed
 
+    def pack(self, facts: tuple, delta: int) -> int:
+        if not -_DELTA <= delta < _DELTA:
+            raise ValueError("a piece of this model replaces more pieces than a transition can hold")
+        return self.intern(facts) * 2 * _DELTA + delta + _DELTA
+
     def intern(self, facts: tuple) -> int:
         if facts not in self.number:
             self.number[facts] = len(self.states)
@@ -183,6 +191,55 @@ class Transducer:
         state[order], count[order] = s, total
         return state, count
 
+    def compose(self, columns, starts, ends, constant, exits, counts) -> None:
+        """Fill in ``exits`` and ``counts`` of the chunks whose maps are not constant.
+
+        A table has a row for each chunk and entry state that occurs, first the state in which the chunk
+        before ends when it is entered anew. Rows name the row of the next chunk that they lead to, and
+        missing rows are added until every row on the path from a known state is there. Which rows those
+        are is found by doubling: after k steps all within 2**k chunks of a known state are marked.
+        """
+        chunks = np.flatnonzero(~constant)
+        if not len(chunks):
+            return
+        evaluate = lambda keys: self.run(columns, starts[keys >> 32], ends[keys >> 32], keys & 0xFFFFFFFF)
+        guess = exits.copy()
+        guess[chunks] = self.run(columns, starts[chunks], ends[chunks], np.zeros(len(chunks), np.int64))[0]
+        keys = (chunks << 32) + guess[chunks - 1]
+        known = keys[constant[chunks - 1]]
+        goes_on = np.append(~constant, False)
+        chain = np.cumsum(constant)
+        to, change = evaluate(keys)
+        turn = 0
+        while True:
+            leads = np.where(goes_on[(keys >> 32) + 1], (((keys >> 32) + 1) << 32) + to, -1)
+            at = np.minimum(np.searchsorted(keys, leads), len(keys) - 1)
+            there = (leads >= 0) & (keys[at] == leads)
+            # A last row that leads to itself stands for the end of a path.
+            jump = np.append(np.where(there, at, len(keys)), len(keys))
+            marked = np.zeros(len(keys) + 1, bool)
+            marked[np.searchsorted(keys, known)] = True
+            for _ in range(int(np.ceil(np.log2(len(chunks) + 1)))):
+                marked[jump[marked]] = True
+                jump = jump[jump]
+            missing = (leads >= 0) & ~there
+            if not (missing & marked[:-1]).any():
+                break
+            more = np.unique(leads[missing])
+            turn += 1
+            if turn > 1:
+                for number in np.unique(chain[more >> 32]).tolist():
+                    mine = chunks[chain[chunks] == number]
+                    states = np.unique(to[chain[keys >> 32] == number])
+                    if len(states) <= COMMON_STATES:
+                        more = np.union1d(more, np.setdiff1d((mine[:, None] << 32) + states, keys))
+            found = evaluate(more)
+            keys = np.concatenate((keys, more))
+            order = np.argsort(keys)
+            keys, to, change = keys[order], np.concatenate((to, found[0]))[order], np.concatenate((change, found[1]))[order]
+        path = np.flatnonzero(marked[:-1])
+        exits[keys[path] >> 32], counts[keys[path] >> 32] = to[path], change[path]
+
     def counts(self, texts: Iterable[str]) -> np.ndarray:
         """Number of pieces of each text."""
         texts = list(texts)
@@ -205,14 +262,8 @@ class Transducer:
         at = np.searchsorted(resets, starts)
         first = np.minimum(np.append(resets, len(columns))[at], ends)
         exits, counts = self.run(columns, first, ends, np.zeros(len(starts), np.int64))
-        # Prefix scan: a map with a word start is constant, so its exit is known. The others wait for
-        # the exit of the chunk before; chunk i of each such row is evaluated in round i.
         constant = first < ends
-        last = np.maximum.accumulate(np.where(constant, np.arange(len(starts)), 0))
-        rounds = np.arange(len(starts)) - last
-        for turn in range(1, int(rounds.max()) + 1):
-            mine = np.flatnonzero(rounds == turn)
-            exits[mine], counts[mine] = self.run(columns, starts[mine], ends[mine], exits[mine - 1])
+        self.compose(columns, starts, ends, constant, exits, counts)
         heads = np.flatnonzero(constant & (first > starts))
         counts[heads] += self.run(columns, starts[heads], first[heads], exits[heads - 1])[1]
         return np.bincount(owner, counts, len(texts)).astype(np.int64)
@@ -251,7 +302,8 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = TOKEN_LIMIT)
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs``; a null text is empty and has none.
 
     ``model`` names a file of the public tokenizers. Other columns are not read; rows repeat as they do
-    in the input; nothing is shuffled.
+    in the input; an empty table gives no rows; a very long text stands in a block of its own and is cut
+    into chunks like any other, with or without spaces; nothing is shuffled.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

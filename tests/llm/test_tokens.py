@@ -35,6 +35,36 @@ def test_chunks_do_not_matter(library, monkeypatch):
     assert machine.counts(texts()).tolist() == [len(x) for x in library.encode(texts())]
 
 
+def test_a_million_characters_without_spaces(library):
+    rng = random.Random(4)
+    words = "the of tion ment heit und que les información straße".split()
+    mixed = "".join(rng.choice(words) for _ in range(250_000))[:1_000_000]
+    odd = "".join(rng.choice("abcdefgh中文字漢é😀") for _ in range(300_000))
+    machine = tokens.Transducer(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
+    assert len(mixed) == 1_000_000
+    for text in (mixed, "a" * 1_000_000, "ab" * 250_000, "abc" * 100_001, odd, "x " + mixed[:5000] + " y" + "-" * 40_000):
+        assert machine.counts([text]).tolist() == [len(library.encode(text))]
+
+
+def test_state_maps_compose(library, monkeypatch):
+    # Tables for the states of a whole stretch, or for none: the same counts.
+    text = ["ab" * 900 + "c" * 700, "the" * 999, "中" * 500 + "aaaa" * 321]
+    want = [len(x) for x in library.encode(text)]
+    monkeypatch.setattr(tokens, "CHUNK", 5)
+    for common in (0, 3, 1000):
+        monkeypatch.setattr(tokens, "COMMON_STATES", common)
+        machine = tokens.Transducer(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
+        assert machine.counts(text).tolist() == want
+
+
+def test_a_change_that_does_not_fit_is_an_error():
+    machine = tokens.Transducer(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
+    with pytest.raises(ValueError):
+        machine.pack((("", None, 0),), 32)
+    with pytest.raises(ValueError):
+        machine.pack((("", None, 0),), -33)
+
+
 def test_contract(spark, library):
     rows = list(enumerate(texts())) + [(900, None), (901, "word " * 5000), (None, "x"), (0, "")]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("n_bytes", F.lit("clash"))
