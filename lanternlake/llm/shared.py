@@ -46,9 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(*columns: str) -> list[Column]:
+def row_key(*columns: str | Column) -> list[Column]:
     """Two independent 64-bit content hashes; equal rows share them, nulls are told from empty values."""
-    parts = [part for c in columns for part in (F.col(c), F.col(c).isNull())]
+    values = [F.col(c) if isinstance(c, str) else c for c in columns]
+    parts = [part for v in values for part in (v, v.isNull())]
     return [
         F.xxhash64(F.lit(1), *parts).alias("_k1"),
         F.xxhash64(F.lit(2), *reversed(parts)).alias("_k2"),
@@ -71,6 +72,12 @@ def map_texts(rows: DataFrame, function, schema: str) -> DataFrame:
     return rows.mapInArrow(function, schema)
 
 
+def all_columns(docs: DataFrame) -> list[Column]:
+    """Every column of ``docs`` in a form that can be hashed; maps are taken as JSON."""
+    quoted = [(F.col(f"`{c.replace('`', '``')}`"), kind) for c, kind in docs.dtypes]
+    return [F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in quoted]
+
+
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` from the struct ``_row``, with ``text`` replaced by ``_kept_text``.
 
