@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +12,9 @@ from .shared import SPACE_SEPARATED, Block, PrefixHash, byte_class, map_texts, m
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A line is boilerplate of its host when more distinct documents of the host hold it than both limits.
+#: A line is boilerplate of its host when more distinct documents of the host hold it than this number and
+#: than the square root of the host's documents, which grows slower than the host.
 MIN_LINE_DOCS = 30
-LINE_SHARE = 0.02
 #: A document is depleted when fewer than this share of its words is left.
 MIN_WORDS_LEFT = 0.5
 
@@ -73,10 +72,25 @@ def base_statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _distinct_lines(lines: pa.ListArray) -> pa.ListArray:
+    """The lines of each row once, with their words in all."""
+    owner = np.repeat(np.arange(len(lines)), np.diff(lines.offsets.to_numpy()))
+    flat = lines.flatten()
+    h, w = flat.field("h").to_numpy(), flat.field("w").to_numpy()
+    order = np.lexsort((h, owner))
+    h, w, owner = h[order], w[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(w, first) if len(first) else w
+    bounds = np.searchsorted(owner[first], np.arange(len(lines) + 1))
+    values = pa.StructArray.from_arrays([pa.array(h[first]), pa.array(sums, pa.int32())], ["h", "w"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
 def _with_base(batches):
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
-        rest = batch.drop_columns(["text"])
+        lines = _distinct_lines(batch.column(batch.schema.get_field_index("_lines")))
+        rest = batch.drop_columns(["text", "_lines"]).append_column("_lines", lines)
         for first, last, texts in text_blocks(text):
             found = base_statistics(texts)
             part = rest.slice(first, last - first)
@@ -95,8 +109,11 @@ def _normalised(line: Column) -> Column:
 
 
 def line_statistics(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, host, content key, base statistics and its hashed lines."""
-    schema = "doc_id long, _host string, _k1 long, _k2 long, _text long, _lines array<struct<h:bigint,w:int>>, "
+    """One row per row of ``docs``: doc_id, host, content key, document, base statistics and its distinct hashed lines.
+
+    Rows with one doc_id are one document; without an id, equal rows are.
+    """
+    schema = "doc_id long, _host string, _k1 long, _k2 long, _doc long, _lines array<struct<h:bigint,w:int>>, "
     schema += ", ".join(f"{c} long" for c in _BASE)
     lines = F.filter(F.transform(F.split("text", "\n", -1), _normalised), lambda x: x != "")
     hashed = F.transform(
@@ -110,22 +127,22 @@ def line_statistics(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").alias("_host"),
         *row_key("doc_id", "source", "text"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"),
+        F.coalesce(F.col("doc_id").cast("long"), row_key("doc_id", "source", "text")[0]).alias("_doc"),
         F.coalesce(hashed, F.array().cast("array<struct<h:bigint,w:int>>")).alias("_lines"),
         "text",
     )
     return map_texts(rows, _with_base, schema)
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """Keys of lines in more than max(min_docs, share * documents of the host) distinct documents of a host.
+def frequent_lines(stats: DataFrame, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
+    """Keys of lines in more than max(min_docs, sqrt(documents of the host)) distinct documents of a host.
 
-    Documents with the same text count once. Counts are partial before each shuffle, so a line that
-    a third of all documents hold costs a row for each task and text.
+    Counts are partial before each shuffle, so a line that a third of all documents hold costs a row for
+    each document once, and one for each task in the count.
     """
-    texts = stats.select("_host", "_text").distinct()
-    limits = texts.groupBy("_host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * share).alias("_limit"))
-    held = stats.select("_host", "_text", F.explode(F.array_distinct("_lines.h")).alias("_line")).distinct()
+    docs = stats.select("_host", "_doc").distinct()
+    limits = docs.groupBy("_host").agg(F.greatest(F.lit(float(min_docs)), F.sqrt(F.count("*"))).alias("_limit"))
+    held = stats.select("_host", "_doc", F.explode("_lines.h").alias("_line")).distinct()
     counts = held.groupBy("_host", "_line").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > min_docs)
     limits = materialise(limits, "line-limits")
     return (
@@ -135,34 +152,29 @@ def frequent_lines(stats: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float
     )
 
 
-def quality_decisions(
-    docs: DataFrame,
-    min_docs: int = MIN_LINE_DOCS,
-    share: float = LINE_SHARE,
-    min_left: float = MIN_WORDS_LEFT,
-) -> DataFrame:
+def quality_decisions(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, min_left: float = MIN_WORDS_LEFT) -> DataFrame:
     """One row per row of ``docs`` with base statistics, ``base_failed``, ``kept`` and removed lines.
 
     ``source`` is the host. A null text has no words and fails; an empty table gives no rows; equal rows
-    get equal decisions; a null host is a host of its own; other columns are not read. ``kept`` is false
-    where the base rules fail or removing frequent lines leaves fewer than ``min_left`` of the words.
+    get equal decisions; a null host is a host of its own; other columns are not read; a very long text
+    costs its lines once, however many of them go. ``kept`` is false where the base rules fail or removing
+    frequent lines leaves fewer than ``min_left`` of the words.
     """
-    stats = line_statistics(docs).persist(StorageLevel.DISK_ONLY)
-    frequent = materialise(frequent_lines(stats, min_docs, share), "frequent-lines")
-    lines = stats.select("_k1", "_k2", F.explode("_lines.h").alias("_line"))
+    stats = materialise(line_statistics(docs), "line-statistics")
+    frequent = materialise(frequent_lines(stats, min_docs), "frequent-lines")
+    lines = stats.select("_k1", "_k2", F.explode("_lines").alias("_line"))
+    # Equal rows have equal lines, which the set holds once.
     removed = (
-        lines.join(frequent, "_line", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_removed"))
-    )
-    left = F.aggregate(
-        "_lines",
-        F.lit(0).cast("long"),
-        lambda total, x: total + F.when(F.array_contains("_removed", x["h"]), 0).otherwise(x["w"]),
+        lines.join(frequent.withColumnRenamed("_line", "_h"), F.col("_line.h") == F.col("_h"), "left_semi")
+        .groupBy("_k1", "_k2")
+        .agg(F.collect_set("_line").alias("_gone"))
     )
+    gone = F.aggregate("_gone", F.lit(0).cast("long"), lambda total, x: total + x["w"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         stats.join(removed, ["_k1", "_k2"], "left")
-        .withColumn("_removed", F.coalesce("_removed", F.array().cast("array<long>")))
-        .withColumn("words_left", left)
+        .withColumn("_removed", F.coalesce("_gone.h", F.array().cast("array<long>")))
+        .withColumn("words_left", F.col("n_words") - F.coalesce(gone, F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("words_left") >= min_left * F.col("n_words")))
     )
@@ -173,6 +185,19 @@ def op1(docs: DataFrame) -> DataFrame:
     return quality_decisions(docs).select("doc_id", *_BASE, "base_failed", "kept", "words_left")
 
 
+def _cut(batches):
+    for batch in batches:
+        at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("text", "_keys", "_removed")}
+        texts = []
+        for text, keys, removed in zip(at["text"], at["_keys"], at["_removed"]):
+            text = text.as_py()
+            if len(removed):
+                goes = np.isin(keys.values.to_numpy(), removed.values.to_numpy())
+                text = "\n".join([line for line, out in zip(text.split("\n"), goes.tolist()) if not out])
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_row")), pa.array(texts, pa.string())], ["_row", "_kept_text"])
+
+
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Kept documents, with their frequent lines cut out; the columns of ``docs``.
 
@@ -186,31 +211,28 @@ def quality_filter(docs: DataFrame) -> DataFrame:
         .agg(F.first("_removed").alias("_removed"))
     )
     keyed = docs.select(F.struct("*").alias("_row"), "text", "source", *row_key("doc_id", "source", "text"))
-    remaining = F.array_join(
-        F.filter(
-            F.split("text", "\n", -1),
-            lambda x: ~F.array_contains("_removed", _line_key(_normalised(x), F.col("source"))),
-        ),
-        "\n",
-    )
-    text = F.when(F.size("_removed") > 0, remaining).otherwise(F.col("text"))
-    out = keyed.join(rulings, ["_k1", "_k2"]).select("_row", text.alias("_kept_text"))
-    return with_text(out, docs)
+    keys = F.transform(F.split("text", "\n", -1), lambda x: _line_key(_normalised(x), F.col("source")))
+    # Only texts that lose lines need the keys of their lines.
+    keys = F.when(F.size("_removed") > 0, keys).otherwise(F.array().cast("array<long>"))
+    joined = keyed.join(rulings, ["_k1", "_k2"]).select("_row", "text", keys.alias("_keys"), "_removed")
+    kind = docs.select(F.struct("*").alias("_row")).schema["_row"].dataType.simpleString()
+    return with_text(map_texts(joined, _cut, f"_row {kind}, _kept_text string"), docs)
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t,
+  coalesce(CAST(doc_id AS VARCHAR), md5(concat_ws('|', source, text))) AS doc FROM documents),
 w AS (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 g AS (SELECT n, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 rep AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words
   FROM (SELECT n, i, count(*) OVER (PARTITION BY n, run) AS c FROM g), unnest([0, 1, 2]) AS v(k) WHERE c > 1 GROUP BY n),
-l AS (SELECT n, source, t, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+l AS (SELECT n, source, doc, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
-  FROM (SELECT n, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+  FROM (SELECT n, source, doc, unnest(string_split(t, chr(10))) AS line FROM d)),
 worded AS (SELECT *, len(string_split(norm, ' ')) AS words FROM l WHERE norm <> ''),
 dup AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY n),
-host AS (SELECT source, greatest(30, 0.02 * count(DISTINCT t)) AS most FROM d GROUP BY source),
-frequent AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM worded GROUP BY 1, 2) c
+host AS (SELECT source, greatest(30, sqrt(count(DISTINCT doc))) AS most FROM d GROUP BY source),
+frequent AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT doc) AS docs FROM worded GROUP BY 1, 2) c
   JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE docs > most),
 left_ AS (SELECT n, CAST(sum(CASE WHEN f.norm IS NULL THEN words ELSE 0 END) AS BIGINT) AS words_left
   FROM worded x LEFT JOIN frequent f ON x.norm = f.norm AND x.source IS NOT DISTINCT FROM f.source GROUP BY n),
