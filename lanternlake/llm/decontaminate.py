@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import ALNUM, Block, PrefixHash, map_texts, text_blocks
+from .shared import ALNUM, Block, PrefixHash, map_texts, materialise, merged, text_blocks
 
 WINDOW = 13
 #: Benchmark text that is searched at a time; its windows are broadcast, and more takes more passes.
-BENCHMARK_BYTES = 32 << 20
+BENCHMARK_BYTES = 8 << 20
 #: Bytes of training text in a shard.
 SHARD_BYTES = 4 << 20
 SPANS = "array<struct<w0:bigint,w1:bigint,c0:bigint,c1:bigint>>"
@@ -116,7 +116,7 @@ def scan(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int, li
 def _pass(phrases, shard_bytes: int, last_pass: bool):
     def run(batches):
         known = phrases.value
-        for batch in batches:
+        for batch in merged(batches, "text", shard_bytes):
             names = batch.schema.names
             at = {c: batch.column(names.index(c)) for c in names}
             for first, last, texts in text_blocks(at["text"], shard_bytes):
@@ -155,8 +155,11 @@ def contamination(
     ``spans`` holds the merged occurrences as words [w0, w1) and code points [c0, c1). ``keep`` names
     further columns of ``docs`` to carry. A null text has no words; items with one id count once and a
     null id is the empty string; empty tables are allowed. Documents are not shuffled: every shard is a
-    run of whole documents of one partition. The benchmark goes to the driver in blocks of about
-    ``benchmark_bytes``, one after the other, each of which is broadcast for a pass over the documents.
+    run of whole documents of one partition, across Arrow batches. The benchmark goes to the driver in
+    blocks of about ``benchmark_bytes``, one after the other, each of which is broadcast for a pass over
+    the documents; between passes the rows are written and the block is given up. Repeated rows get equal
+    results, a very long text is a shard of its own, and columns of ``docs`` with the names used here
+    do not disturb.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
@@ -177,7 +180,11 @@ def contamination(
         last = k == passes - 1
         kept = [f for f in rows.schema.fields if f.name != "text" or not last]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-        rows = map_texts(rows, _pass(spark.sparkContext.broadcast(phrases), shard_bytes, last), schema)
+        shared = spark.sparkContext.broadcast(phrases)
+        rows = map_texts(rows, _pass(shared, shard_bytes, last), schema)
+        if not last:
+            rows = materialise(rows, "decontamination-pass")
+            shared.unpersist()
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["w1"] - s["w0"])
     rows = rows.withColumn("n_hit", hit)
     return rows.select(

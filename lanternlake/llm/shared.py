@@ -144,6 +144,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Successive batches joined until ``column`` holds about ``block_bytes``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= block_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_blocks(column: pa.Array, block_bytes: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of whole rows of about ``block_bytes`` (first row, last row + 1, texts); null gives b''.
 

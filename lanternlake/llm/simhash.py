@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with one fingerprint are collapsed before the search. Texts without words have fingerprint zero
     and are linked like any other. component_id is the smallest doc_id of the component; null ids are
-    ignored in it, and it is null where a component has no id. An empty table gives no rows.
+    ignored in it, and it is null where a component has no id. An empty table gives no rows; repeated rows
+    stay and share all values; a very long text is hashed whole; other columns are not read.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")

@@ -199,8 +199,9 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Train on at most ``max_toxic`` + ``max_clean`` labelled rows of at most MAX_CHARS characters.
 
-    Rows are chosen by a hash of their id; held-out ids, null ids and null labels are never used. Labels
-    that disagree count as toxic.
+    Rows are chosen by a hash of their id; held-out ids, null ids and null labels are never used. A text
+    that several ids share is one example. Labels that disagree, of an id or of such a text, count as
+    toxic. Reruns train the same model.
     """
     known = (
         labels.filter("doc_id is not null and toxic is not null")
@@ -216,8 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= MAX_CHARS)
     # The sample is bounded by its two limits. Documents that share an id and a text count once.
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    # A text that several ids share is one example.
-    found = sorted({r["text"]: r for r in rows.collect()}.values(), key=lambda r: r["doc_id"])
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
     return train([r["text"].encode() for r in found], np.array([r["toxic"] for r in found], bool), float(share))
 
 
@@ -248,7 +249,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Scores use the text only. Offending sentences (code point spans with their own scores) are located
     in documents predicted toxic. A null text is empty and gets the score of no sentence; without usable
-    labels all scores are the share of toxic labels, or 0. Nothing is shuffled to score.
+    labels all scores are the share of toxic labels, or 0. Repeated rows get equal scores; an empty table
+    gives no rows; a very long text is scored whole. Nothing is shuffled to score.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")

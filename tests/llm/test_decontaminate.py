@@ -52,6 +52,11 @@ def test_contract_matches_brute_force(spark):
     assert got == expected
     blocks = D.contamination(df, bench, benchmark_bytes=150, shard_bytes=300)
     assert {r.doc_id: tuple(r)[1:6] for r in blocks.collect()} == expected
+    # Repeated rows, and texts longer than a shard.
+    again = [(i, t) for i, t in docs[:5]] * 3 + [(300, "pad words " * 90_000 + items[0][1]), (301, None), (None, items[1][1])]
+    more = D.op5(spark.createDataFrame(again, "doc_id int, text string").withColumn("_items", F.lit("clash")), bench).collect()
+    want = brute([(i if i is not None else -1, t) for i, t in again], items)
+    assert len(more) == len(again) and all(tuple(r)[1:] == want[r.doc_id if r.doc_id is not None else -1] for r in more)
     kept = D.drop_contaminated(df, bench)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, v in expected.items() if not v[4]}

@@ -59,3 +59,15 @@ def test_empty_tables(spark):
     assert toxicity.op10(df.limit(0), marks).count() == 0
     assert {r.predicted for r in toxicity.op10(df, marks.limit(0)).collect()} == {0}
     assert {r.predicted for r in toxicity.op10(df, marks.filter("toxic = 0")).collect()} == {0}
+
+
+def test_shared_texts_with_labels_that_disagree(spark):
+    docs, labels = corpus(200)
+    twice = [(1000 + i, t) for i, t in docs]
+    marks = labels + [(1000 + i, 1 - y) for i, y in labels[:30]]
+    runs = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs + twice, "doc_id long, text string").repartition(parts)
+        found = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int").repartition(parts))
+        runs.append(found)
+    assert (runs[0].weights == runs[1].weights).all() and runs[0].slope == runs[1].slope and runs[0].bias == runs[1].bias
