@@ -20,16 +20,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = (
         edges.filter("a <> b")
         .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
+        .select(F.col("e.a").alias("from"), F.col("e.b").alias("node"))
         .distinct()
         .checkpoint()
     )
-    labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l"))
+    labels = links.groupBy("node").agg(F.min("from").alias("l"))
     labels = labels.select("node", F.least("node", "l").alias("label")).checkpoint()
     for _ in range(max_rounds):
         offered = (
-            links.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
+            links.join(labels, "node")
+            .groupBy(F.col("from").alias("node"))
             .agg(F.min("label").alias("offer"))
         )
         # What a node learns it also offers to the node that its label names.

@@ -22,6 +22,10 @@ TILE = 1024
 BAND_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 #: Texts whose sets of runs of so many words have at least this Jaccard similarity are near copies in the pipeline.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Rounds in which texts are compared with two others of each shingle, before what is left is compared in full.
+STAR_ROUNDS = 2
+#: Part of its shared shingles that a pair must show in such a round; it sets which pairs the round compares.
+STAR_SEEN = 0.25
 #: Texts and shingles of them from which the common shingles are known; they set an order and lose no pair.
 SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
 
@@ -267,16 +271,6 @@ def _prefixes(shared_common, width: int, similarity: float):
     return run
 
 
-def _texts_by_set(width: int):
-    def run(batches):
-        for batch in batches:
-            for _, _, texts in text_blocks(batch.column(0)):
-                keys = np.array([_set_key(x) for x in shingle_sets(texts, width)], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(texts, pa.binary())], ["_fp", "text"])
-
-    return run
-
-
 def _similar(width: int, similarity: float):
     def run(batches):
         for batch in batches:
@@ -290,57 +284,71 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets that are similar by all their shingles."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets that are similar by all their shingles; ``sets`` names a row for each set."""
     pairs = materialise(pairs, "near-candidates")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct(), "near-candidate-sets")
-    texts = map_texts(docs.select("text"), _texts_by_set(width), "_fp long, text binary")
-    texts = materialise(texts.join(wanted, "_fp", "left_semi").dropDuplicates(["_fp"]), "near-candidate-texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
+    wanted = materialise(sets.join(wanted, "_fp", "left_semi").select("_fp", "row.*"), "near-candidate-sets")
+    texts = docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["_k1", "_k2"]).dropDuplicates(["_fp"])
+    texts = materialise(texts.select("_fp", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "near-candidate-texts")
     side = lambda s: texts.select(F.col("_fp").alias(s), F.col("text").alias(f"text_{s}"))
     return map_texts(pairs.join(side("a"), "a").join(side("b"), "b"), _similar(width, similarity), "a long, b long")
 
 
-def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS) -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS, rounds: int = STAR_ROUNDS) -> DataFrame:
     """Like near_duplicates, with all texts linked whose shingle sets have a Jaccard of ``similarity`` or more.
 
     Equal sets are collapsed; texts without words are one set. In any one order of all shingles, two such sets
     share one among the first (1 - similarity) of each, so pairs meet there and none is lost. Rare shingles
-    come first. Each set is compared with the first and last set of every shingle, and only pairs that this
-    leaves in different components are compared further. All links are verified on whole texts.
+    come first. In each of the ``rounds``, the sets of a shingle are compared with one set of its largest
+    component and one by chance only; what this leaves in different components is compared in full, so the
+    rounds save pairs and lose none. All links are verified on whole texts.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
     schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>"
     prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
-    members = prints.select("_fp", "n", F.explode("prefix").alias("s"))
-    least, most = F.min(F.struct("_fp", "n")), F.max(F.struct("_fp", "n"))
-    heads = members.groupBy("s").agg(least.alias("lo"), most.alias("hi")).filter("lo._fp < hi._fp")
-    heads = materialise(heads, "shared-shingles")
-    shared = materialise(members.join(heads, "s").distinct(), "shared-members")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs that may be similar, by their sizes and the shingles that they share among the first ones."""
+    sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least")), "near-sets")
+    members = prints.select("_fp", "n", F.explode("prefix").alias("s")).distinct()
+    several = members.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
+    shared = materialise(members.join(several, "s"), "shared-members")
+
+    def near(pairs: DataFrame, seen: float = 1.0) -> DataFrame:
+        """Pairs that may be similar, by their sizes and the shingles that they share among the first ones.
+
+        ``seen`` is the part of the shared shingles that ``pairs`` is expected to show.
+        """
         rest = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1
         need = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
         sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
         counted = pairs.filter(sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-        return counted.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
-
-    star = F.explode(F.array("lo", "hi")).alias("h")
-    star = shared.select("_fp", "n", star).filter("_fp <> h._fp").select(F.col("_fp").alias("a"), F.col("h._fp").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
-    edges = materialise(_verified(docs, near(star), width, similarity), "near-links")
-    first = connected_components(edges)
-    placed = shared.select("s", "_fp", "n").join(first.withColumnRenamed("node", "_fp"), "_fp", "left")
-    placed = materialise(placed.withColumn("component", F.coalesce("component", "_fp")), "near-members")
-    several = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-    open_ = materialise(placed.join(several, "s", "left_semi"), "near-open-members")
+        return counted.filter(F.col("c") >= (need - F.greatest(rest("na"), rest("nb"))) * seen).select("a", "b")
+
+    groups = docs.sparkSession.createDataFrame([], "node long, component long")
+    open_ = shared.withColumn("component", F.col("_fp")).withColumn("size", F.lit(1).cast("long"))
+    for turn in range(rounds):
+        chance, one = F.xxhash64("_fp", F.lit(turn)), F.struct("component", "_fp", "n")
+        heads = open_.groupBy("s").agg(F.max_by(one, F.struct("size", "component", chance)).alias("large"), F.max_by(one, chance).alias("other"))
+        star = open_.join(heads, "s").select("_fp", "n", "component", F.explode(F.array("large", "other")).alias("h"))
+        star = star.filter("component <> h.component")
+        pairs = star.select(F.least("_fp", "h._fp").alias("a"), F.greatest("_fp", "h._fp").alias("b"), F.when(F.col("_fp") < F.col("h._fp"), F.col("n")).otherwise(F.col("h.n")).alias("na"), F.when(F.col("_fp") < F.col("h._fp"), F.col("h.n")).otherwise(F.col("n")).alias("nb"))
+        found = materialise(_verified(docs, sets, near(pairs, STAR_SEEN), width, similarity), "near-links")
+        # What is connected already costs an edge for each set, not its links.
+        groups = connected_components(found.union(groups))
+        sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "_fp")
+        placed = shared.join(sized, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
+        placed = materialise(placed.withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "near-members")
+        mixed = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+        open_ = materialise(placed.join(mixed, "s", "left_semi"), "near-open-members")
+        if found.isEmpty():
+            break
     x = open_.select("s", F.col("_fp").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = open_.select("s", F.col("_fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = x.join(y, "s").filter("a < b and ca <> cb")
-    more = _verified(docs, near(pairs), width, similarity)
-    groups = connected_components(materialise(edges.union(more), "near-links"))
-    distinct = prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"))
-    return _with_component(prints, distinct, groups)
+    more = materialise(_verified(docs, sets, near(pairs), width, similarity), "near-links")
+    if not more.isEmpty():
+        groups = connected_components(more.union(groups))
+    return _with_component(prints, sets, groups)
 
 
 def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS) -> DataFrame:
