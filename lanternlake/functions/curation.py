@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,13 +97,15 @@ def cited(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(normalise_citations(answer), F.lit(r"\[[Ee](\d+)\]"), 1), lambda n: F.concat(F.lit("E"), n))
 
 
+# What goes with a citation, in this order.
+CITATION_TIDY = (
+    (r"\[[Ee]\d+\]", ""), (r"[ \t]+(?=\n|\z)", ""), (" {2,}", " "), (r"\s+([,.;:!?])", "$1"), (r"\n{3,}", "\n\n"), (r"\A\s+|\s+\z", ""),
+)
+
+
 def strip_citations(answer: Column) -> Column:
     """The answer without citations and the untidy space they leave."""
-    out = F.regexp_replace(normalise_citations(answer), r"\[[Ee]\d+\]", "")
-    out = F.regexp_replace(out, r"[ \t]+(?=\n|\z)", "")
-    out = F.regexp_replace(out, " {2,}", " ")
-    out = F.regexp_replace(out, r"\s+([,.;:!?])", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", ""))
+    return reduce(lambda text, rule: F.regexp_replace(text, *rule), CITATION_TIDY, normalise_citations(answer))
 
 
 def repair_dates(text: Column) -> Column:
@@ -110,23 +114,18 @@ def repair_dates(text: Column) -> Column:
 
 
 def parse_verdict(reply: Column) -> Column:
-    """Struct (valid, relevant, error_text) of the outermost JSON object in a model's reply.
+    """Struct (relevant, error_text) of the outermost JSON object in a model's reply.
 
-    Anything but the JSON booleans and a text of 1 to 500 characters makes it invalid, and then it is
-    not relevant and has no text.
+    Only the JSON boolean true with a text of 1 to 500 characters, white space collapsed, is relevant;
+    everything else is not relevant and has no text.
     """
-    raw = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(raw, "valid boolean, relevant boolean, error_text string", {"mode": "PERMISSIVE"})
-    quoted = raw.rlike(r'(?s)"error_text"\s*:\s*"')
-    text = F.trim(parsed["error_text"])
-    good = (
-        parsed["valid"].isNotNull() & parsed["relevant"].isNotNull() & quoted & F.length(text).between(1, 500) & parsed["valid"]
+    json = F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+    field = lambda name, kind: F.when(
+        F.schema_of_variant(F.try_variant_get(json, f"$.{name}", "variant")) == kind.upper(), F.try_variant_get(json, f"$.{name}", kind)
     )
-    good = F.coalesce(good, F.lit(False))
-    return F.struct(
-        good.alias("valid"), (good & F.coalesce(parsed["relevant"], F.lit(False))).alias("relevant"),
-        F.when(good, text).otherwise("").alias("error_text"),
-    )
+    text = F.trim(F.regexp_replace(field("error_text", "string"), r"(?U)\s+", " "))
+    good = F.coalesce(field("relevant", "boolean") & F.length(text).between(1, 500), F.lit(False))
+    return F.struct(good.alias("relevant"), F.when(good, text).otherwise("").alias("error_text"))
 
 
 def procedural_overview(question_folded: Column, answer_folded: Column) -> Column:

@@ -257,7 +257,7 @@ def chunk_index(s, d):
 
 @query()
 def page_heading(s, d):
-    return read(s, d, "documents").select("doc_id", chunks.page_heading("text").alias("heading"))
+    return read(s, d, "documents").select("doc_id", chunks.page_heading(F.col("text")).alias("heading"))
 
 
 ANSWERS = [

@@ -96,20 +96,19 @@ def family_id(s, d):
 
 @query()
 def temporal_discover(s, d):
-    out = X.discover(documents(s))
-    return out.select("source", "family_id", "subtype", "day", "version_rank", F.round("confidence", 6).alias("confidence"), "temporal_status")
+    pages = s.createDataFrame([("notes.pdf", i, t) for i, t in PAGES], "source string, page int, content string")
+    return X.discover(documents(s), pages)
 
 
 PAGES = [
-    (1, "Phien ban EOS-client.zip ngay 01.02.2024"), (2, "khong dau hieu 01.02.2024"), (3, "update 05.06.2024"),
+    (1, "Phien ban EOSClient.zip ngay 01.02.2024"), (2, "khong dau hieu 01.02.2024"), (3, "update 05.06.2024"),
     (4, "lich thi ngay thi 01.02.2024 version PEALogin"), (5, "tai phan mem: PEALogin 1.2.2024 va PEALogin 3.4.2024 update"), (6, None),
 ]
 
 
 @query()
 def release_dates(s, d):
-    t = s.createDataFrame(PAGES, "id int, t string")
-    return t.select("id", X.release_dates("t").alias("r")).select("id", "r.*")
+    return X.release_dates(s.createDataFrame(PAGES, "id int, content string")).drop("content")
 
 
 GENERATED = [("a.pdf", "f1", "2024-01-01", "candidate"), ("b.pdf", "f1", "2024-03-01", "candidate"), ("c.pdf", "f2", "2023-05-05", "candidate"), ("d.pdf", "f1", "2024-03-01", "candidate")]

@@ -28,9 +28,10 @@ def test_split_covers_the_text():
     assert chunks.split_text("", 10) == [] and chunks.split_text("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
 
 
-def test_headings():
-    assert chunks.heading_of("- small line\nBước 2: mở máy\nmore") == "Bước 2: mở máy"
-    assert chunks.heading_of("plain first\nsecond") == "plain first" and chunks.heading_of("") == ""
+def test_headings(spark):
+    rows = ["- small line\nBước 2: mở máy\nmore", "plain first\nsecond", "", None, "\n\nHEADING  here -\nx", "a\nb\nc\nd\ne\nf\nTOO LATE", "x" * 300]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select(chunks.page_heading(F.col("t")).alias("h")).collect()
+    assert [r.h for r in got] == ["Bước 2: mở máy", "plain first", "", "", "HEADING here", "a", "x" * 180]
 
 
 def test_bm25_finds_codes_without_accents(spark):
@@ -102,11 +103,34 @@ def test_budget_skips_and_goes_on(spark):
     assert evidence.context(evidence.select_evidence(df)).first().context.startswith("[E1] s\n")
 
 
-def test_near_duplicates():
-    assert evidence.is_near_duplicate("", []) and evidence.is_near_duplicate("a b", ["a b"])
+def test_near_duplicates(spark):
     a, b = "one two three four five six seven", "one two three four five six eight"
-    assert SequenceMatcher(None, a, b).ratio() < 0.88 and evidence.is_near_duplicate(a, [b]) is False
-    assert evidence.is_near_duplicate(a + " " + b, [b + " " + a])
+    assert SequenceMatcher(None, a, b).ratio() < 0.88
+    rng = np.random.default_rng(4)
+    texts = ["a b", "a b", a, b, a + " " + b, b + " " + a, "abcdefghij" * 30, "abcdefghij" * 29 + "abcdefghix"]
+    texts += [" ".join(rng.choice(["xa", "xb", "xc", "xd", "xe"], 9)) for _ in range(12)]
+    got = {(r.place, o) for r in evidence.near_duplicates(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "query_id long, place int, key string")).collect() for o in r.like}
+    want = set()
+    for j, x in enumerate(texts):
+        for i, y in enumerate(texts[:j]):
+            m, n = set(x.split()), set(y.split())
+            if x == y or len(m & n) / len(m | n) >= 0.78 or SequenceMatcher(None, x, y).ratio() >= 0.88:
+                want.add((j, i))
+    assert got == want and (1, 0) in got and (3, 2) not in got and (5, 4) in got and (7, 6) in got
+
+
+def test_repeated_sequences_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], int(rng.integers(20, 90)))) for _ in range(40)] + ["go on now " * 30, None, "", "short text"]
+    got = sorted(map(tuple, evidence.repeated_sequences(spark.createDataFrame([(i % 41, t) for i, t in enumerate(texts)], "id int, text string")).collect()))
+    want = []
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for n in range(3, 9) if len(w) >= 24 else ():
+            runs = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+            most = max(runs.count(r) for r in runs)
+            want.append((i % 41, n, most, most >= 4 and most * n >= max(18, len(w) // 4)))
+    assert got == sorted(want)
 
 
 def test_similar_sets_match_brute_force(spark):
@@ -152,14 +176,15 @@ def test_rules(spark):
 
 def test_verdicts_fail_closed(spark):
     replies = [
-        ('x {"valid": true, "relevant": false, "error_text": " E1 "} y', (True, False, "E1")),
-        ('{"valid": true, "relevant": true, "error_text": "a{b}"}', (True, True, "a{b}")),
-        ('{"valid": "true", "relevant": true, "error_text": "a"}', (False, False, "")),
-        ('{"valid": true, "relevant": true, "error_text": 5}', (False, False, "")),
-        ('{"valid": true, "relevant": true, "error_text": "  "}', (False, False, "")),
-        ('{"valid": true, "relevant": true, "error_text": "' + "z" * 501 + '"}', (False, False, "")),
-        ("free text", (False, False, "")),
-        (None, (False, False, "")),
+        ('x {"relevant": false, "error_text": " E1 "} y', (False, "")),
+        ('{"relevant": true, "error_text": "a{b}"}', (True, "a{b}")),
+        ('so {"relevant": true, "error_text": " E1  \\n code "} there', (True, "E1 code")),
+        ('{"relevant": "true", "error_text": "a"}', (False, "")), ('{"relevant": true, "error_text": 5}', (False, "")),
+        ('{"relevant": true, "error_text": "  "}', (False, "")), ('{"relevant": true, "error_text": "a"', (False, "")),
+        ('{"relevant": true, "error_text": "' + "z" * 501 + '"}', (False, "")),
+        ('{"relevant": true, "error_text": "' + "z" + " " * 600 + 'y"}', (True, "z y")),
+        ("free text", (False, "")),
+        (None, (False, "")),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, r string")
     got = {x.i: tuple(x.v) for x in df.select("i", curation.parse_verdict(F.col("r")).alias("v")).collect()}
