@@ -220,6 +220,18 @@ def _set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the hashes that fall on it, as four int64.
+
+    A hash in one of two sets only turns one bit, so the Hamming distance is at most the number of those.
+    """
+    bits = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+PARITY = [f"b{i}" for i in range(4)]
+
+
 def _least_common(similarity: float, a: int, b: int) -> int:
     """Shingles that sets of these sizes must share to be that similar."""
     return int(np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
@@ -254,10 +266,11 @@ def _prefixes(shared_common, width: int, similarity: float):
         for batch in batches:
             rest = batch.drop_columns(["text"])
             for first, last, texts in text_blocks(batch.column(batch.schema.get_field_index("text"))):
-                keys, sizes, prefixes = [], [], []
+                keys, sizes, prefixes, parity = [], [], [], []
                 for hashes in shingle_sets(texts, width):
                     keys.append(_set_key(hashes))
                     sizes.append(len(hashes))
+                    parity.append(parity_bits(hashes))
                     rank = np.zeros(len(hashes), np.int64)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -266,7 +279,8 @@ def _prefixes(shared_common, width: int, similarity: float):
                     prefixes.append(hashes[np.lexsort((hashes, rank))[:length]].view(np.int64))
                 part = rest.slice(first, last - first)
                 found = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "_fp", "n", "prefix"])
+                found += [pa.array(x) for x in np.array(parity, np.int64).reshape(-1, 4).T]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "_fp", "n", "prefix", *PARITY])
 
     return run
 
@@ -302,13 +316,15 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
     share one among the first (1 - similarity) of each, so pairs meet there and none is lost. Rare shingles
     come first. In each of the ``rounds``, the sets of a shingle are compared with one set of its largest
     component and one by chance only; what this leaves in different components is compared in full, so the
-    rounds save pairs and lose none. All links are verified on whole texts.
+    rounds save pairs and lose none. There, pairs go whose parity bits differ in more places than the
+    shingles of similar sets can. All links are verified on whole texts.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
-    schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>"
+    schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in PARITY)
     prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
-    sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least")), "near-sets")
+    parity = [F.first(b).alias(b) for b in PARITY]
+    sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least"), *parity), "near-sets")
     members = prints.select("_fp", "n", F.explode("prefix").alias("s")).distinct()
     several = members.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
     shared = materialise(members.join(several, "s"), "shared-members")
@@ -342,9 +358,14 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
         open_ = materialise(placed.join(mixed, "s", "left_semi"), "near-open-members")
         if found.isEmpty():
             break
-    x = open_.select("s", F.col("_fp").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("s", F.col("_fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "s").filter("a < b and ca <> cb")
+    wide = open_.join(sets.select("_fp", *PARITY), "_fp")
+    side = lambda k: wide.select("s", F.col("_fp").alias(k), *(F.col(c).alias(c + k) for c in ("n", "component", *PARITY)))
+    # Sets that share as much as they need differ in no more shingles than this, and so in no more bits.
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"b{i}a").bitwiseXOR(F.col(f"b{i}b"))) for i in range(4)), F.lit(0))
+    x, y = side("a"), side("b")
+    pairs = x.join(y, (x["s"] == y["s"]) & F.expr("a < b and componenta <> componentb") & (apart <= most)).drop(y["s"])
     more = materialise(_verified(docs, sets, near(pairs), width, similarity), "near-links")
     if not more.isEmpty():
         groups = connected_components(more.union(groups))

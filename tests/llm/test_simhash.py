@@ -94,3 +94,12 @@ def test_keep_one_by_true_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
     # SimHash at two bits does not see these.
     assert simhash.near_duplicates(df).select("component_id").distinct().count() > len(set(root))
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, int(rng.integers(0, 400)), dtype=np.uint64)
+        b = np.concatenate((a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64)))
+        apart = int(np.bitwise_count(simhash.parity_bits(a) ^ simhash.parity_bits(b)).sum())
+        assert apart <= len(np.setxor1d(a, b))
