@@ -101,5 +101,5 @@ def test_parity_bits_bound_the_difference():
     for _ in range(200):
         a = rng.integers(0, 1 << 63, int(rng.integers(0, 400)), dtype=np.uint64)
         b = np.concatenate((a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64)))
-        apart = int(np.bitwise_count(simhash.parity_bits(a) ^ simhash.parity_bits(b)).sum())
+        apart = int(np.bitwise_count((simhash.parity_bits(a) ^ simhash.parity_bits(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b))
