@@ -186,6 +186,26 @@ def latest_feedback(events: DataFrame) -> DataFrame:
     return events.groupBy("chat_id").agg(F.max(F.struct("created_at", "event_id", "rating")).alias("last")).select("chat_id", "last.rating", "last.event_id")
 
 
+def resolve_feedback(feedback: DataFrame, actions: DataFrame) -> DataFrame:
+    """All feedback after actions (chat_id, is_resolved, by, at): the last action on a live row holds.
+
+    Resolving notes who and when; reopening clears both. Deleted rows and rows without an action stay.
+    """
+    last = actions.groupBy("chat_id").agg(F.max(F.struct("at", "is_resolved", "by")).alias("last"))
+    acts = F.col("last").isNotNull() & ~F.col("is_deleted")
+    done = F.col("last.is_resolved")
+    new = {"is_resolved": done, "resolved_by": F.when(done, F.col("last.by")), "resolved_at": F.when(done, F.col("last.at"))}
+    out = feedback.join(last, "chat_id", "left")
+    return out.select(*(F.when(acts, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in feedback.columns))
+
+
+def delete_feedback(feedback: DataFrame, ids: DataFrame) -> DataFrame:
+    """All feedback, with the rows of chats in ``ids`` (chat_id) marked as deleted; nothing is removed."""
+    gone = ids.select("chat_id", F.lit(True).alias("_gone")).distinct()
+    out = feedback.join(gone, "chat_id", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False)))
+    return out.select(*feedback.columns)
+
+
 def search_feedback(feedback: DataFrame, chats: DataFrame, users: DataFrame, pattern: str | None = None, rating: str = "all", resolved: str = "all") -> DataFrame:
     """Live feedback with its question, author and resolver; ``pattern`` is tried on five columns."""
     f = feedback.filter(~F.col("is_deleted"))

@@ -208,6 +208,34 @@ def feedback_search(s, d):
     return L.search_feedback(T.feedback(s, d), T.chat_logs(s, d), T.users(s, d), "1_2", "like")
 
 
+def _noted(s, d):
+    """Feedback with the time at which it was resolved."""
+    return T.feedback(s, d).withColumn("resolved_at", F.when(F.col("is_resolved"), F.lit(AS_OF).cast("timestamp_ntz")))
+
+
+@query(
+    f"{with_sql(FEEDBACK_SQL)} SELECT chat_id, is_deleted, CASE WHEN acts THEN chat_id % 4 = 0 ELSE is_resolved END AS is_resolved,"
+    " CASE WHEN acts AND chat_id % 4 = 0 THEN 7 WHEN NOT acts THEN resolved_by END AS resolved_by,"
+    f" CASE WHEN acts AND chat_id % 4 = 0 THEN 'later' WHEN NOT acts AND is_resolved THEN 'before' END AS resolved FROM (SELECT *, chat_id % 2 = 0 AND NOT is_deleted AS acts FROM feedback)"
+)
+def feedback_resolve(s, d):
+    """Every second feedback is resolved and then, unless its number is a multiple of four, opened again."""
+    f = _noted(s, d)
+    at = lambda day: F.lit(AS_OF).cast("timestamp_ntz") + F.expr(f"interval {day} day")
+    even = f.filter("chat_id % 2 = 0").select("chat_id", F.lit(7).cast("long").alias("by"))
+    first = even.select("chat_id", F.lit(True).alias("is_resolved"), "by", at(1).alias("at"))
+    again = even.filter("chat_id % 4 <> 0").select("chat_id", F.lit(False).alias("is_resolved"), "by", at(2).alias("at"))
+    out = L.resolve_feedback(f, first.union(again))
+    when = F.when(F.col("resolved_at") == at(0), "before").when(F.col("resolved_at").isNotNull(), "later")
+    return out.select("chat_id", "is_deleted", "is_resolved", "resolved_by", when.alias("resolved"))
+
+
+@query(f"{with_sql(FEEDBACK_SQL)} SELECT chat_id, is_deleted OR chat_id IN (SELECT o_orderkey FROM orders) AS is_deleted FROM feedback")
+def feedback_delete(s, d):
+    ids = T.read(s, d, "orders").select(F.col("o_orderkey").alias("chat_id"))
+    return L.delete_feedback(T.feedback(s, d), ids).select("chat_id", "is_deleted")
+
+
 @query("SELECT user_id * 100 + event_id % 7 AS chat_id, arg_max(CASE WHEN value > 50 THEN 'like' ELSE 'dislike' END, event_id) AS rating, max(event_id) AS event_id FROM events GROUP BY 1")
 def feedback_latest(s, d):
     e = T.read(s, d, "events")

@@ -44,10 +44,10 @@ def bm25_tokens(s, d):
     return t.select("idx", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
-POST = f"""post AS (SELECT idx, token, count(*) AS tf FROM (SELECT doc_id AS idx, unnest({TOKENS('text')}) AS token FROM documents) GROUP BY 1, 2),
+POST = f"""post AS MATERIALIZED (SELECT idx, token, count(*) AS tf FROM (SELECT doc_id AS idx, unnest({TOKENS('text')}) AS token FROM documents) GROUP BY 1, 2),
 size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) AS total),
 lens AS (SELECT idx, sum(tf) AS dl FROM post GROUP BY 1),
-dfs AS (SELECT token, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post GROUP BY 1),
+dfs AS MATERIALIZED (SELECT token, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post GROUP BY 1),
 idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM dfs) ELSE raw END AS idf FROM dfs)"""
 SPARSE = f"""terms AS (SELECT query_id, token, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TOKENS('text')}) AS token FROM benchmark) GROUP BY 1, 2),
 scored AS (SELECT query_id, idx, round(sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / ((SELECT total FROM size)::DOUBLE / (SELECT n FROM size))))), 6) AS bm25_score
@@ -60,8 +60,8 @@ DENSE = lambda q: f"""dense AS (SELECT query_id, idx, dense_score, row_number()
 
 @query(f"WITH {POST} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(s, d):
-    index = retrieval.postings(corpus(s, d)).persist()
-    return retrieval.bm25_stats(index, read(s, d, "documents").count(), 0).select("token", "df", F.round("idf", 6).alias("idf"))
+    words = retrieval.bm25_index(corpus(s, d))["words"]
+    return retrieval.bm25_stats(words, read(s, d, "documents").count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {POST}, {SPARSE} SELECT query_id, idx, bm25_score, bm25_rank FROM sparse")
@@ -305,8 +305,9 @@ def primary_source(s, d):
 
 STEPS = [("A", "login", 1, [1, 2]), ("A", "login", 2, [3]), ("A", "login", 4, [4, 5]), ("A", "login", 7, [6]), ("A", "login", 8, [1]), ("A", "submit", 3, [1]), ("B", "login", 1, [2]), ("B", "login", 2, [2])]
 STEPS_SQL = "st(source, section, page, steps) AS (VALUES " + ", ".join(f"('{a}', '{b}', {p}, {n})" for a, b, p, n in STEPS) + ")"
-ISLANDS_SQL = f"""{STEPS_SQL}, m AS (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR page - lag(page) OVER w > 2 OR list_min(steps) <= lag(list_max(steps)) OVER w THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY source, section ORDER BY page)),
+ISLANDS = """m AS (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR page - lag(page) OVER w > 2 OR list_min(steps) <= lag(list_max(steps)) OVER w THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY source, section ORDER BY page)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY source, section ORDER BY page) AS island FROM m)"""
+ISLANDS_SQL = f"{STEPS_SQL}, {ISLANDS}"
 
 
 @query(f"WITH {ISLANDS_SQL} SELECT source, section, page, (SELECT string_agg(h.page::VARCHAR, ',' ORDER BY h.page) FROM g h WHERE h.source = g.source AND h.section = g.section AND h.island = g.island) AS pages FROM g")
@@ -315,6 +316,25 @@ def procedural_pages(s, d):
     return evidence.procedural_pages(df).select("source", "section", "page", F.array_join(F.col("group_pages").cast("array<string>"), ",").alias("pages"))
 
 
+@query(
+    "WITH st AS (SELECT l_suppkey AS source, lower(l_returnflag) AS section, CAST(l_orderkey % 200 AS INT) AS page, array_agg(DISTINCT l_linenumber) AS steps FROM lineitem GROUP BY ALL),"
+    f" {ISLANDS} SELECT CAST(source AS VARCHAR) AS source, section, page, (SELECT string_agg(h.page::VARCHAR, ',' ORDER BY h.page) FROM g h WHERE h.source = g.source AND h.section = g.section AND h.island = g.island) AS pages FROM g"
+)
+def procedure_catalogue(s, d):
+    """Order lines as step chunks: a supplier is a source, a return flag its section."""
+    l = read(s, d, "lineitem")
+    number = F.col("l_linenumber").cast("string")
+    rows = l.select(
+        F.col("l_suppkey").cast("string").alias("source"),
+        F.concat(F.col("l_returnflag"), F.lit(" > Bước "), number, F.lit(": part > rest")).alias("section_path"),
+        F.lit(None).cast("string").alias("heading"),
+        (F.col("l_orderkey") % 200).alias("page"),
+        F.concat(F.lit("Then  BƯỚC "), number, F.lit(" ends; step7x does not count")).alias("parent_text"),
+        F.lit("").alias("text"),
+    )
+    return evidence.procedure_catalogue(rows).select("source", "section", "page", F.array_join(F.col("group_pages").cast("array<string>"), ",").alias("pages"))
+
+
 @query(f"WITH {ISLANDS_SQL} SELECT DISTINCT 1 AS answer_id, g.source AS file_name, h.page FROM g JOIN g h USING (source, section, island) WHERE g.page IN (2, 3)")
 def page_refs(s, d):
     df = s.createDataFrame(STEPS, "source string, section string, page int, steps array<int>")

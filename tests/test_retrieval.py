@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lanternlake.functions import curation, text
 from lanternlake.operators import chunks, evidence, retrieval
+from lanternlake.sources import store
 
 
 def test_chunks_keep_pages_and_sizes(spark):
@@ -189,3 +190,44 @@ def test_verdicts_fail_closed(spark):
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, r string")
     got = {x.i: tuple(x.v) for x in df.select("i", curation.parse_verdict(F.col("r")).alias("v")).collect()}
     assert got == {i: w for i, (_, w) in enumerate(replies)}
+
+
+def test_bm25_blocks_and_a_stored_index_agree(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    docs = [" ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) % 50) for _ in range(80)] + [None, ""]
+    corpus = spark.createDataFrame(list(enumerate(docs)), "idx long, text string").repartition(4)
+    asked = spark.createDataFrame([(i, docs[i * 7]) for i in range(10)] + [(99, None), (98, "unknown")], "query_id long, text string")
+    once = sorted(map(tuple, retrieval.bm25_top(asked, corpus, 4).collect()))
+    assert once == sorted(map(tuple, retrieval.bm25_top(asked, corpus, 4, block=3).collect()))
+    root = str(tmp_path)
+    store.install(root, retrieval.bm25_index(corpus))
+    kept = {name: store.load(spark, root, name) for name in ("documents", "words")}
+    assert once == sorted(map(tuple, retrieval.bm25_top(asked, None, 4, index=kept).collect()))
+    every = retrieval.bm25_top(asked, corpus, 1000).collect()
+    for q in {r.query_id for r in every}:
+        best = sorted((r for r in every if r.query_id == q), key=lambda r: (-r.bm25_score, r.idx))[:4]
+        assert sorted((q, r.idx, r.bm25_score, i + 1) for i, r in enumerate(best)) == [r for r in once if r[0] == q]
+    assert retrieval.bm25_top(asked, corpus.limit(0), 4).count() == 0
+
+
+def test_children_without_parents_stay_apart(spark):
+    rows = [(1, None, 1, 0.5, "a", "x"), (1, None, 2, 0.4, "b", "x"), (1, "", 3, 0.3, "c", "y"), (1, "p", 4, 0.2, "d", "y")]
+    got = retrieval.roll_up(spark.createDataFrame(rows, "query_id int, parent_id string, rank int, combined_score double, content string, source string"))
+    assert sorted((r.parent_id, r.content) for r in got.collect()) == [("p", "d"), ("x::rank-1", "a"), ("x::rank-2", "b"), ("y::rank-3", "c")]
+
+
+def test_procedures_from_chunks(spark):
+    rows = [
+        ("A.pdf", "Cài đặt > Cài  đặt: > Bước 1: mở > x", None, "3", "BƯỚC 1 mở; step 2", ""),
+        ("A.pdf", "Cài đặt", "no", "5", None, "bước 4"),
+        ("A.pdf", "", "Cài đặt", "6", "", "Bước 4 lại"),
+        ("A.pdf", "Cài đặt > Gỡ bỏ", None, "6", "step 1", ""),
+        ("A.pdf", "Step 1 > x", None, "7", "step 1", ""),
+        ("A.pdf", "Cài đặt", None, "?", "step 9", ""),
+        (None, "Cài đặt", None, "8", "step 9", ""),
+        ("B.pdf", "Cài đặt", None, "1", "buoc12a misstep 3", None),
+    ]
+    got = evidence.procedure_catalogue(spark.createDataFrame(rows, "source string, section_path string, heading string, page string, parent_text string, text string"))
+    assert sorted((r.source, r.section, r.page, r.group_pages) for r in got.collect()) == [
+        ("A.pdf", "cai dat", 3, [3, 5]), ("A.pdf", "cai dat", 5, [3, 5]), ("A.pdf", "cai dat", 6, [6]), ("A.pdf", "cai dat > go bo", 6, [6]),
+    ]
