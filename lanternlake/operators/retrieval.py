@@ -230,16 +230,17 @@ def boost(fused: DataFrame, queries: DataFrame, corpus: DataFrame, cut: int = FU
 
 
 def roll_up(children: DataFrame) -> DataFrame:
-    """Children (query_id, parent_id, rank, combined_score, content) as parents.
+    """Children (query_id, parent_id, rank, combined_score, source, …) as parents.
 
-    A child without a parent is its own, named after its source and rank. A parent has the best score times 1 + 0.10 ln(1 + min(n - 1, 3)) and the content of its best child.
+    A child without a parent is its own, named after its source and rank. A parent has the best score times
+    1 + 0.10 ln(1 + min(n - 1, 3)) and all other columns of its best child.
     """
     own = F.concat(F.coalesce("source", F.lit("")), F.lit("::rank-"), F.col("rank").cast("string"))
     named = children.withColumn("parent_id", F.coalesce(F.nullif(F.col("parent_id").cast("string"), F.lit("")), own))
+    carried = [c for c in children.columns if c not in ("query_id", "parent_id", "rank", "combined_score")]
     p = named.groupBy("query_id", "parent_id").agg(
-        F.max("combined_score").alias("best"), F.min("rank").alias("best_rank"), F.count("*").alias("matched"),
-        F.min_by("content", "rank").alias("content"), F.min_by("source", "rank").alias("source"),
-    )
+        F.max("combined_score").alias("best"), F.min("rank").alias("best_rank"), F.count("*").alias("matched"), *(F.min_by(c, "rank").alias(c) for c in carried)
+    )
     score = F.col("best") * (1 + 0.10 * F.log1p(F.least(F.col("matched") - 1, F.lit(3))))
     p = p.withColumn("combined_score", F.round(score, 12))
     order = Window.partitionBy("query_id").orderBy(F.desc("combined_score"), "best_rank")

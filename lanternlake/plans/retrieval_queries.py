@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import curation, text
-from ..operators import chunks, evidence, retrieval
+from ..operators import chunks, evidence, retrieval, temporal
 from ..sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -137,9 +137,9 @@ def _children(s, d):
     return chunks.chunk_pages(docs).withColumn("idx", idx)
 
 
-def _parents(s, d, gate=False):
+def _parents(s, d, gate=False, children=None):
     """Parents of the hits of every benchmark item; a vector stands for the first child of its document."""
-    c = _children(s, d).persist()
+    c = children if children is not None else _children(s, d).persist()
     v = vectors(s, d).withColumn("idx", F.col("idx") * PER_PAGE).join(c.select("idx"), "idx", "left_semi")
     q = vectors(s, d).join(read(s, d, "benchmark").select(F.col("item_id").alias("idx")), "idx", "left_semi")
     dense = retrieval.dense_top(q.select(F.col("idx").alias("query_id"), "vector"), v)
@@ -148,11 +148,9 @@ def _parents(s, d, gate=False):
     if gate:
         fused = fused.join(retrieval.confident(dense, sparse, 1.1, 100.0).filter("passed").select("query_id"), "query_id", "left_semi")
     corpus = c.select("idx", "source", "heading", "section_path", F.col("retrieval_text").alias("text"))
-    boosted = retrieval.boost(fused, questions(s, d), corpus).select("query_id", "idx", "boost_rank", "combined_score")
-    kids = boosted.join(c.select("idx", "parent_id", "source", "parent_text"), "idx")
-    return retrieval.roll_up(
-        kids.select("query_id", "parent_id", "source", F.col("boost_rank").alias("rank"), "combined_score", F.col("parent_text").alias("content"))
-    )
+    boosted = retrieval.boost(fused, questions(s, d), corpus).select("query_id", "idx", F.col("boost_rank").alias("rank"), "combined_score")
+    kids = boosted.join(c.select("idx", "parent_id", "source", "page", "heading", "section_path", F.col("parent_text").alias("content")), "idx")
+    return retrieval.roll_up(kids.drop("idx"))
 
 
 @query(
@@ -175,10 +173,39 @@ def evidence_context(s, d):
     return evidence.context(evidence.select_evidence(_parents(s, d)))
 
 
+def _editions(s, d):
+    """Versions by page: documents of a source with one first line are editions of a text.
+
+    The tables hold no dated names, so the day of an edition is made up from its doc_id.
+    """
+    first = F.nullif(F.trim(F.element_at(F.split("text", "\n", -1), 1)), F.lit(""))
+    docs = read(s, d, "documents").select(
+        "source", F.col("doc_id").cast("int").alias("page"), F.sha2(F.concat_ws("\n", "source", first), 256).alias("family_id"),
+        F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 3650).cast("int")).cast("string").alias("day"), first.isNotNull().alias("named"),
+    )
+    docs = docs.filter("named").drop("named")
+    ranked = temporal.version_ranks(docs.select("family_id", "day").distinct())
+    return docs.join(ranked, ["family_id", "day"]).withColumns({"temporal_status": F.lit("verified"), "verified_visual_fact": F.lit(None).cast("string")})
+
+
 @query()
 def retrieve_context(s, d):
-    """The whole path: two retrievals, gate, fusion, boosts, parents, selection and context."""
-    return evidence.context(evidence.select_evidence(_parents(s, d, gate=True)))
+    """The whole path: two retrievals, gate, fusion, boosts, parents, choice between versions, selection and context."""
+    c = _children(s, d).persist()
+    temporal.share_checkpoints(c)
+    editions = _editions(s, d).join(c.select("source", "page").distinct(), ["source", "page"], "left_semi").checkpoint()
+    families = temporal.catalog(editions)
+    newest = editions.join(families, "family_id").filter("version_rank = newest_rank").select("family_id", "version_rank", "day", "source", "page")
+    pages = c.select(F.col("parent_id").alias("cand_id"), "source", "page", "heading", "section_path", F.col("parent_text").alias("content"))
+    newest = pages.join(newest, ["source", "page"]).dropDuplicates(["cand_id"])
+    none = s.createDataFrame([], "source string, family_id string, day string, version_rank int, temporal_status string")
+    parents = temporal.enrich(_parents(s, d, True, c).withColumnRenamed("content", "text"), none, editions)
+    parents = parents.join(questions(s, d).select("query_id", F.col("text").alias("query")), "query_id").select(
+        "query_id", "query", "family_id", "version_rank", "day", F.col("parent_id").alias("cand_id"), "source", "page", "heading", "section_path",
+        F.col("text").alias("content"), F.col("combined_score").alias("score"), F.col("parent_rank").alias("position"),
+    )
+    found = temporal.resolve(parents, families, newest).withColumnsRenamed({"cand_id": "parent_id", "score": "combined_score", "rank": "parent_rank"})
+    return evidence.context(evidence.select_evidence(found.drop("query", "position")))
 
 
 SETS = rf"sets AS (SELECT list_sort(list_distinct(regexp_extract_all({FOLD('text')}, '[\p{{L}}\p{{N}}_]+'))) AS t, min(doc_id) AS id FROM documents GROUP BY 1)"

@@ -176,41 +176,40 @@ def temporal_catalog(s, d):
     return X.catalog(_enriched(s))
 
 
-#: (query_id, query, family_id, version_rank, cand_id, source, content, bm25, score, position)
+#: (query_id, query, family_id, version_rank, cand_id, source, heading, content, score, position)
 CANDIDATES = [
-    (1, "cài đặt EOS SEB-101", "f1", 1, 10, "old.pdf", "cai dat EOS ma loi SEB-101 tren may", 9.0, 0.5, 0),
-    (1, "cài đặt EOS SEB-101", "f1", 2, 11, "new.pdf", "cai dat EOS phien ban khac", 8.0, 0.6, 1),
-    (1, "cài đặt EOS SEB-101", "f2", 2, 12, "only.pdf", "noi dung khac", 1.0, 0.2, 2),
-    (2, "phiên bản mới nhất của EOS", "f1", 1, 10, "old.pdf", "phien ban EOS cu", 5.0, 0.4, 0),
-    (2, "phiên bản mới nhất của EOS", "f1", 2, 11, "new.pdf", "EOS moi", 4.0, 0.3, 1),
-    (2, "phiên bản mới nhất của EOS", "f2", 1, 13, "older.pdf", "EOS ban truoc", 3.0, 0.2, 2),
-    (3, "quy định phòng thi", "f2", 1, 13, "older.pdf", "quy dinh phong thi day du", 6.0, 0.5, 0),
-    (3, "quy định phòng thi", "f9", 1, 14, "free.pdf", "quy dinh", 2.0, 0.3, 1),
-    (4, "đăng nhập wifi", "f1", 1, 10, "old.pdf", "dang nhap wifi bang tai khoan", 7.0, 0.5, 0),
-    (4, "đăng nhập wifi", "f1", 2, 11, "new.pdf", "dang nhap wifi bang tai khoan moi", 7.0, 0.5, 1),
+    (1, "cài đặt EOS SEB-101", "f1", 1, 10, "old.pdf", "EOS", "cai dat EOS ma loi SEB-101 tren may", 0.5, 0),
+    (1, "cài đặt EOS SEB-101", "f1", 2, 11, "new.pdf", "EOS", "cai dat EOS phien ban khac", 0.6, 1),
+    (1, "cài đặt EOS SEB-101", "f2", 2, 12, "only.pdf", None, "noi dung khac", 0.2, 2),
+    (2, "phiên bản mới nhất của EOS", "f1", 1, 10, "old.pdf", "EOS", "phien ban EOS cu", 0.4, 0),
+    (2, "phiên bản mới nhất của EOS", "f1", 2, 11, "new.pdf", "EOS", "EOS moi", 0.3, 1),
+    (2, "phiên bản mới nhất của EOS", "f2", 1, 13, "older.pdf", None, "EOS ban truoc", 0.2, 2),
+    (3, "quy định phòng thi", "f2", 1, 13, "older.pdf", None, "quy dinh phong thi day du", 0.5, 0),
+    (3, "quy định phòng thi", "f9", 1, 14, "free.pdf", None, "quy dinh", 0.3, 1),
+    (4, "đăng nhập wifi", "f1", 1, 10, "old.pdf", "Mạng", "dang nhap wifi bang tai khoan", 0.5, 0),
+    (4, "đăng nhập wifi", "f1", 2, 11, "new.pdf", "Mạng", "dang nhap wifi bang tai khoan moi", 0.5, 1),
 ]
-CANDIDATE_TYPES = "query_id int, query string, family_id string, version_rank int, cand_id int, source string, content string, bm25 double, score double, position int"
-NEWEST = [("f1", 2, 11, "new.pdf", "EOS moi", 4.0), ("f2", 2, 12, "only.pdf", "noi dung khac", 1.0)]
+CANDIDATE_TYPES = "query_id int, query string, family_id string, version_rank int, cand_id int, source string, heading string, content string, score double, position int"
+NEWEST = [("f1", 2, 11, "new.pdf", "EOS", "EOS moi"), ("f2", 2, 12, "only.pdf", None, "noi dung khac"), ("f2", 2, 15, "only.pdf", None, "EOS phien ban moi nhat")]
 
 
 def _candidates(s):
-    return s.createDataFrame(CANDIDATES, CANDIDATE_TYPES)
+    return s.createDataFrame(CANDIDATES, CANDIDATE_TYPES).withColumn("section_path", F.col("heading"))
 
 
 @query()
 def claim_features(s, d):
-    out = X.claim_features(_candidates(s))
+    out = X.claim_features(_candidates(s).withColumn("relevance", F.col("score")))
     return out.select("query_id", "family_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("coverage", "bigram", "bm25_norm", "ident", "relevance", "differential")))
 
 
 @query()
 def temporal_resolve(s, d):
     """Injection of missing newest versions, features, and the choice within each family."""
-    newest = s.createDataFrame(NEWEST, "family_id string, version_rank int, cand_id int, source string, content string, bm25 double")
-    added = X.inject_latest(_candidates(s).drop("position"), newest).withColumn("position", F.col("cand_id"))
+    newest = s.createDataFrame(NEWEST, "family_id string, version_rank int, cand_id int, source string, heading string, content string")
     eligible = s.createDataFrame([("f1", 2, 2), ("f2", 2, 2)], "family_id string, newest_rank int, n_ranks int")
-    out = X.resolve(X.claim_features(added), eligible)
-    return out.select("query_id", "family_id", "cand_id", "version_rank", F.round("score", 6).alias("score"), "action", "rank")
+    out = X.resolve(_candidates(s), eligible, newest.withColumn("section_path", F.col("heading")))
+    return out.select("query_id", "family_id", "cand_id", "version_rank", F.round("score", 6).alias("score"), "action", "historical", "rank")
 
 
 ASKED = [(1, "bản mới nhất"), (2, "Current VERSION?"), (3, "bản cũ"), (4, None)]

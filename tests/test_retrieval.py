@@ -101,7 +101,25 @@ def test_budget_skips_and_goes_on(spark):
     df = spark.createDataFrame(rows, "query_id long, parent_id string, parent_rank int, source string, content string, combined_score double")
     got = [(r.evidence_id, r.parent_id) for r in evidence.select_evidence(df, budget=len(long[0]) + 500).collect()]
     assert got == [("E1", "p0"), ("E2", "p2")]
-    assert evidence.context(evidence.select_evidence(df)).first().context.startswith("[E1] s\n")
+    assert evidence.context(evidence.select_evidence(df)).first().context.startswith("[E1]\nSource: s\nPage: \nSection: Không có\nContent:\na0 a1")
+
+
+def test_context_of_versions(spark):
+    rows = [
+        (1, "E1", "a.pdf", 3, "Tải", "Mục > Tải", "nội dung", "release_notice", "2024-02-01", None),
+        (1, "E2", "b.pdf", 4, "", "Mục", "khác", "general", "2024-02-01", "controlled_differential_fallback"),
+        (2, "E1", "a.pdf", 3, "Tải", "Mục > Tải", "nội dung", "release_notice", None, "current_explicit_latest_query"),
+        (2, "E2", "b.pdf", 4, "", "Mục", "khác", None, None, None),
+    ]
+    columns = "query_id int, evidence_id string, source string, page int, heading string, section_path string, content string, subtype string, day string, action string"
+    got = {r.query_id: r.context for r in evidence.context(spark.createDataFrame(rows, columns)).collect()}
+    released = evidence.RELEASED % "2024-02-01"
+    assert got[1] == (
+        f"[E1]\nSource: a.pdf\nPage: 3\nSection: Mục > Tải\n{released}Content:\nnội dung\n\n[E2]\nSource: b.pdf\nPage: 4\nSection: Mục\nContent:\nkhác"
+    )
+    assert got[2] == (
+        f"[E1]\nSource: {evidence.SUPPORTING}\nPage: 3\nSection: Tải\nContent:\nnội dung\n\n[E2]\nSource: {evidence.SUPPORTING}\nPage: 4\nSection: Không có\nContent:\nkhác"
+    )
 
 
 def test_near_duplicates(spark):
