@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,17 +141,29 @@ def anonymise(users: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataF
 
 def duplicate_identities(users: DataFrame, column: str) -> DataFrame:
     """Values that more than one user has, without case and outer blanks."""
-    key = F.lower(F.trim(column))
+    key = F.lower(stripped(column))
     return users.groupBy(key.alias("identity")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def stripped(text: str) -> Column:
+    """A column without white space of any kind around it."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def normalise_identities(users: DataFrame) -> DataFrame:
     """All users with trimmed names and trimmed lower-case addresses, and whether that changed anything."""
-    name, mail = F.trim("username"), F.lower(F.trim("email"))
+    name, mail = stripped("username"), F.lower(stripped("email"))
     changed = ~name.eqNullSafe(F.col("username")) | ~mail.eqNullSafe(F.col("email"))
     return users.select("user_id", name.alias("username"), mail.alias("email"), changed.alias("changed"))
 
 
+def allowed_addresses(users: DataFrame, domains: list[str]) -> DataFrame:
+    """(user_id, allowed): whether the normalised address is of one of ``domains``; null addresses are not."""
+    hosts = "|".join(re.escape(d) for d in domains)
+    allowed = F.lower(stripped("email")).rlike(rf"\A[a-z0-9._%+-]+@(?:{hosts})\z")
+    return users.select("user_id", F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
 def case_collisions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New file names that differ from an existing one only by case, with the first such."""
     old = existing.groupBy(F.lower("file_name").alias("key")).agg(F.min_by("file_name", "id").alias("existing_name"))

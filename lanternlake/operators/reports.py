@@ -196,6 +196,19 @@ def status_counts(documents: DataFrame) -> DataFrame:
     )
 
 
+def sort_documents(documents: DataFrame, order: str, locale: str = "vi") -> DataFrame:
+    """Documents (file_name, file_size, chunk_count, updated_at, …) in one of six orders, equal ones by id.
+
+    Names are compared as the language ``locale`` does; an unknown order is the newest first.
+    """
+    name = F.collate("file_name", locale)
+    orders = {
+        "updated_asc": F.asc("updated_at"), "name_asc": name.asc(), "name_desc": name.desc(),
+        "size_desc": F.desc("file_size"), "chunks_desc": F.desc("chunk_count"),
+    }
+    return documents.orderBy(orders.get(order, F.desc("updated_at")), "id")
+
+
 def online_users(activity: DataFrame, as_of: str, minutes: int = 5) -> DataFrame:
     """Users whose last activity is at most ``minutes`` before ``as_of``."""
     now = F.lit(as_of).cast("timestamp_ntz")

@@ -151,6 +151,11 @@ def identity_normalize(s, d):
     return L.normalise_identities(T.users(s, d))
 
 
+@query(f"{with_sql(USERS_SQL)} SELECT user_id, coalesce(regexp_full_match(lower(trim(email)), '[a-z0-9._%+-]+@(example\\.com|example\\.org)'), false) AS allowed FROM users")
+def allowed_addresses(s, d):
+    return L.allowed_addresses(T.users(s, d), ["example.com", "example.org"])
+
+
 @query(f"{D} SELECT upper(file_name) AS file_name, arg_min(file_name, id) AS existing_name FROM stored GROUP BY lower(file_name), upper(file_name) HAVING upper(file_name) <> arg_min(file_name, id)")
 def case_collisions(s, d):
     stored = T.catalogue_documents(s, d)

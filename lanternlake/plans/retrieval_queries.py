@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import curation, text
@@ -271,15 +270,16 @@ def clean_page_text(s, d):
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, length(text) AS n FROM documents")
 def corpus_pages(s, d):
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(s, d, "documents").select("source", "doc_id", page.alias("page"), F.length("text").cast("long").alias("n"))
+    docs = read(s, d, "documents")
+    pages = chunks.page_numbers(docs).select("doc_id", "page")
+    return docs.select("source", "doc_id", F.length("text").cast("long").alias("n")).join(pages, "doc_id")
 
 
 @query()
 def chunk_index(s, d):
     docs = read(s, d, "documents")
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return chunks.chunk_pages(docs.select("source", page.alias("page"), F.col("text").alias("content")))
+    pages = chunks.page_numbers(docs).select("doc_id", "page")
+    return chunks.chunk_pages(docs.select("doc_id", "source", F.col("text").alias("content")).join(pages, "doc_id"))
 
 
 @query()

@@ -228,6 +228,17 @@ def test_bm25_blocks_and_a_stored_index_agree(spark, tmp_path):
     assert retrieval.bm25_top(asked, corpus.limit(0), 4).count() == 0
 
 
+def test_page_numbers_of_a_large_source(spark):
+    rng = np.random.default_rng(7)
+    rows = [(["hot", "a", None][min(int(x), 2)], int(i)) for i, x in zip(rng.permutation(3000), rng.exponential(0.7, 3000))]
+    got = {(r.source, r.doc_id): r.page for r in chunks.page_numbers(spark.createDataFrame(rows, "source string, doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for source in ("hot", "a", None):
+        mine = sorted(i for s, i in rows if s == source)
+        assert [got[source, i] for i in mine] == list(range(1, len(mine) + 1))
+    assert chunks.page_numbers(spark.createDataFrame([], "source string, doc_id long")).count() == 0
+
+
 def test_children_without_parents_stay_apart(spark):
     rows = [(1, None, 1, 0.5, "a", "x"), (1, None, 2, 0.4, "b", "x"), (1, "", 3, 0.3, "c", "y"), (1, "p", 4, 0.2, "d", "y")]
     got = retrieval.roll_up(spark.createDataFrame(rows, "query_id int, parent_id string, rank int, combined_score double, content string, source string"))

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lanternlake.operators import reports
+from lanternlake.operators import lifecycle, reports
 from lanternlake.sources import files, store
 from lanternlake.streaming import replay
 
@@ -81,3 +81,15 @@ def test_report_arguments(spark):
     t = spark.createDataFrame([("2024-01-07 17:00:00",), ("2024-01-07 16:59:59",), ("2023-01-01 00:00:00",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     got = [tuple(r) for r in t.select(*(reports.bucket_label(F.col("t"), g) for g in ("day", "week", "month", "year"))).collect()]
     assert got == [("2024-01-08", "2024-W02", "2024-01", "2024"), ("2024-01-07", "2024-W01", "2024-01", "2024"), ("2023-01-01", "2022-W52", "2023-01", "2023")]
+
+
+def test_addresses_and_document_orders(spark):
+    rows = [(1, " An.Le+1@Example.COM "), (2, "a@example.com.vn"), (3, "a@sub.example.com"), (4, "a b@example.com"), (5, None), (6, "@example.com"), (7, "a@exampleXcom"), (8, "a@example.com\n")]
+    got = lifecycle.allowed_addresses(spark.createDataFrame(rows, "user_id int, email string"), ["example.com"]).filter("allowed")
+    assert [r.user_id for r in got.collect()] == [1, 8]
+    docs = [(1, "Đề thi.pdf", 5, 2, 30), (2, "ảnh.pdf", 7, 1, 10), (3, "Zalo.pdf", 7, 9, 20), (4, "dân.pdf", 1, 2, 40), (5, "an.pdf", 2, 3, 10)]
+    df = spark.createDataFrame(docs, "id int, file_name string, file_size int, chunk_count int, updated_at int")
+    order = lambda o: [r.id for r in reports.sort_documents(df, o).collect()]
+    assert order("name_asc") == [5, 2, 4, 1, 3] and order("name_desc") == [3, 1, 4, 2, 5]
+    assert order("size_desc") == [2, 3, 1, 5, 4] and order("chunks_desc") == [3, 5, 1, 4, 2]
+    assert order("updated_asc") == [2, 5, 3, 1, 4] and order("any") == [4, 1, 3, 2, 5]
