@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, mixing, quality, secrets, simhash, tokens, toxicity, urls, warc
+from . import decontaminate, extract, mixing, negatives, quality, secrets, simhash, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_negatives(spark, sf_dir):
+    return negatives.op11(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -62,5 +66,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+}
+ORACLES = {
+    "op1_quality": quality.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
+    "op6_urls": urls.OP6_SQL,
+    "op11_negatives": negatives.OP11_SQL,
 }
-ORACLES = {"op1_quality": quality.OP1_SQL, "op5_decontamination": decontaminate.OP5_SQL, "op3_warc": warc.OP3_SQL, "op6_urls": urls.OP6_SQL}
