@@ -284,10 +284,10 @@ def op11(embeddings: DataFrame) -> DataFrame:
 OP11_SQL = """
 WITH rows AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT a.vec_id AS anchor_id, a.label AS anchor_label, o.vec_id AS other_id, o.label AS other_label,
          CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
