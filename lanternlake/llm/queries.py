@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, mixing, negatives, quality, secrets, simhash, spelling, tokens, toxicity, urls, warc
+from . import decontaminate, extract, mixing, negatives, quality, secrets, simhash, spelling, substrings, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_negatives(spark, sf_dir):
     return negatives.op11(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substrings(spark, sf_dir):
+    return substrings.op12(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark, sf_dir):
     return spelling.op13(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_negatives": op11_negatives,
+    "op12_substrings": op12_substrings,
     "op13_spelling": op13_spelling,
 }
 ORACLES = {
