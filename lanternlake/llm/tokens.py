@@ -27,10 +27,15 @@ MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 #: Code points of a chunk.
 CHUNK = 192
-#: Compiled transitions (4 bytes each) kept by a Python worker before it begins anew.
-MAX_TABLE = 48_000_000
-#: States kept, which are Python objects of about 1 KB.
-MAX_STATES = 250_000
+#: Compiled transitions and states of a Python worker, which then begins anew, within a text if need be. A transition
+#: takes up to 48 bytes in the table, a state is a Python object of about 1 KB.
+MAX_TRANSITIONS, MAX_STATES = 1_000_000, 100_000
+#: Bytes of texts that are handled together.
+BLOCK_BYTES = 1 << 19
+#: Pairs of pieces that are remembered.
+MAX_PAIRS = 300_000
+#: Code points of a text that are handled together, and the fewest to which a stretch is cut when the tables are full.
+STRETCH, LEAST_STRETCH = 1 << 17, 1 << 10
 SPACE = "▁"
 _DELTA = 32
 #: Exit states of a stretch without word starts for all of which its chunks are tabulated, where their own do not meet.
@@ -84,10 +89,58 @@ class Vocabulary:
             return True
         key = (left, right)
         if key not in self.pairs:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
             self.pairs[key] = self.encode(left + right) == [left, right]
         return self.pairs[key]
 
 
+class Full(Exception):
+    """The tables of a transducer have reached their bound."""
+
+
+class Transitions:
+    """A hash table from (state, column) to packed transitions, of vectors at a time."""
+
+    def __init__(self):
+        self.size, self.bits = 0, 16
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the empty one where it would go."""
+        mask = len(self.keys) - 1
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            held = self.keys[slot[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return slot
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Packed transitions, -1 where there is none."""
+        slot = self.slots(keys)
+        return np.where(self.keys[slot] == keys, self.values[slot], -1)
+
+    def put(self, key: int, value: int) -> None:
+        if self.size >= MAX_TRANSITIONS:
+            raise Full
+        if 2 * self.size >= len(self.keys):
+            held = self.keys >= 0
+            keys, values = self.keys[held], self.values[held]
+            self.bits += 1
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+            while len(keys):  # of several keys for a slot one stays, the others go on
+                slot = self.slots(keys)
+                self.keys[slot], self.values[slot] = keys, values
+                left = self.keys[slot] != keys
+                keys, values = keys[left], values[left]
+        slot = self.slots(np.array([key]))[0]
+        self.size += self.keys[slot] < 0
+        self.keys[slot], self.values[slot] = key, value
+
+
 class Transducer:
     """Lazily compiled deterministic transducer of a vocabulary; see the module."""
 
@@ -100,8 +153,7 @@ class Transducer:
         self.own = {ord(p): p for p in vocabulary.score if len(p) == 1}
         self.known = np.zeros(0x110000, bool)
         self.known[list(self.own)] = True
-        self.width = 128
-        self.table = np.full(1024 * self.width, -1, np.int32)
+        self.table = Transitions()
         # A state is a tuple of (suffix that begins some piece, last piece before it, count before it
         # less the count here), shortest suffix first. The empty suffix always stands there.
         self.states: list[tuple] = [(("", None, 0),)]
@@ -116,10 +168,6 @@ class Transducer:
                 self.known[point] = False
                 self.column_of[point] = len(self.symbols)
                 self.symbols.append(self.own[point])
-            if len(self.symbols) > self.width:
-                wide = np.full((len(self.table) // self.width, len(self.symbols) * 5 // 4), -1, np.int32)
-                wide[:, : self.width] = self.table.reshape(-1, self.width)
-                self.width, self.table = wide.shape[1], wide.ravel()
         return self.column_of[points]
 
     def compile(self, state: int, column: int) -> int:
@@ -141,7 +189,7 @@ class Transducer:
             new = [("", piece, 0)]
             new += [(s + symbol, last, b - delta) for s, last, b in facts if s + symbol in vocabulary.prefixes]
             packed = self.pack(tuple(new), delta)
-        self.table[state * self.width + column] = packed
+        self.table.put(state << 32 | column, packed)
         return packed
 
     def pack(self, facts: tuple, delta: int) -> int:
@@ -151,16 +199,20 @@ class Transducer:
 
     def intern(self, facts: tuple) -> int:
         if facts not in self.number:
+            if len(self.states) >= MAX_STATES:
+                raise Full
             self.number[facts] = len(self.states)
             self.states.append(facts)
-            if len(self.states) * self.width > len(self.table):
-                rows = len(self.table) // self.width // 2 + 1
-                self.table = np.concatenate((self.table, np.full(rows * self.width, -1, np.int32)))
         return self.number[facts]
 
     def step(self, state: int, column: int) -> int:
-        packed = int(self.table[state * self.width + column])
-        return packed if packed >= 0 else self.compile(state, column)
+        table, key = self.table, state << 32 | column
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - table.bits
+        while (held := table.keys[slot]) != key:
+            if held < 0:
+                return self.compile(state, column)
+            slot = (slot + 1) & (len(table.keys) - 1)
+        return int(table.values[slot])
 
     def run(self, columns: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray):
         """Exit states and counts of the stretches ``columns[start:end]`` from their entry states."""
@@ -172,11 +224,11 @@ class Transducer:
         for k, n in enumerate(alive.tolist()):
             if n < 24:
                 break
-            key = s[:n] * self.width + columns[at[:n] + k]
-            packed = self.table[key]
+            key = s[:n] << 32 | columns[at[:n] + k]
+            packed = self.table.find(key)
             missing = np.flatnonzero(packed < 0)
             if len(missing):
-                pairs, where = np.unique(s[missing] * (1 << 32) + columns[at[missing] + k], return_inverse=True)
+                pairs, where = np.unique(key[missing], return_inverse=True)
                 packed[missing] = np.array([self.compile(int(p >> 32), int(p & 0xFFFFFFFF)) for p in pairs])[where]
             s[:n] = packed >> 6
             total[:n] += (packed & 63) - _DELTA
@@ -240,14 +292,20 @@ class Transducer:
         path = np.flatnonzero(marked[:-1])
         exits[keys[path] >> 32], counts[keys[path] >> 32] = to[path], change[path]
 
-    def counts(self, texts: Iterable[str]) -> np.ndarray:
+    def counts(self, texts: list[str]) -> np.ndarray:
         """Number of pieces of each text."""
-        texts = list(texts)
-        joined = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)
-        columns = self.column(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        return self.stretches([SPACE + t if t else t for t in texts])[0]
+
+    def stretches(self, texts: list[str], entry: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Pieces of each of ``texts``, and the facts of the state after the last one.
+
+        A text begins with SPACE, unless it is a single one that goes on from the facts ``entry``.
+        """
+        joined = "".join(texts).replace(" ", SPACE)
+        columns = self.column(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
         if not len(columns):
-            return np.zeros(len(texts), np.int64)
+            return np.zeros(len(texts), np.int64), entry or self.states[0]
         # Chunks: none crosses the end of a text.
         pieces = -(-sizes // CHUNK)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -257,29 +315,68 @@ class Transducer:
         ends = np.minimum(starts + CHUNK, (begin + sizes)[owner])
         # First word start of each chunk, or its end.
         is_space = columns == self.space
-        resets = np.flatnonzero(is_space & np.concatenate(([True], ~is_space[:-1])))
-        resets = np.union1d(resets, begin[sizes > 0])
+        resets = np.flatnonzero(is_space & np.concatenate(([entry is None], ~is_space[:-1])))
+        if entry is None:
+            resets = np.union1d(resets, begin[sizes > 0])
         at = np.searchsorted(resets, starts)
         first = np.minimum(np.append(resets, len(columns))[at], ends)
         exits, counts = self.run(columns, first, ends, np.zeros(len(starts), np.int64))
         constant = first < ends
+        if entry is not None:
+            exits[:1], counts[:1] = self.run(columns, starts[:1], ends[:1], np.array([self.intern(entry)]))
+            constant[0], first[0] = True, starts[0]
         self.compose(columns, starts, ends, constant, exits, counts)
         heads = np.flatnonzero(constant & (first > starts))
         counts[heads] += self.run(columns, starts[heads], first[heads], exits[heads - 1])[1]
-        return np.bincount(owner, counts, len(texts)).astype(np.int64)
+        return np.bincount(owner, counts, len(texts)).astype(np.int64), self.states[exits[-1]]
+
+
+class Counter:
+    """Counts texts with a transducer that begins anew whenever its tables are full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.machine = Transducer(vocabulary)
+
+    def stretches(self, texts: list[str], entry: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Like those of the transducer. What fills its tables is cut in two; a stretch of a text hands its facts on."""
+        for _ in range(2):
+            try:
+                return self.machine.stretches(texts, entry)
+            except Full:
+                self.machine = None
+                self.machine = Transducer(self.vocabulary)
+        if len(texts) > 1:
+            half = len(texts) // 2
+            first, second = self.stretches(texts[:half]), self.stretches(texts[half:])
+            return np.concatenate((first[0], second[0])), second[1]
+        text = texts[0]
+        if len(text) < LEAST_STRETCH:
+            raise ValueError("a short stretch fills the tables")
+        first = self.stretches([text[: len(text) // 2]], entry)
+        second = self.stretches([text[len(text) // 2 :]], first[1])
+        return first[0] + second[0], second[1]
+
+    def counts(self, texts: Iterable[str]) -> np.ndarray:
+        """Number of pieces of each text; a long one is taken in stretches."""
+        texts = [SPACE + t if t else t for t in texts]
+        if len(texts) > 1 or not texts or len(texts[0]) <= STRETCH:
+            return self.stretches(texts)[0]
+        total, facts = 0, None
+        for low in range(0, len(texts[0]), STRETCH):
+            found, facts = self.stretches([texts[0][low : low + STRETCH]], facts)
+            total += found
+        return total
 
 
-_machines: dict[str, Transducer] = {}
+_counters: dict[str, Counter] = {}
 
 
-def transducer(path: str) -> Transducer:
-    """The compiled transducer of a worker process; begun anew when its table has grown too large."""
-    machine = _machines.get(path)
-    if machine is None or len(machine.table) > MAX_TABLE or len(machine.states) > MAX_STATES:
-        vocabulary = machine.vocabulary if machine else Vocabulary(path)
-        vocabulary.pairs.clear()
-        machine = _machines[path] = Transducer(vocabulary)
-    return machine
+def counter(path: str) -> Counter:
+    """The counter of a worker process."""
+    if path not in _counters:
+        _counters[path] = Counter(Vocabulary(path))
+    return _counters[path]
 
 
 def _count(model: str):
@@ -290,8 +387,8 @@ def _count(model: str):
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             rest = batch.drop_columns(["text"])
-            for first, last, texts in text_blocks(text):
-                found = transducer(path).counts(t.decode("utf-8", "replace") for t in texts)
+            for first, last, texts in text_blocks(text, BLOCK_BYTES):
+                found = counter(path).counts(t.decode("utf-8", "replace") for t in texts)
                 part = rest.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "n_tokens"])
 

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -40,7 +43,7 @@ def test_a_million_characters_without_spaces(library):
     words = "the of tion ment heit und que les información straße".split()
     mixed = "".join(rng.choice(words) for _ in range(250_000))[:1_000_000]
     odd = "".join(rng.choice("abcdefgh中文字漢é😀") for _ in range(300_000))
-    machine = tokens.Transducer(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
+    machine = tokens.Counter(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
     assert len(mixed) == 1_000_000
     for text in (mixed, "a" * 1_000_000, "ab" * 250_000, "abc" * 100_001, odd, "x " + mixed[:5000] + " y" + "-" * 40_000):
         assert machine.counts([text]).tolist() == [len(library.encode(text))]
@@ -57,6 +60,42 @@ def test_state_maps_compose(library, monkeypatch):
         assert machine.counts(text).tolist() == want
 
 
+def test_full_tables_begin_anew_within_a_text(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_STATES", 400)
+    monkeypatch.setattr(tokens, "MAX_TRANSITIONS", 900)
+    monkeypatch.setattr(tokens, "STRETCH", 5000)
+    monkeypatch.setattr(tokens, "LEAST_STRETCH", 20)
+    monkeypatch.setattr(tokens, "MAX_PAIRS", 50)
+    long_ = "".join(texts()) * 2 + "the quick ment" * 300 + "ab" * 3000
+    counter = tokens.Counter(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
+    assert counter.counts([long_]).tolist() == [len(library.encode(long_))]
+    assert counter.counts(texts()).tolist() == [len(x) for x in library.encode(texts())]
+
+
+MEMORY = """
+import random, resource, sentencepiece, public_tokenizers, sys
+from lanternlake.llm import tokens
+path = public_tokenizers.path(tokens.MODEL)
+library = sentencepiece.SentencePieceProcessor(model_file=path)
+rng = random.Random(8)
+counter = tokens.Counter(tokens.Vocabulary(path))
+symbols = sorted(p for p in counter.vocabulary.score if len(p) == 1)
+counter.counts(["warm up"])
+texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(400_000)), "".join(rng.choice(symbols) for _ in range(400_000))]
+want = [len(library.encode(t)) for t in texts]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert counter.counts(texts).tolist() == want
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_memory_is_bounded():
+    env = dict(os.environ, PYTHONPATH=os.pathsep.join(sys.path))
+    out = subprocess.run([sys.executable, "-c", MEMORY], env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500_000  # KB
+
+
 def test_a_change_that_does_not_fit_is_an_error():
     machine = tokens.Transducer(tokens.Vocabulary(public_tokenizers.path(tokens.MODEL)))
     with pytest.raises(ValueError):
