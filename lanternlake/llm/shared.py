@@ -56,19 +56,24 @@ def row_key(*columns: str | Column) -> list[Column]:
     ]
 
 
-#: Rows of an Arrow batch for tables with texts.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch for tables with texts.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def map_texts(rows: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` in small batches.
 
-    Arrow holds a batch outside the heap on both sides of the pipe and bounds it by rows only, so a
-    session with larger batches is set to BATCH_ROWS, which rows of several KB need.
+    Arrow holds a batch outside the heap on both sides of the pipe, and its buffers double as they grow. A
+    session with larger batches is set to BATCH_ROWS and BATCH_BYTES. Plans run after this call returns, so
+    both settings stay for the session; they bound memory and change no result.
     """
+    conf = rows.sparkSession.conf
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(rows.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        rows.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"\d+b?", conf.get(name)) or not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return rows.mapInArrow(function, schema)
 
 
