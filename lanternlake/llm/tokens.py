@@ -29,9 +29,9 @@ TOKEN_LIMIT = 4096
 CHUNK = 192
 #: Compiled transitions and states of a Python worker, which then begins anew, within a text if need be. A transition
 #: takes up to 48 bytes in the table, a state is a Python object of about 1 KB.
-MAX_TRANSITIONS, MAX_STATES = 1_000_000, 100_000
+MAX_TRANSITIONS, MAX_STATES = 1_000_000, 250_000
 #: Bytes of texts that are handled together.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 #: Pairs of pieces that are remembered.
 MAX_PAIRS = 300_000
 #: Code points of a text that are handled together, and the fewest to which a stretch is cut when the tables are full.
@@ -123,22 +123,21 @@ class Transitions:
         slot = self.slots(keys)
         return np.where(self.keys[slot] == keys, self.values[slot], -1)
 
-    def put(self, key: int, value: int) -> None:
-        if self.size >= MAX_TRANSITIONS:
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add new keys, which differ from each other."""
+        self.size += len(keys)
+        if self.size > MAX_TRANSITIONS:
             raise Full
         if 2 * self.size >= len(self.keys):
             held = self.keys >= 0
-            keys, values = self.keys[held], self.values[held]
-            self.bits += 1
+            keys, values = np.concatenate((self.keys[held], keys)), np.concatenate((self.values[held], values))
+            self.bits = int(2 * self.size).bit_length() + 1
             self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-            while len(keys):  # of several keys for a slot one stays, the others go on
-                slot = self.slots(keys)
-                self.keys[slot], self.values[slot] = keys, values
-                left = self.keys[slot] != keys
-                keys, values = keys[left], values[left]
-        slot = self.slots(np.array([key]))[0]
-        self.size += self.keys[slot] < 0
-        self.keys[slot], self.values[slot] = key, value
+        while len(keys):  # of several keys for a slot one stays, the others go on
+            slot = self.slots(keys)
+            self.keys[slot], self.values[slot] = keys, values
+            left = self.keys[slot] != keys
+            keys, values = keys[left], values[left]
 
 
 class Transducer:
@@ -189,7 +188,6 @@ class Transducer:
             new = [("", piece, 0)]
             new += [(s + symbol, last, b - delta) for s, last, b in facts if s + symbol in vocabulary.prefixes]
             packed = self.pack(tuple(new), delta)
-        self.table.put(state << 32 | column, packed)
         return packed
 
     def pack(self, facts: tuple, delta: int) -> int:
@@ -210,7 +208,9 @@ class Transducer:
         slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - table.bits
         while (held := table.keys[slot]) != key:
             if held < 0:
-                return self.compile(state, column)
+                packed = self.compile(state, column)
+                self.table.put(np.array([key]), np.array([packed], np.int32))
+                return packed
             slot = (slot + 1) & (len(table.keys) - 1)
         return int(table.values[slot])
 
@@ -229,7 +229,11 @@ class Transducer:
             missing = np.flatnonzero(packed < 0)
             if len(missing):
                 pairs, where = np.unique(key[missing], return_inverse=True)
-                packed[missing] = np.array([self.compile(int(p >> 32), int(p & 0xFFFFFFFF)) for p in pairs])[where]
+                fresh = np.array([self.compile(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], np.int32)
+                packed[missing] = fresh[where]
+                # What compiled one on its way to another has put it already.
+                there = self.table.find(pairs) >= 0
+                self.table.put(pairs[~there], fresh[~there])
             s[:n] = packed >> 6
             total[:n] += (packed & 63) - _DELTA
         else:
