@@ -6,148 +6,47 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curation import intent, intent_factor
-from ..functions.text import channel_tokens, fold_ws, identifiers, token_set
+from ..functions.text import fold_ws, identifiers, token_set
+from ..sources.work import work_table
+from . import lexical
 
 TOP_K, FUSED, FINAL = 30, 15, 5
 RRF_K, WEIGHT = 60, 0.5
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query vectors that are compared at a time, and distinct terms of queries that are scored at a time.
-QUERY_BLOCK, TERM_BLOCK = 1024, 500_000
-#: Rows that are scored together, and term hits that are added up together.
-TILE, HITS = 1024, 4_000_000
-
-
-class _Best:
-    """The ``k`` best candidates of each query so far, equal scores by id."""
-
-    def __init__(self, queries: int, k: int, least: float):
-        self.k, self.floor, self.every = k, np.full(queries, least), np.arange(queries)
-        self.query, self.score, self.idx = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-
-    def offer(self, scores: np.ndarray, idx: np.ndarray) -> None:
-        """Scores (rows by queries) of the rows named ``idx``."""
-        row, query = np.nonzero(scores >= self.floor)
-        query, score = np.concatenate((self.query, query)), np.concatenate((self.score, scores[row, query]))
-        idx = np.concatenate((self.idx, idx[row]))
-        order = np.lexsort((idx, -score, query))
-        query, score, idx = query[order], score[order], idx[order]
-        place = np.arange(len(query)) - np.searchsorted(query, self.every)[query]
-        full = place == self.k - 1
-        self.floor[query[full]] = score[full]
-        kept = place < self.k
-        self.query, self.score, self.idx = query[kept], score[kept], idx[kept]
-
-    def rows(self, ids: pa.Array, name: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(self.query)), "idx": self.idx, name: self.score})
+#: Queries that are compared at a time, and rows that are scored together.
+QUERY_BLOCK, TILE = 1024, 1024
 
 
 def bm25_index(corpus: DataFrame) -> dict[str, DataFrame]:
-    """The two tables of an index of a corpus (idx, text), to be used at once or stored by ``store.install``.
-
-    ``documents`` is (idx, tokens); ``words`` is (token, df, length), where ``length`` shares out the
-    tokens of all documents, so that their sum is the length of the corpus. Null texts have no tokens.
-    """
-    documents = corpus.select(F.col("idx").cast("long").alias("idx"), channel_tokens(F.col("text")).alias("tokens"))
-    wide = documents.select(F.size("tokens").alias("dl"), F.posexplode(F.array_distinct("tokens")).alias("at", "token"))
-    words = wide.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl")).otherwise(0)).alias("length"))
-    return {"documents": documents, "words": words}
-
-
-def _raw_idf(n: int):
-    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-
-
-def bm25_stats(words: DataFrame, n: int) -> DataFrame:
-    """(token, df, idf) of ``n`` documents: negative idf values become a quarter of the mean idf."""
-    raw = words.select("token", "df", _raw_idf(n).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select(
-        "token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
-
-
-def _lexical(shared, k: int):
-    def run(batches):
-        ids, vocabulary, first, query, weight, mean = shared.value
-        best = _Best(len(ids), k, np.nextafter(0.0, 1.0))
-        for batch in batches:
-            idx, lists = batch.column(0).to_numpy(), batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
-            owner = np.repeat(np.arange(len(size)), size)[term >= 0]
-            key, tf = np.unique(owner * len(vocabulary) + term[term >= 0], return_counts=True)
-            row, term = np.divmod(key, len(vocabulary))
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
-            held = np.diff(first)[term]
-            head = np.searchsorted(row, np.arange(len(size) + 1))
-            tile = np.concatenate(([0], np.cumsum(held)))[head[:-1]] // HITS
-            edges = np.flatnonzero(np.diff(tile, prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:]):
-                hits = slice(head[a], head[b])
-                n = held[hits]
-                at = np.repeat(first[term[hits]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                cell = np.repeat(row[hits] - a, n) * len(ids) + query[at]
-                scores = np.bincount(cell, weight[at] * np.repeat(part[hits], n), minlength=(b - a) * len(ids))
-                best.offer(np.round(scores, 6).reshape(b - a, len(ids)), idx[a:b])
-        yield best.rows(ids, "bm25_score")
-
-    return run
+    """The tables of an index of a corpus (idx, text), to be used at once or stored by ``store.install``."""
+    return lexical.build(corpus)
 
 
 def bm25_top(queries: DataFrame, corpus: DataFrame | None, k: int = TOP_K, index: dict[str, DataFrame] | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, idx, bm25_score, bm25_rank): the ``k`` best positive scores, equal ones by idx.
 
-    ``queries`` is (query_id, text), repeated terms count each time; ``index`` holds the tables of
-    ``bm25_index``, by default those of ``corpus``. The terms of about ``block`` queries are broadcast at
-    a time; each task scores its documents against them and keeps ``k`` a query, so that neither
-    postings nor scores are shuffled. Queries that share no term with the corpus have no rows.
+    ``queries`` is (query_id, text); ``index`` holds the tables of ``bm25_index``, by default those of ``corpus``.
+    Queries that share no term with the corpus have no rows.
     """
-    spark = queries.sparkSession
-    index = index or bm25_index(corpus)
-    kind = queries.schema["query_id"].dataType.simpleString()
-    documents, words = index["documents"], index["words"].persist()
-    n = documents.select("idx").count()
-    whole = words.agg(F.sum("length").alias("length"), F.avg(_raw_idf(n)).alias("mean")).first()
-    order = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "idx")
-    parts = [spark.createDataFrame([], f"query_id {kind}, idx long, bm25_score double")]
-    if whole["length"]:
-        idf = F.when(_raw_idf(n) < 0, EPSILON * whole["mean"]).otherwise(_raw_idf(n))
-        terms = queries.select("query_id", F.explode(channel_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-        terms = terms.join(words, "token").select("query_id", "token", (F.col("qf") * idf).alias("weight")).persist()
-        size = terms.agg(F.count_distinct("query_id"), F.count("*")).first()
-        blocks = max(-(-size[0] // block), -(-size[1] // TERM_BLOCK))
-        for b in range(blocks):
-            mine = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-            table = mine.toArrow().sort_by([("token", "ascending"), ("query_id", "ascending")]).combine_chunks()
-            if table.num_rows:
-                ids, vocabulary = (pc.unique(table[c].combine_chunks()) for c in ("query_id", "token"))
-                number = pc.index_in(table["token"].combine_chunks(), value_set=vocabulary).to_numpy()
-                query = pc.index_in(table["query_id"].combine_chunks(), value_set=ids).to_numpy().astype(np.int64)
-                first = np.searchsorted(number, np.arange(len(vocabulary) + 1))
-                mean = whole["length"] / n
-                shared = spark.sparkContext.broadcast((ids, vocabulary, first, query, table["weight"].to_numpy(), mean))
-                parts.append(documents.mapInArrow(_lexical(shared, k), f"query_id {kind}, idx long, bm25_score double"))
-        terms.unpersist()
-    words.unpersist()
-    scores = reduce(DataFrame.union, parts[1:] or parts)
-    return scores.withColumn("bm25_rank", F.row_number().over(order)).filter(F.col("bm25_rank") <= k)
+    return lexical.search(queries, index or bm25_index(corpus), k, block)
 
 
 def _nearest(shared, k: int):
     def run(batches):
         ids, matrix = shared.value
-        best = _Best(len(ids), k, -np.inf)
+        best = lexical.Best(len(ids), k, np.full(len(ids), -np.inf))
+        every = np.arange(len(ids))
         for batch in batches:
             idx = batch.column(0).to_numpy()
             for at in range(0, len(idx), TILE):
                 vectors = np.stack(batch.column(1).slice(at, TILE).to_numpy(zero_copy_only=False)).astype(np.float64)
-                best.offer(np.round(vectors @ matrix.T, 6), idx[at : at + TILE])
-        yield best.rows(ids, "dense_score")
+                scores = np.round(vectors @ matrix.T, 6)
+                best.offer(np.tile(every, len(scores)), scores.ravel(), np.repeat(idx[at : at + TILE], len(every)))
+        best.merge()
+        yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(best.query)), "idx": best.idx, "dense_score": best.score})
 
     return run
 
@@ -156,7 +55,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int
     """(query_id, idx, dense_score, dense_rank): the ``k`` largest inner products of each query.
 
     Blocks of ``block`` query vectors are broadcast in turn; each task keeps ``k`` candidates a query, so
-    that pairs are never rows. Queries are (query_id, vector), the corpus is (idx, vector).
+    that pairs are never rows, and they are written before the next block is sent. Queries are (query_id, vector), the corpus is (idx, vector).
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -167,7 +66,9 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int
         rows = sorted((r["query_id"], r["vector"]) for r in mine.collect())
         if len(rows):
             shared = spark.sparkContext.broadcast((pa.array([r[0] for r in rows], pa.int64()), np.array([r[1] for r in rows], np.float64)))
-            parts.append(vectors.select(F.col("idx").cast("long"), "vector").mapInArrow(_nearest(shared, k), "query_id long, idx long, dense_score double"))
+            found = vectors.select(F.col("idx").cast("long"), "vector").mapInArrow(_nearest(shared, k), "query_id long, idx long, dense_score double")
+            parts.append(work_table(found, "dense-hits"))
+            shared.unpersist()
     if not parts:
         return spark.createDataFrame([], "query_id long, idx long, dense_score double, dense_rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "idx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curation, text
-from ..operators import chunks, evidence, retrieval, temporal
+from ..operators import chunks, evidence, lexical, retrieval, temporal
 from ..sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -59,8 +59,8 @@ DENSE = lambda q: f"""dense AS (SELECT query_id, idx, dense_score, row_number()
 
 @query(f"WITH {POST} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(s, d):
-    words = retrieval.bm25_index(corpus(s, d))["words"]
-    return retrieval.bm25_stats(words, read(s, d, "documents").count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    words = lexical.build(corpus(s, d))["words"]
+    return lexical.stats(words, read(s, d, "documents").count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {POST}, {SPARSE} SELECT query_id, idx, bm25_score, bm25_rank FROM sparse")
@@ -68,6 +68,12 @@ def bm25_topk(s, d):
     return retrieval.bm25_top(questions(s, d), corpus(s, d))
 
 
+@query()
+def bm25_skips(s, d):
+    """How many blocks of the index hold terms of a question, and of how many the postings are read."""
+    return lexical.skipped(questions(s, d), lexical.build(corpus(s, d)), retrieval.TOP_K)
+
+
 def vectors(s, d):
     return read(s, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
 

@@ -219,7 +219,7 @@ def test_bm25_blocks_and_a_stored_index_agree(spark, tmp_path):
     assert once == sorted(map(tuple, retrieval.bm25_top(asked, corpus, 4, block=3).collect()))
     root = str(tmp_path)
     store.install(root, retrieval.bm25_index(corpus))
-    kept = {name: store.load(spark, root, name) for name in ("documents", "words")}
+    kept = {name: store.load(spark, root, name) for name in ("blocks", "words", "totals")}
     assert once == sorted(map(tuple, retrieval.bm25_top(asked, None, 4, index=kept).collect()))
     every = retrieval.bm25_top(asked, corpus, 1000).collect()
     for q in {r.query_id for r in every}:
