@@ -138,9 +138,13 @@ def block_table(corpus: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     if rows.rdd.getNumPartitions() < cores:
         rows = rows.repartition(cores)
     counted = rows.select("idx", channel_tokens(F.col("text")).alias("tokens")).mapInArrow(_counted, "idx long, size int, sign string, terms array<string>, tf array<int>")
+    return laid_out(work_table(counted, "index-documents"), documents)
+
+
+def laid_out(counted: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+    """Blocks of documents (idx, size, sign, terms, tf), which are written, as their order is taken from a sample."""
     order = ["sign", "size", "idx"]
-    laid = work_table(counted, "index-documents").repartitionByRange(*order).sortWithinPartitions(*order)
-    return laid.mapInArrow(_blocks(documents), BLOCKS)
+    return counted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(documents), BLOCKS)
 
 
 def word_table(blocks: DataFrame) -> DataFrame:

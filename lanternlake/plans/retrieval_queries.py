@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import curation, text
-from ..operators import chunks, evidence, lexical, retrieval, temporal
+from ..operators import chunks, evidence, lexical, maintenance, retrieval, temporal
+from ..sources.work import shared_folder
 from ..sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -43,7 +46,8 @@ def bm25_tokens(s, d):
     return t.select("idx", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
-POST = f"""post AS MATERIALIZED (SELECT idx, token, count(*) AS tf FROM (SELECT doc_id AS idx, unnest({TOKENS('text')}) AS token FROM documents) GROUP BY 1, 2),
+POST = f"""cut AS MATERIALIZED (SELECT doc_id AS idx, {TOKENS('text')} AS tokens FROM documents),
+post AS MATERIALIZED (SELECT idx, token, count(*) AS tf FROM (SELECT idx, unnest(tokens) AS token FROM cut) GROUP BY 1, 2),
 size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) AS total),
 lens AS (SELECT idx, sum(tf) AS dl FROM post GROUP BY 1),
 dfs AS MATERIALIZED (SELECT token, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post GROUP BY 1),
@@ -68,6 +72,33 @@ def bm25_topk(s, d):
     return retrieval.bm25_top(questions(s, d), corpus(s, d))
 
 
+#: After three batches: a quarter of the documents came later, a fifth went, and half of that came back with their source.
+FINAL = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN source || ' ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0) AS final"
+
+
+def _maintained(s, d):
+    """The folder of an index of documents after a first build and three batches of changes."""
+    root = f"{shared_folder(s)}/maintained-{uuid.uuid4().hex}"
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("idx"), "doc_id", "text", "source")
+    maintenance.apply(root, docs.filter("doc_id % 4 <> 3"))
+    maintenance.apply(root, docs.filter("doc_id % 4 = 3"))
+    maintenance.apply(root, docs.limit(0), docs.filter("doc_id % 5 = 0").select("doc_id"))
+    again = F.concat("source", F.lit(" "), F.coalesce("text", F.lit("")))
+    maintenance.apply(root, docs.filter("doc_id % 10 = 0").withColumn("text", again))
+    return root
+
+
+@query(f"WITH {POST} SELECT token, df, round(idf, 6) AS idf FROM idf".replace("FROM documents", f"FROM {FINAL}"))
+def maintained_stats(s, d):
+    index = maintenance.load(s, _maintained(s, d))
+    return lexical.stats(index["words"], index["totals"].first()["documents"]).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {POST}, {SPARSE} SELECT query_id, idx, bm25_score, bm25_rank FROM sparse".replace("FROM documents", f"FROM {FINAL}"))
+def maintained_topk(s, d):
+    return retrieval.bm25_top(questions(s, d), None, index=maintenance.load(s, _maintained(s, d)))
+
+
 @query()
 def bm25_skips(s, d):
     """How many blocks of the index hold terms of a question, and of how many the postings are read."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pyarrow.fs as pafs
@@ -34,6 +35,27 @@ def point(root: str, version: str) -> None:
     fs.move(temporary, f"{path}/{POINTER}")
 
 
+def note(root: str, state: dict) -> str:
+    """Write what a version consists of, and make it current."""
+    version = uuid.uuid4().hex
+    fs, path = _folder(root)
+    fs.create_dir(f"{path}/{version}")
+    with fs.open_output_stream(f"{path}/{version}/state.json") as f:
+        f.write(json.dumps(state).encode())
+    point(root, version)
+    return version
+
+
+def read_note(root: str, version: str | None = None) -> dict | None:
+    """What a version consists of, the current one by default."""
+    version = version or current(root)
+    if version is None:
+        return None
+    fs, path = _folder(root)
+    with fs.open_input_stream(f"{path}/{version}/state.json") as f:
+        return json.loads(f.read())
+
+
 def install(root: str, tables: dict[str, DataFrame]) -> str:
     """Write all tables as a new version and make it current. A failure leaves the old version current."""
     version = uuid.uuid4().hex
