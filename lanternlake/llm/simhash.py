@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SPACE_SEPARATED, Block, PrefixHash, map_texts, materialise, row_key, text_blocks
+from .shared import SPACE_SEPARATED, Block, PrefixHash, all_columns, map_texts, materialise, row_key, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -24,6 +24,8 @@ BAND_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: Rounds in which texts are compared with two others of each shingle, before what is left is compared in full.
 STAR_ROUNDS = 2
+#: Shingles that a pair must share in the full comparison, among as many of its first ones as that takes.
+SHARED = 3
 #: Part of its shared shingles that a pair must show in such a round; it sets which pairs the round compares.
 STAR_SEEN = 0.25
 #: Texts and shingles of them from which the common shingles are known; they set an order and lose no pair.
@@ -316,8 +318,8 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
     share one among the first (1 - similarity) of each, so pairs meet there and none is lost. Rare shingles
     come first. In each of the ``rounds``, the sets of a shingle are compared with one set of its largest
     component and one by chance only; what this leaves in different components is compared in full, so the
-    rounds save pairs and lose none. There, pairs go whose parity bits differ in more places than the
-    shingles of similar sets can. All links are verified on whole texts.
+    rounds save pairs and lose none. There, pairs meet only on shingles that stand as early in both orders as the
+    sizes of the two ask for, and go whose parity bits differ in more places than the shingles of similar sets can. All links are verified on whole texts.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
@@ -325,7 +327,7 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
     prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
     parity = [F.first(b).alias(b) for b in PARITY]
     sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least"), *parity), "near-sets")
-    members = prints.select("_fp", "n", F.explode("prefix").alias("s")).distinct()
+    members = prints.select("_fp", "n", F.posexplode("prefix").alias("p", "s")).distinct()
     several = members.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
     shared = materialise(members.join(several, "s"), "shared-members")
 
@@ -359,14 +361,21 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
         if found.isEmpty():
             break
     wide = open_.join(sets.select("_fp", *PARITY), "_fp")
-    side = lambda k: wide.select("s", F.col("_fp").alias(k), *(F.col(c).alias(c + k) for c in ("n", "component", *PARITY)))
+    side = lambda k: wide.select("s", F.col("_fp").alias(k), *(F.col(c).alias(c + k) for c in ("n", "p", "component", *PARITY)))
     # Sets that share as much as they need differ in no more shingles than this, and so in no more bits.
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
     apart = sum((F.bit_count(F.col(f"b{i}a").bitwiseXOR(F.col(f"b{i}b"))) for i in range(4)), F.lit(0))
+    need = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+    # Sets that share ``need`` shingles share ``least`` of the first n - need + least of either.
+    outside = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
+    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), need - outside))
+    early = (F.col("pa") < F.col("na") - need + least) & (F.col("pb") < F.col("nb") - need + least)
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
     x, y = side("a"), side("b")
-    pairs = x.join(y, (x["s"] == y["s"]) & F.expr("a < b and componenta <> componentb") & (apart <= most)).drop(y["s"])
-    more = materialise(_verified(docs, sets, near(pairs), width, similarity), "near-links")
+    pairs = x.join(y, (x["s"] == y["s"]) & F.expr("a < b and componenta <> componentb") & sizes & early & (apart <= most)).drop(y["s"])
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("a", "b")
+    more = materialise(_verified(docs, sets, pairs, width, similarity), "near-links")
     if not more.isEmpty():
         groups = connected_components(more.union(groups))
     return _with_component(prints, sets, groups)
@@ -375,13 +384,16 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
 def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of its smallest doc_id.
 
-    Among rows that share that id, one stays. Rows of a component without any id keep the one with the
-    smallest content key.
+    Among rows that share that id, the one with the smallest content key stays, and among rows that share id and text
+    the one with the smallest hash of all columns. Rows of a component without any id keep the one with the
+    smallest content key. An empty table gives no rows.
     """
     found = similar_texts(docs, similarity, width)
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("component")).alias("_alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("best")
     )
     stay = best.select("best._k1", "best._k2")
-    keyed = docs.select(F.struct("*").alias("_row"), *row_key("doc_id", "text"))
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    order = F.struct(*(F.xxhash64(F.lit(n), *all_columns(docs)) for n in (3, 4)))
+    keyed = docs.select(F.struct("*").alias("_row"), order.alias("_order"), *row_key("doc_id", "text"))
+    kept = keyed.join(stay, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min_by("_row", "_order").alias("_row"))
+    return kept.select("_row.*")

@@ -103,3 +103,37 @@ def test_parity_bits_bound_the_difference():
         b = np.concatenate((a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64)))
         apart = int(np.bitwise_count((simhash.parity_bits(a) ^ simhash.parity_bits(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_full_comparison_loses_no_link(spark):
+    """Without star rounds all pairs meet in the full comparison; sets of many sizes, shared runs, and random edits."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(40)]
+    rows = []
+    for base in range(10):
+        words = list(rng.choice(vocabulary, int(rng.integers(6, 120))))
+        for _ in range(6):
+            mine = list(words)
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(0, len(mine)))
+                mine[at : at + int(rng.integers(0, 2))] = list(rng.choice(vocabulary, int(rng.integers(0, 3))))
+            rows.append((len(rows), " ".join(mine)))
+    root = list(range(len(rows)))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if jaccard(a, b) >= 0.8:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        assert {r.doc_id: r.component_id for r in simhash.similar_texts(df, rounds=rounds).collect()} == dict(enumerate(root))
+    assert 10 < len(set(root)) < 60
+
+
+def test_rows_with_one_id_and_text_leave_the_same_one(spark):
+    rows = [(7, "one text of five words", f"s{i}", {"k": i}) for i in range(8)]
+    kept = set()
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>").repartition(parts)
+        kept.add(tuple(r.source for r in simhash.keep_one(df).collect()))
+    assert len(kept) == 1 and len(kept.pop()) == 1
