@@ -145,12 +145,11 @@ def question_with_image(question: Column, image_text: Column, valid: Column) ->
 
 
 def size_label(size: Column) -> Column:
-    """Bytes as B, KB or MB with one decimal."""
-    kb, mb = size / 1024, size / 1048576
+    """Bytes as B, KB or MB with one decimal, ties upward."""
     return (
-        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1048576, F.concat(F.format_number(kb, 1), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(mb, 1), F.lit(" MB")))
+        F.when(size < 1024, F.format_string("%d B", size))
+        .when(size < 1048576, F.format_string("%.1f KB", size / 1024))
+        .otherwise(F.format_string("%.1f MB", size / 1048576))
     )
 
 

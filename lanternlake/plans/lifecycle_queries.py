@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import curation
-from ..operators import evidence, lifecycle as L
-from ..sources import tables as T
+from ..operators import evidence, history, lifecycle as L, retention
+from ..sources import payload, store, tables as T
+from ..sources.work import shared_folder
 from ..sources.tables import AS_OF, CHAT_SQL, DOCUMENTS_SQL, FEEDBACK_SQL, SESSIONS_SQL, USERS_SQL, with_sql
 
 QUERIES, ORACLES = {}, {}
@@ -266,10 +269,78 @@ def storage_totals(s, d):
     return T.catalogue_documents(s, d).groupBy("status").agg(F.sum("file_size").alias("bytes"), F.count("*").alias("files"))
 
 
-@query(f"{D} SELECT id, CASE WHEN file_size < 1024 THEN file_size || ' B' ELSE format('{{:.1f}} KB', file_size / 1024) END AS label FROM stored WHERE file_size < 1048576")
+#: Sizes from bytes to hundreds of MB: the last digit of the id says how often a size is taken times 11.
+SIZES = "file_size * CAST(pow(11, id % 6) AS BIGINT) // 121"
+
+
+@query(
+    f"{D} SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', floor(n * 10 / 1024 + 0.5) / 10)"
+    " ELSE format('{:.1f} MB', floor(n * 10 / 1048576 + 0.5) / 10) END AS label"
+    f" FROM (SELECT id, CAST({SIZES} AS BIGINT) AS n FROM stored)"
+)
 def size_labels(s, d):
-    small = T.catalogue_documents(s, d).filter("file_size < 1048576")
-    return small.select("id", curation.size_label(F.col("file_size")).alias("label"))
+    sizes = F.floor(F.col("file_size") * F.pow(F.lit(11), F.col("id") % 6).cast("long") / 121).cast("long")
+    return T.catalogue_documents(s, d).select("id", curation.size_label(sizes).alias("label"))
+
+
+def _card_versions(s, d):
+    """Three versions of cards made of customers: the first, one with unwanted changes, and a later one."""
+    first = T.read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    changed = first.filter("id % 10 <> 9").select("id", F.expr("if(id % 3 = 0, concat(upper(name), '!'), name)").alias("name"), "segment", F.expr("if(id % 4 = 0, null, cents)").alias("cents"))
+    second = changed.union(first.filter("id % 50 = 0").select(F.col("id") + 1000001, F.lit("new"), "segment", "cents"))
+    third = second.select("id", "name", F.expr("if(id % 5 = 0, 'X', segment)").alias("segment"), F.expr("if(id % 8 = 0, -1, cents)").alias("cents"))
+    return first, second, third
+
+
+CARDS = """one AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer),
+two AS (SELECT id, CASE WHEN id % 3 = 0 THEN upper(name) || '!' ELSE name END AS name, segment, CASE WHEN id % 4 <> 0 THEN cents END AS cents FROM one WHERE id % 10 <> 9
+  UNION ALL SELECT id + 1000001, 'new', segment, cents FROM one WHERE id % 50 = 0),
+three AS (SELECT id, name, CASE WHEN id % 5 = 0 THEN 'X' ELSE segment END AS segment, CASE WHEN id % 8 = 0 THEN -1 ELSE cents END AS cents FROM two),
+pairs AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  a.name AS n1, b.name AS n2, a.segment AS s1, b.segment AS s2, CAST(a.cents AS VARCHAR) AS c1, CAST(b.cents AS VARCHAR) AS c2 FROM one a FULL JOIN two b ON a.id = b.id),
+edits AS (SELECT id, change, 'name' AS field, n1 AS old, n2 AS new FROM pairs UNION ALL SELECT id, change, 'segment', s1, s2 FROM pairs UNION ALL SELECT id, change, 'cents', c1, c2 FROM pairs),
+changes AS (SELECT * FROM edits WHERE old IS DISTINCT FROM new)"""
+
+
+@query(f"WITH {CARDS} SELECT * FROM changes")
+def row_changes(s, d):
+    first, second, _ = _card_versions(s, d)
+    return history.changes(first, second, ["id"])
+
+
+@query(
+    f"WITH {CARDS} SELECT t.id, coalesce(o.name, t.name) AS name, t.segment, CASE WHEN o.id IS NOT NULL AND t.id % 4 = 0 AND t.id % 8 <> 0 THEN o.cents ELSE t.cents END AS cents"
+    " FROM three t LEFT JOIN one o USING (id) WHERE o.id IS NOT NULL OR EXISTS (SELECT 1 FROM two w WHERE w.id = t.id AND (w.segment IS DISTINCT FROM t.segment OR w.cents IS DISTINCT FROM t.cents))"
+    " UNION ALL SELECT * FROM one WHERE id % 10 = 9"
+)
+def row_restore(s, d):
+    """The later version without the unwanted changes; what was changed again since stays."""
+    first, second, third = _card_versions(s, d)
+    return history.taken_back(third, history.changes(first, second, ["id"]), ["id"])[0]
+
+
+@query(
+    f"WITH {CARDS} SELECT t.id, field, old, new, '-1' AS current FROM three t JOIN changes USING (id) WHERE change = 'changed' AND field = 'cents' AND t.id % 8 = 0 AND new IS DISTINCT FROM '-1'"
+)
+def restore_conflicts(s, d):
+    first, second, third = _card_versions(s, d)
+    return history.taken_back(third, history.changes(first, second, ["id"]), ["id"], ["cents", "name"])[1]
+
+
+@query(
+    f"{CS}, due AS (SELECT batch_id FROM chat_logs WHERE is_deleted AND deleted_at <= TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 30 DAY"
+    " UNION SELECT batch_id FROM sessions WHERE is_deleted AND deleted_at <= TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 30 DAY),"
+    " k AS (SELECT * FROM chat_logs WHERE batch_id IS NULL OR batch_id NOT IN (FROM due)),"
+    " t AS (SELECT session_id FROM chat_logs WHERE batch_id IN (FROM due) UNION SELECT session_id FROM sessions WHERE batch_id IN (FROM due))"
+    " SELECT 'chat' AS kind, CAST(id AS VARCHAR) AS key FROM k UNION ALL SELECT 'session', session_id FROM sessions WHERE session_id NOT IN (FROM t) OR session_id IN (SELECT session_id FROM k)"
+)
+def retention_job(s, d):
+    """Chats and sessions that the retention job leaves, run over a store of the operational tables."""
+    root = f"{shared_folder(s)}/retention-{uuid.uuid4().hex}"
+    store.install(root, {"chats": T.chat_logs(s, d), "sessions": T.sessions(s, d), "users": T.users(s, d)})
+    retention.run(s, root, "2024-02-10 12:00:00")
+    left = store.load(s, root, "chats").select(F.lit("chat").alias("kind"), F.col("id").cast("string").alias("key"))
+    return left.union(store.load(s, root, "sessions").select(F.lit("session"), "session_id"))
 
 
 @query(f"{CS} SELECT count(*) AS batches FROM (SELECT batch_id FROM chat_logs WHERE is_deleted GROUP BY 1 HAVING bool_and(deleted_by = user_id))")
@@ -306,3 +377,30 @@ def unique_pages(s, d):
 
 
 QUERIES["unique_pages"] = unique_pages
+
+
+#: A payload of each conversation: lists of user texts with scores, nested in the turns before, and pairs of other texts.
+PAYLOADS = """turns AS (SELECT conv_id, turn, role, to_json(text) AS t, (turn * 7 + conv_id) % 10 AS k FROM conversations WHERE text IS NOT NULL),
+level AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '{"rec_texts":[' || t || ',"  "],"rec_scores":[0.' || k || '],"page":{"turn":' || turn || '}}'
+  ELSE '{"a":{"blocks":[[' || t || ',0.' || k || '],[[' || t || ',1],"' || role || '"]]}}' END AS j FROM turns)"""
+
+
+@query(
+    f"WITH {PAYLOADS}, payloads AS (SELECT conv_id, '[' || string_agg(j, ',' ORDER BY turn, j) || ']' AS p FROM level GROUP BY 1),"
+    " nodes AS (SELECT conv_id, key, value, type, id, parent FROM payloads, json_tree(p::JSON)),"
+    " listed AS (SELECT t.conv_id, json_extract_string(t.value, '$') AS text, coalesce(CAST(json_extract(s.value, '$[' || t.key || ']') AS DOUBLE), 1.0) AS score"
+    "  FROM nodes l JOIN nodes t ON t.conv_id = l.conv_id AND t.parent = l.id LEFT JOIN nodes s ON s.conv_id = l.conv_id AND s.parent = l.parent AND s.key = 'rec_scores' WHERE l.key = 'rec_texts'),"
+    " paired AS (SELECT conv_id, json_extract_string(value, '$[0]') AS text, CAST(json_extract(value, '$[1]') AS DOUBLE) AS score FROM nodes"
+    "  WHERE type = 'ARRAY' AND coalesce(key, '') NOT IN ('rec_texts', 'rec_scores') AND json_array_length(value) = 2 AND json_type(value, '$[0]') = 'VARCHAR' AND json_type(value, '$[1]') IN ('UBIGINT', 'BIGINT', 'DOUBLE'))"
+    " SELECT conv_id, trim(text, ' ') AS text, count(*) AS n FROM (FROM listed UNION ALL FROM paired) WHERE score >= 0.5 AND (trim(text, ' ') <> '') GROUP BY 1, 2"
+)
+def payload_texts(s, d):
+    """Texts with a score of 0.5 or more in nested payloads made of conversations."""
+    text = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    k = ((F.col("turn") * 7 + F.col("conv_id")) % 10).cast("string")
+    listed = F.concat(F.lit('{"rec_texts":['), text, F.lit(',"  "],"rec_scores":[0.'), k, F.lit('],"page":{"turn":'), F.col("turn").cast("string"), F.lit("}}"))
+    paired = F.concat(F.lit('{"a":{"blocks":[['), text, F.lit(",0."), k, F.lit("],[["), text, F.lit(',1],"'), "role", F.lit('"]]}}'))
+    turns = T.read(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.when(F.col("role") == "user", listed).otherwise(paired).alias("j"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "j"))).alias("l"))
+    payloads = whole.select(F.col("conv_id").alias("id"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("payload"))
+    return payload.texts(payloads, 0.5).filter("text <> ''").groupBy(F.col("id").alias("conv_id"), "text").agg(F.count("*").alias("n"))

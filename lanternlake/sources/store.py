@@ -25,10 +25,14 @@ def current(root: str) -> str | None:
         return f.read().decode().strip()
 
 
-def point(root: str, version: str) -> None:
-    """Make a version current in one rename; also the way back to an older one."""
+def point(root: str, version: str | None) -> None:
+    """Make a version current in one rename; also the way back to an older one, or to none."""
     fs, path = _folder(root)
     fs.create_dir(path)
+    if version is None:
+        if fs.get_file_info(f"{path}/{POINTER}").type == pafs.FileType.File:
+            fs.delete_file(f"{path}/{POINTER}")
+        return
     temporary = f"{path}/{POINTER}-{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary) as f:
         f.write(version.encode())
@@ -56,19 +60,27 @@ def read_note(root: str, version: str | None = None) -> dict | None:
         return json.loads(f.read())
 
 
-def install(root: str, tables: dict[str, DataFrame]) -> str:
-    """Write all tables as a new version and make it current. A failure leaves the old version current."""
+def write_version(root: str, tables: dict[str, DataFrame]) -> str:
+    """Write all tables as a new version, which is not current yet."""
     version = uuid.uuid4().hex
     for name, table in tables.items():
         table.write.parquet(f"{root}/{version}/{name}")
+    return version
+
+
+def install(root: str, tables: dict[str, DataFrame]) -> str:
+    """Write all tables as a new version and make it current. A failure leaves the old version current."""
+    version = write_version(root, tables)
     point(root, version)
     return version
 
 
 def load(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame | None:
-    """A table of a version, the current one by default; none where nothing is installed."""
+    """A table of a version, the current one by default; none where it is not there."""
     version = version or current(root)
-    return spark.read.parquet(f"{root}/{version}/{name}") if version else None
+    if version is None or _folder(root)[0].get_file_info(f"{_folder(root)[1]}/{version}/{name}").type == pafs.FileType.NotFound:
+        return None
+    return spark.read.parquet(f"{root}/{version}/{name}")
 
 
 def write_manifest(documents: DataFrame, path: str) -> None:
