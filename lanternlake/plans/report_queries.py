@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..sources import tables as T
-from ..streaming import replay
+from ..sources.work import shared_folder
+from ..streaming import online, refresh, replay
 from ..sources.tables import AS_OF, CHAT_SQL, DOCUMENTS_SQL, FEEDBACK_SQL, TOPICS_SQL, USERS_SQL, with_sql
 
 START, END = "2024-01-05", "2024-01-24"
@@ -212,3 +215,23 @@ def user_search(s, d):
 def events_replay(s, d):
     """Structured Streaming over the event files, to their end. Days are those of the session zone, UTC here."""
     return replay.replay(s, d)
+
+
+@query(
+    f"{CHAT} SELECT user_id FROM chat_logs WHERE created_at <= TIMESTAMP '{AS_OF}' GROUP BY 1 HAVING max(created_at) >= TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE"
+)
+def online_stream(s, d):
+    """Users online at a time, from exact stretches that a stateful stream over the event files keeps."""
+    return online.replay_online(s, d, AS_OF, 60)
+
+
+def _live_chats(events):
+    return T.chat_rows(events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).filter(~F.col("is_deleted"))
+
+
+@query(f"{CHAT} SELECT {BUCKET['day']} AS bucket, {FIGURES} FROM chat_logs WHERE NOT is_deleted GROUP BY 1")
+def timeline_refreshed(s, d):
+    """Daily figures of all live chats, kept by a stream over the event files."""
+    root = f"{shared_folder(s)}/timeline-{uuid.uuid4().hex}"
+    refresh.keep_figures(replay.events(s, d), root, _live_chats, None).awaitTermination()
+    return refresh.figures(s, root)

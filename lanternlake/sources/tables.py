@@ -55,7 +55,11 @@ TOPICS_SQL = """topics(topic_id, name) AS (VALUES (1, 'click'), (2, 'view'), (3,
 
 
 def chat_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return chat_rows(read(spark, sf_dir, "events"))
+
+
+def chat_rows(e: DataFrame) -> DataFrame:
+    """Events as chats."""
     k = F.get_json_object("props", "$.k").cast("int")
     topic = F.coalesce(*(F.when(F.col("event_type") == n, F.lit(i)) for i, n in TOPICS))
     deleted = k % 10 == 0

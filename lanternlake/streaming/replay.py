@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.work import shared_folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -38,16 +41,19 @@ def refresh(stream: DataFrame, action: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def replay(spark: SparkSession, folder: str, window: str = "1 day") -> DataFrame:
-    """Counts of all events in a folder by window and type, streamed to the end; one row per window and type."""
-    query = (
-        windowed_counts(events(spark, folder), window, "10 days")
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName("lanternlake_replay")
-        .trigger(availableNow=True)
-        .start()
-    )
+def replay(spark: SparkSession, folder: str, window: str = "1 day", late: str = "10 days") -> DataFrame:
+    """Counts of all events in a folder by window and type, streamed to the end; one row per window and type.
+
+    Changed counts go to a folder of their batch, which a second run of the batch replaces, and the last count of
+    each window and type is the result, so that neither the driver nor one task holds all of them.
+    """
+    root = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+
+    def write(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+
+    counts = windowed_counts(events(spark, folder), window, late).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table("lanternlake_replay")
+    found = spark.read.schema("day string, event_type string, events long, batch long").parquet(f"{root}/counts")
+    return found.groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
