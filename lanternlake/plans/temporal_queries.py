@@ -1,4 +1,4 @@
-"""Version queries over literal documents, which the driver tables have none of, with SQL where it can express them."""
+"""Version queries over documents that are named and dated by their rows, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import temporal as X
+from ..sources.tables import read
+from . import derived as D
+from .retrieval_queries import FOLD
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,201 +23,150 @@ def query(sql=None):
     return register
 
 
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    """A SQL table of literal rows."""
-    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+DATE_SQL = r"(^|[^0-9])((0?[1-9]|[12][0-9]|3[01])[./_-](0?[1-9]|1[0-2])[./_-](20[0-9]{2}|[0-9]{2}))($|[^0-9])"
 
 
-DATED = [
-    (1, "ban 01.02.2024 va 1-2-24"), (2, "31.02.2024 khong co"), (3, "ip 70.23.22.57"), (4, "so 1.2.24.5"), (5, "x101.02.20245"),
-    (6, None), (7, "5/6/2023, 15_12_22; 9-9-99"),
-]
-
-
-@query()
+@query(
+    f"WITH {D.DATED_SQL}, raws AS (SELECT id, unnest(regexp_extract_all(t, '{DATE_SQL}', 2)) AS raw FROM dated),"
+    " parts AS (SELECT id, raw, string_split_regex(raw, '[./_-]') AS p FROM raws),"
+    " days AS (SELECT id, raw, try_cast((CASE WHEN length(p[3]) = 2 THEN '20' || p[3] ELSE p[3] END) || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[1], 2, '0') AS DATE) AS day FROM parts)"
+    " SELECT id, strftime(day, '%Y-%m-%d') AS day, raw FROM days WHERE day IS NOT NULL"
+)
 def extract_dates(s, d):
-    t = s.createDataFrame(DATED, "id int, t string")
-    return t.select("id", F.explode(X.extract_dates("t")).alias("x")).select("id", "x.day", "x.raw", "x.at")
+    found = D.dated(s, d).select("id", F.explode(X.extract_dates("t")).alias("x"))
+    return found.select("id", "x.day", "x.raw")
 
 
-#: (source, content): versions, audiences, an abbreviation, a bridge that must not merge two families.
-DOCUMENTS = [
-    ("1. HDSD EOS 01.02.2024.pdf", "sinh vien dang nhap he thong lam bai kiem tra tren may tinh"),
-    ("Hướng dẫn sử dụng EOS 15.03.2024.pdf", "sinh vien dang nhap he thong lam bai kiem tra tren may tinh moi"),
-    ("Hướng dẫn sử dụng EOS speaking 20.03.2024.pdf", "speaking test va speaking phong thi"),
-    ("Quy chế thi GV 10.01.2023.docx", "giam thi coi thi phong may giam thi"),
-    ("Quy chế thi GV 12.01.2024 final.docx", "giam thi coi thi phong may giam thi ky luat"),
-    ("Quy chế phòng máy.docx", "noi quy phong may"),
-    ("Hướng dẫn.pdf", "huong dan chung"),
-    ("Lịch thi spring 2024.xlsx", "lich thi cac mon"),
-    ("Lich thi fall 2023.xlsx", "lich thi cac mon khac"),
-    ("02.02.2024.pdf", "khong co ten"),
-]
+def words_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
 
 
-def documents(s):
-    return s.createDataFrame(DOCUMENTS, "source string, content string")
+DISTINCT = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+SPELLED = " ".join(f"WHEN '{k}' THEN {words_sql([]) if not v else '[' + ', '.join(repr(x) for x in v) + ']'}" for k, v in X.ABBREVIATIONS.items())
+PROFILES = f"""{D.NAMED_SQL},
+stems AS (SELECT source, content, regexp_replace(regexp_replace(regexp_replace({FOLD("source")}, '[.][^.]+$', ''), '{DATE_SQL}', '\\1 \\6', 'g'), '^ *[0-9]+ *[.)_-]+ *', ' ') AS n FROM named),
+worded AS (SELECT source, content, flatten(list_transform(list_filter(regexp_extract_all(n, '[a-z][a-z0-9]*'), lambda w: NOT list_contains({words_sql(X.TITLE_NOISE)}, w)),
+  lambda w: CASE w {SPELLED} ELSE [w] END)) AS words FROM stems),
+topics AS (SELECT source, content, words, list_filter(words, lambda w: NOT list_contains({words_sql(X.AUDIENCE | X.TITLE_CONNECTORS)}, w)) AS topic,
+  {FOLD("left(coalesce(content, ''), 12000)")} AS sample, {FOLD("left(coalesce(content, ''), 20000)")} AS body FROM worded),
+counted AS (SELECT *, len(regexp_extract_all(sample, '{X.GUARDS}')) AS guards, len(regexp_extract_all(sample, '{X.LEARNERS}')) AS learners, array_to_string(words, ' ') AS joined FROM topics),
+profiles AS (SELECT source, coalesce(nullif(array_to_string({DISTINCT("topic")}, ' '), ''), 'document') AS canonical, array_to_string(list_sort(list_distinct(topic)), ' ') AS title_tokens,
+  CASE WHEN list_contains(words, 'speaking') THEN 'speaking' WHEN regexp_matches(joined, '{X.TITLE_GUARDS}') THEN 'invigilator' WHEN regexp_matches(joined, '{X.TITLE_LEARNERS}') THEN 'student'
+    WHEN len(regexp_extract_all(sample, '\\bspeaking\\b')) >= 2 THEN 'speaking' WHEN guards >= 2 AND guards >= 0.35 * learners THEN 'invigilator' WHEN learners >= 3 AND guards = 0 THEN 'student' ELSE 'general' END AS subtype,
+  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(body, '[a-z][a-z0-9]+'), lambda w: NOT list_contains({words_sql(X.CONTENT_STOPWORDS)}, w)))), ' ') AS terms FROM counted)"""
 
 
-@query()
+@query(f"WITH {PROFILES} SELECT source, canonical, title_tokens, subtype, sha256(terms) AS terms FROM profiles")
 def title_profile(s, d):
-    p = X.title_profiles(documents(s))
-    return p.select("source", "canonical", F.array_join("title_tokens", " ").alias("title_tokens"), "subtype", F.array_join("terms", " ").alias("terms"))
+    p = X.title_profiles(D.named(s, d))
+    return p.select("source", "canonical", F.array_join("title_tokens", " ").alias("title_tokens"), "subtype", F.sha2(F.array_join("terms", " "), 256).alias("terms"))
 
 
-@query()
-def family_links(s, d):
-    return X.family_links(X.title_profiles(documents(s))).select("left", "right", F.round("score", 6).alias("score"))
+SLUG = "left(regexp_replace(regexp_replace(canonical, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 42)"
 
 
-def _families(s):
-    profiles = X.title_profiles(documents(s))
-    links = X.family_links(profiles)
-    return X.families(profiles, links, X.link_components(links))
+@query(f"WITH {PROFILES} SELECT source, 'auto_' || coalesce(nullif({SLUG}, ''), 'document') || '_' || subtype || '_' || left(sha1(canonical || '|' || subtype), 8) AS family_id FROM profiles")
+def family_id(s, d):
+    """The family that a document would found alone."""
+    return X.title_profiles(D.named(s, d)).select("source", X.family_id(F.col("canonical"), F.col("subtype")).alias("family_id"))
 
 
 @query()
-def families(s, d):
-    return _families(s)
+def family_links(s, d):
+    links = X.class_links(X.title_classes(X.title_profiles(D.named(s, d))))
+    return links.select("left", "right", F.round("least", 6).alias("least"), "linked", F.round("total", 4).alias("total"))
 
 
 @query()
-def family_label(s, d):
-    return _families(s).select("family_id", "label", "subtype", "size").distinct()
+def families(s, d):
+    return X.families(X.title_profiles(D.named(s, d)))
 
 
 @query()
-def family_confidence(s, d):
-    return _families(s).groupBy("family_id").agg(F.round(F.max("confidence"), 6).alias("confidence"))
+def family_label(s, d):
+    found = X.families(X.title_profiles(D.named(s, d)))
+    return found.groupBy("family_id", "label", "subtype").agg(F.count("*").alias("documents"))
 
 
 @query()
-def family_id(s, d):
-    return _families(s).select("source", "family_id")
+def family_confidence(s, d):
+    found = X.families(X.title_profiles(D.named(s, d)))
+    return found.groupBy("family_id").agg(F.max("confidence").alias("confidence"), F.max("size").alias("largest"))
 
 
 @query()
 def temporal_discover(s, d):
-    pages = s.createDataFrame([("notes.pdf", i, t) for i, t in PAGES], "source string, page int, content string")
-    return X.discover(documents(s), pages)
-
-
-PAGES = [
-    (1, "Phien ban EOSClient.zip ngay 01.02.2024"), (2, "khong dau hieu 01.02.2024"), (3, "update 05.06.2024"),
-    (4, "lich thi ngay thi 01.02.2024 version PEALogin"), (5, "tai phan mem: PEALogin 1.2.2024 va PEALogin 3.4.2024 update"), (6, None),
-]
+    notices = D.release_pages(s, d).select(F.concat(F.lit("notice "), (F.col("id") % 97).cast("string"), F.lit(".pdf")).alias("source"), F.floor(F.col("id") / 97).cast("int").alias("page"), "content")
+    return X.discover(D.named(s, d), notices)
 
 
 @query()
 def release_dates(s, d):
-    return X.release_dates(s.createDataFrame(PAGES, "id int, content string")).drop("content")
-
+    return X.release_dates(D.release_pages(s, d)).drop("content")
 
-GENERATED = [("a.pdf", "f1", "2024-01-01", "candidate"), ("b.pdf", "f1", "2024-03-01", "candidate"), ("c.pdf", "f2", "2023-05-05", "candidate"), ("d.pdf", "f1", "2024-03-01", "candidate")]
-MANUAL = [("b.pdf", "f1", "2023-12-01", "verified"), ("e.pdf", "f2", "2024-06-06", "verified"), ("c.pdf", None, None, "verified")]
-COLUMNS = "source, family_id, day, temporal_status"
-TYPES = "source string, family_id string, day string, temporal_status string"
-MERGED = f"""{values("g", COLUMNS, GENERATED)}, {values("m", COLUMNS, MANUAL)},
-merged AS (SELECT coalesce(m.source, g.source) AS source, coalesce(m.family_id, g.family_id) AS family_id, coalesce(m.day, g.day) AS day,
-coalesce(m.temporal_status, g.temporal_status) AS temporal_status FROM g FULL JOIN m ON g.source = m.source),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY family_id ORDER BY day) AS version_rank FROM merged)"""
 
-
-@query(f"WITH {values('g', COLUMNS, GENERATED)} SELECT *, dense_rank() OVER (PARTITION BY family_id ORDER BY day) AS version_rank FROM g")
+@query(f"WITH {D.NAMED_SQL}, {D.MANIFEST_SQL} SELECT source, family_id, day, dense_rank() OVER (PARTITION BY family_id ORDER BY day) AS version_rank FROM g")
 def version_rank(s, d):
-    return X.version_ranks(s.createDataFrame(GENERATED, TYPES))
-
+    return X.version_ranks(D.generated(s, d).drop("temporal_status"))
 
-def _merged(s):
-    return X.merge_manifests(s.createDataFrame(GENERATED, TYPES), s.createDataFrame(MANUAL, TYPES))
 
-
-@query(f"WITH {MERGED} SELECT * FROM ranked")
+@query(f"WITH {D.NAMED_SQL}, {D.MANIFEST_SQL} SELECT * FROM ranked")
 def manifest_merge(s, d):
-    return _merged(s)
+    return D.merged(s, d)
 
 
-ROWS = [("a", None, "f", 1), ("a", None, "f", 2), ("b", 1, "f", 0), ("", 2, " ", 1), ("c", 0, "g", None), (None, 3, "g", 1)]
+ODD = "odd AS (SELECT CASE WHEN doc_id % 13 = 0 THEN '  ' WHEN doc_id % 17 <> 0 THEN source END AS source, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 40 - 1 AS INT) END AS page, CASE WHEN doc_id % 19 = 0 THEN '' ELSE lang END AS family_id, CAST(doc_id % 5 AS INT) AS version_rank FROM documents)"
 
 
 @query(
-    f"WITH {values('r', 'source, page, family_id, version_rank', ROWS)} SELECT source, page, 'no source' AS problem FROM r WHERE trim(coalesce(source, '')) = ''"
-    " UNION ALL SELECT source, page, 'no family' FROM r WHERE trim(coalesce(family_id, '')) = '' UNION ALL SELECT source, page, 'bad rank' FROM r WHERE version_rank < 1"
-    " UNION ALL SELECT source, page, 'bad page' FROM r WHERE page < 1 UNION ALL SELECT source, page, 'twice' FROM r GROUP BY source, page HAVING count(*) > 1"
+    f"WITH {ODD} SELECT source, page, 'no source' AS problem FROM odd WHERE trim(coalesce(source, '')) = ''"
+    " UNION ALL SELECT source, page, 'no family' FROM odd WHERE trim(coalesce(family_id, '')) = '' UNION ALL SELECT source, page, 'bad rank' FROM odd WHERE version_rank < 1"
+    " UNION ALL SELECT source, page, 'bad page' FROM odd WHERE page < 1 UNION ALL SELECT source, page, 'twice' FROM odd GROUP BY source, page HAVING count(*) > 1"
 )
 def manifest_validate(s, d):
-    return X.manifest_errors(s.createDataFrame(ROWS, "source string, page int, family_id string, version_rank int"))
-
+    n = F.col("doc_id")
+    odd = read(s, d, "documents").select(
+        F.when(n % 13 == 0, "  ").when(n % 17 != 0, F.col("source")).alias("source"), F.when(n % 3 > 0, (n % 40 - 1).cast("int")).alias("page"),
+        F.when(n % 19 == 0, "").otherwise(F.col("lang")).alias("family_id"), (n % 5).cast("int").alias("version_rank"),
+    )
+    return X.manifest_errors(odd)
 
-CHUNKS = [("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("b.pdf", 1, "three"), ("c.pdf", 1, "four"), ("e.pdf", 1, "five"), ("zz.pdf", 1, "six"), ("d.pdf", 1, "seven")]
-OVERRIDES = [("a.pdf", 2, "f9", "2024-09-09", 2, "verified", "seen on the screen"), ("b.pdf", 1, None, None, 5, None, None)]
-OVER_COLUMNS = "source, page, family_id, day, version_rank, temporal_status, verified_visual_fact"
-ENRICHED = f"""{MERGED}, {values("c", "source, page, text", CHUNKS)}, {values("o", OVER_COLUMNS, OVERRIDES)},
-enriched AS (SELECT c.source, c.page, concat_ws(chr(10), text, verified_visual_fact) AS text, coalesce(o.family_id, r.family_id) AS family_id, coalesce(o.day, r.day) AS day,
-coalesce(o.version_rank, r.version_rank) AS version_rank, coalesce(o.temporal_status, r.temporal_status) AS temporal_status
-FROM c LEFT JOIN ranked r USING (source) LEFT JOIN o ON o.source = c.source AND o.page = c.page)"""
 
-
-def _enriched(s):
-    chunks = s.createDataFrame(CHUNKS, "source string, page int, text string")
-    over = s.createDataFrame(OVERRIDES, "source string, page int, family_id string, day string, version_rank int, temporal_status string, verified_visual_fact string")
-    return X.enrich(chunks, _merged(s), over).select("source", "page", "text", "family_id", "day", "version_rank", "temporal_status")
-
-
-@query(f"WITH {ENRICHED} SELECT * FROM enriched")
+@query(f"WITH {D.ENRICHED_SQL} SELECT * FROM enriched")
 def temporal_enrich(s, d):
-    return _enriched(s)
+    return D.enriched(s, d)
 
 
 CATALOG = """SELECT family_id, max(version_rank) AS newest_rank, count(DISTINCT version_rank) AS n_ranks FROM {t} WHERE family_id IS NOT NULL
 GROUP BY family_id HAVING bool_and(coalesce(temporal_status = 'verified' AND version_rank IS NOT NULL, false)) AND count(DISTINCT version_rank) >= 2"""
 
 
-@query(f"WITH {ENRICHED} {CATALOG.format(t='enriched')}")
+@query(f"WITH {D.ENRICHED_SQL}, sure AS (SELECT * REPLACE (CASE WHEN CAST(substr(family_id, 2) AS INT) % 2 = 0 THEN 'verified' ELSE temporal_status END AS temporal_status) FROM enriched) {CATALOG.format(t='sure')}")
 def temporal_catalog(s, d):
-    return X.catalog(_enriched(s))
-
-
-#: (query_id, query, family_id, version_rank, cand_id, source, heading, content, score, position)
-CANDIDATES = [
-    (1, "cài đặt EOS SEB-101", "f1", 1, 10, "old.pdf", "EOS", "cai dat EOS ma loi SEB-101 tren may", 0.5, 0),
-    (1, "cài đặt EOS SEB-101", "f1", 2, 11, "new.pdf", "EOS", "cai dat EOS phien ban khac", 0.6, 1),
-    (1, "cài đặt EOS SEB-101", "f2", 2, 12, "only.pdf", None, "noi dung khac", 0.2, 2),
-    (2, "phiên bản mới nhất của EOS", "f1", 1, 10, "old.pdf", "EOS", "phien ban EOS cu", 0.4, 0),
-    (2, "phiên bản mới nhất của EOS", "f1", 2, 11, "new.pdf", "EOS", "EOS moi", 0.3, 1),
-    (2, "phiên bản mới nhất của EOS", "f2", 1, 13, "older.pdf", None, "EOS ban truoc", 0.2, 2),
-    (3, "quy định phòng thi", "f2", 1, 13, "older.pdf", None, "quy dinh phong thi day du", 0.5, 0),
-    (3, "quy định phòng thi", "f9", 1, 14, "free.pdf", None, "quy dinh", 0.3, 1),
-    (4, "đăng nhập wifi", "f1", 1, 10, "old.pdf", "Mạng", "dang nhap wifi bang tai khoan", 0.5, 0),
-    (4, "đăng nhập wifi", "f1", 2, 11, "new.pdf", "Mạng", "dang nhap wifi bang tai khoan moi", 0.5, 1),
-]
-CANDIDATE_TYPES = "query_id int, query string, family_id string, version_rank int, cand_id int, source string, heading string, content string, score double, position int"
-NEWEST = [("f1", 2, 11, "new.pdf", "EOS", "EOS moi"), ("f2", 2, 12, "only.pdf", None, "noi dung khac"), ("f2", 2, 15, "only.pdf", None, "EOS phien ban moi nhat")]
-
-
-def _candidates(s):
-    return s.createDataFrame(CANDIDATES, CANDIDATE_TYPES).withColumn("section_path", F.col("heading"))
+    """Families of enriched pages, after those with even numbers were verified by hand."""
+    even = F.expr("cast(substring(family_id, 2) as int) % 2 = 0")
+    return X.catalog(D.enriched(s, d).withColumn("temporal_status", F.when(even, "verified").otherwise(F.col("temporal_status"))))
 
 
 @query()
 def claim_features(s, d):
-    out = X.claim_features(_candidates(s).withColumn("relevance", F.col("score")))
+    out = X.claim_features(D.candidates(s, d).withColumn("relevance", F.col("score")))
     return out.select("query_id", "family_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("coverage", "bigram", "bm25_norm", "ident", "relevance", "differential")))
 
 
 @query()
 def temporal_resolve(s, d):
-    """Injection of missing newest versions, features, and the choice within each family."""
-    newest = s.createDataFrame(NEWEST, "family_id string, version_rank int, cand_id int, source string, heading string, content string")
-    eligible = s.createDataFrame([("f1", 2, 2), ("f2", 2, 2)], "family_id string, newest_rank int, n_ranks int")
-    out = X.resolve(_candidates(s), eligible, newest.withColumn("section_path", F.col("heading")))
+    """Injection of missing newest versions, features, and the choice within each family, for all questions."""
+    families_ = D.catalogue(s, d)
+    out = X.resolve(D.candidates(s, d), families_, D.newest(s, d, families_))
     return out.select("query_id", "family_id", "cand_id", "version_rank", F.round("score", 6).alias("score"), "action", "historical", "rank")
 
 
-ASKED = [(1, "bản mới nhất"), (2, "Current VERSION?"), (3, "bản cũ"), (4, None)]
+SQUEEZED = lambda c: f"trim(regexp_replace({FOLD(c)}, '\\s+', ' ', 'g'))"
+ASKED = "CASE turn % 5 WHEN 0 THEN text || ' bản MỚI   nhất?' WHEN 1 THEN 'Current' || chr(10) || 'Version ' || text ELSE text END"
 
 
-@query()
+@query(f"SELECT conv_id, turn, {' OR '.join(f'contains({SQUEEZED(ASKED)}, {m!r})' for m in X.LATEST_MARKERS)} AS latest FROM conversations WHERE text IS NOT NULL")
 def latest_intent(s, d):
-    return s.createDataFrame(ASKED, "id int, q string").select("id", X.asks_latest(text.fold_ws("q")).alias("latest"))
+    asked = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" bản MỚI   nhất?"))).when(F.col("turn") % 5 == 1, F.concat(F.lit("Current\nVersion "), "text")).otherwise(F.col("text"))
+    return read(s, d, "conversations").filter("text is not null").select("conv_id", "turn", X.asks_latest(text.fold_ws(asked)).alias("latest"))
