@@ -372,8 +372,11 @@ def session_search(s, d):
 
 
 def unique_pages(s, d):
-    hashes = [(1, 0, 0), (1, 1, 0b111), (1, 2, (1 << 20) - 1), (1, 3, -1), (2, 0, 5), (2, 1, 5)]
-    return evidence.unique_pages(s.createDataFrame(hashes, "answer_id long, position int, phash long"))
+    """Pages that conversations show, without look-alikes: the hash of a page differs from that of its conversation in a few or many bits."""
+    turns = T.read(s, d, "conversations")
+    shift = lambda n: F.expr(f"shiftright(9223372036854775807, 63 - cast({n} as int))")
+    phash = F.xxhash64("conv_id").bitwiseXOR(shift("(turn * 11) % 40"))
+    return evidence.unique_pages(turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").cast("int").alias("position"), phash.alias("phash")))
 
 
 QUERIES["unique_pages"] = unique_pages

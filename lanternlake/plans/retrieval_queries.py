@@ -324,20 +324,22 @@ def page_heading(s, d):
     return read(s, d, "documents").select("doc_id", chunks.page_heading(F.col("text")).alias("heading"))
 
 
-ANSWERS = [
-    (1, "A [Sử dụng E1] b [Nguồn: E2] , c [Evidence E1].", [("E1", "x.pdf", 0.01), ("E2", "y.pdf", 0.03), ("E3", "y.pdf", 0.02)]),
-    (2, "See [e3]  and [E 2]\n\n\n\nend [tham khảo : E3]", [("E2", "a.pdf", None), ("E3", "b.pdf", None)]),
-    (3, "nothing [E9] here", []),
-    (4, "[E1][E2][E3][E2]", [("E1", "one.pdf", -5.0), ("E2", "two.pdf", 0.0), ("E3", "two.pdf", 0.0)]),
-]
-ANSWERS_SQL = "answers(answer_id, answer) AS (VALUES " + ", ".join(f"({i}, '{a}')" for i, a, _ in ANSWERS) + ")"
-NORMAL_SQL = r"regexp_replace(answer, '\[\s*(?:(?:sử dụng|nguồn|tham khảo|evidence)\s*:?\s*)?E\s*(\d+)\s*\]', '[E\1]', 'gi')"
-
-
-def _answers(s):
-    return s.createDataFrame([(i, a) for i, a, _ in ANSWERS], "answer_id int, answer string")
+#: Answers with citations in several spellings, made of the assistants' turns, and evidence for each.
+def _answers(s, d):
+    t = read(s, d, "conversations").filter("role = 'assistant' and text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+    mark = lambda shift: ((F.col("turn") + F.col("conv_id") + shift) % 5 + 1).cast("string")
+    answer = F.concat(
+        F.substring("text", F.lit(1), half), F.lit(" [Sử dụng E"), mark(0), F.lit("] , "), F.expr("substring(text, floor(length(text) / 2) + 1)"), F.lit("  [nguồn : e"), mark(1),
+        F.lit("]\n\n\n\nxem [E"), mark(3), F.lit("][Evidence E"), mark(0), F.lit("] ."),
+    )
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), answer.alias("answer"))
 
 
+ANSWERS_SQL = """turns AS (SELECT conv_id * 1000 + turn AS answer_id, text, CAST(floor(length(text) / 2) AS BIGINT) AS half, turn + conv_id AS k FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+answers AS (SELECT answer_id, left(text, half) || ' [Sử dụng E' || (k % 5 + 1) || '] , ' || substr(text, half + 1) || '  [nguồn : e' || ((k + 1) % 5 + 1) || ']' || repeat(chr(10), 4)
+  || 'xem [E' || ((k + 3) % 5 + 1) || '][Evidence E' || (k % 5 + 1) || '] .' AS answer FROM turns)"""
+NORMAL_SQL = r"regexp_replace(answer, '\[\s*(?:(?:sử dụng|nguồn|tham khảo|evidence)\s*:?\s*)?E\s*(\d+)\s*\]', '[E\1]', 'gi')"
 STRIP_SQL = NORMAL_SQL
 for pattern, new in ((r"\[[Ee]\d+\]", ""), (r"[ \t]+(\n|$)", r"\1"), (" {2,}", " "), (r"\s+([,.;:!?])", r"\1"), (r"\n{3,}", "__NL2__")):
     STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{pattern}', " + ("chr(10) || chr(10)" if new == "__NL2__" else f"'{new}'") + ", 'g')"
@@ -346,38 +348,46 @@ for pattern, new in ((r"\[[Ee]\d+\]", ""), (r"[ \t]+(\n|$)", r"\1"), (" {2,}", "
 @query(f"WITH {ANSWERS_SQL} SELECT answer_id, {NORMAL_SQL} AS normal, array_to_string(list_transform(regexp_extract_all({NORMAL_SQL}, '\\[[Ee](\\d+)\\]', 1), lambda n: 'E' || n), ',') AS ids, trim({STRIP_SQL}, ' ' || chr(10)) AS plain FROM answers")
 def citations(s, d):
     a = F.col("answer")
-    return _answers(s).select("answer_id", curation.normalise_citations(a).alias("normal"), F.array_join(curation.cited(a), ",").alias("ids"), curation.strip_citations(a).alias("plain"))
+    return _answers(s, d).select("answer_id", curation.normalise_citations(a).alias("normal"), F.array_join(curation.cited(a), ",").alias("ids"), curation.strip_citations(a).alias("plain"))
 
 
-EVIDENCE_SQL = "ev(answer_id, evidence_id, file_name, score) AS (VALUES " + ", ".join(
-    f"({i}, '{e}', '{f}', {'NULL' if x is None else x}::DOUBLE)" for i, _, ev in ANSWERS for e, f, x in ev
-) + ")"
+def _evidence(s, d):
+    """Four pieces of evidence for each answer, some without a score or below zero."""
+    rows = _answers(s, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i"))
+    score = F.when((F.col("answer_id") + F.col("i")) % 7 != 0, ((F.col("answer_id") * 7 + F.col("i") * 3) % 11 - 2) / 100)
+    return rows.select("answer_id", F.concat(F.lit("e"), F.col("i").cast("string")).alias("evidence_id"), F.concat(F.lit("f"), ((F.col("answer_id") + F.col("i")) % 3).cast("string"), F.lit(".pdf")).alias("file_name"), score.alias("score"))
 
 
 @query(
-    f"WITH {ANSWERS_SQL}, {EVIDENCE_SQL}, ids AS (SELECT answer_id, list_transform(regexp_extract_all({NORMAL_SQL}, '\\[[Ee](\\d+)\\]', 1), lambda n: 'E' || n) AS l FROM answers),"
+    f"WITH {ANSWERS_SQL}, ev AS (SELECT answer_id, 'E' || i AS evidence_id, 'f' || ((answer_id + i) % 3) || '.pdf' AS file_name, CASE WHEN (answer_id + i) % 7 <> 0 THEN ((answer_id * 7 + i * 3) % 11 - 2) / 100 END AS score FROM answers, range(1, 5) AS r(i)),"
+    f" ids AS (SELECT answer_id, list_transform(regexp_extract_all({NORMAL_SQL}, '\\[[Ee](\\d+)\\]', 1), lambda n: 'E' || n) AS l FROM answers),"
     " c AS (SELECT answer_id, l[i] AS evidence_id, min(i) AS position FROM ids, unnest(range(1, len(l) + 1)) AS t(i) GROUP BY 1, 2),"
     " f AS (SELECT answer_id, file_name, round(sum(greatest(coalesce(score, 0), 0)), 9) AS total, count(*) AS n, max(greatest(coalesce(score, 0), 0)) AS best, min(position) AS first"
     " FROM c JOIN ev USING (answer_id, evidence_id) GROUP BY 1, 2)"
     " SELECT answer_id, file_name FROM f QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY total DESC, n DESC, best DESC, first) = 1"
 )
 def primary_source(s, d):
-    cited = _answers(s).select("answer_id", F.posexplode(curation.cited(F.col("answer"))).alias("position", "evidence_id"))
-    ev = s.createDataFrame([(i, e, f, x) for i, _, es in ANSWERS for e, f, x in es], "answer_id int, evidence_id string, file_name string, score double")
-    return evidence.primary_source(cited, ev)
+    cited = _answers(s, d).select("answer_id", F.posexplode(curation.cited(F.col("answer"))).alias("position", "evidence_id"))
+    return evidence.primary_source(cited, _evidence(s, d))
 
 
-STEPS = [("A", "login", 1, [1, 2]), ("A", "login", 2, [3]), ("A", "login", 4, [4, 5]), ("A", "login", 7, [6]), ("A", "login", 8, [1]), ("A", "submit", 3, [1]), ("B", "login", 1, [2]), ("B", "login", 2, [2])]
-STEPS_SQL = "st(source, section, page, steps) AS (VALUES " + ", ".join(f"('{a}', '{b}', {p}, {n})" for a, b, p, n in STEPS) + ")"
 ISLANDS = """m AS (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR page - lag(page) OVER w > 2 OR list_min(steps) <= lag(list_max(steps)) OVER w THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY source, section ORDER BY page)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY source, section ORDER BY page) AS island FROM m)"""
-ISLANDS_SQL = f"{STEPS_SQL}, {ISLANDS}"
+#: Pages of procedures: the parts of an order are steps on the page of its day, for each kind of customer.
+STEPS_SQL = """st AS (SELECT 'guide ' || (l_partkey % 500) AS source, l_linestatus || l_returnflag AS section, CAST(l_orderkey % 60 AS INT) AS page, array_agg(DISTINCT CAST(l_linenumber + l_orderkey % 60 // 2 AS INT)) AS steps FROM lineitem GROUP BY ALL)"""
 
 
-@query(f"WITH {ISLANDS_SQL} SELECT source, section, page, (SELECT string_agg(h.page::VARCHAR, ',' ORDER BY h.page) FROM g h WHERE h.source = g.source AND h.section = g.section AND h.island = g.island) AS pages FROM g")
+def _steps(s, d):
+    page = (F.col("l_orderkey") % 60).cast("int")
+    step = (F.col("l_linenumber") + F.floor(F.col("l_orderkey") % 60 / 2)).cast("int")
+    rows = read(s, d, "lineitem").select(F.concat(F.lit("guide "), (F.col("l_partkey") % 500).cast("string")).alias("source"), F.concat("l_linestatus", "l_returnflag").alias("section"), page.alias("page"), step.alias("step"))
+    return rows.groupBy("source", "section", "page").agg(F.collect_set("step").alias("steps"))
+
+
+@query(f"WITH {STEPS_SQL}, {ISLANDS}, w AS (SELECT source, section, island, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM g GROUP BY ALL) SELECT source, section, page, pages FROM g JOIN w USING (source, section, island)")
 def procedural_pages(s, d):
-    df = s.createDataFrame(STEPS, "source string, section string, page int, steps array<int>")
-    return evidence.procedural_pages(df).select("source", "section", "page", F.array_join(F.col("group_pages").cast("array<string>"), ",").alias("pages"))
+    found = evidence.procedural_pages(_steps(s, d))
+    return found.select("source", "section", "page", F.array_join(F.col("group_pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query(
@@ -399,49 +409,97 @@ def procedure_catalogue(s, d):
     return evidence.procedure_catalogue(rows).select("source", "section", "page", F.array_join(F.col("group_pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query(f"WITH {ISLANDS_SQL} SELECT DISTINCT 1 AS answer_id, g.source AS file_name, h.page FROM g JOIN g h USING (source, section, island) WHERE g.page IN (2, 3)")
+@query(f"WITH {STEPS_SQL}, {ISLANDS} SELECT DISTINCT g.page AS answer_id, g.source AS file_name, h.page FROM g JOIN g h USING (source, section, island) WHERE list_min(g.steps) % 3 = 0")
 def page_refs(s, d):
-    df = s.createDataFrame(STEPS, "source string, section string, page int, steps array<int>")
-    ev = evidence.procedural_pages(df).filter("page IN (2, 3)").select(F.lit(1).alias("answer_id"), F.col("source").alias("file_name"), "page", F.col("group_pages").alias("procedural_pages"))
-    return evidence.page_references(ev)
+    """Pages of whole procedures that answers rest on: an answer for each page number, from chunks whose first step is a third."""
+    found = evidence.procedural_pages(_steps(s, d)).filter(F.array_min("steps") % 3 == 0)
+    return evidence.page_references(found.select(F.col("page").alias("answer_id"), F.col("source").alias("file_name"), "page", F.col("group_pages").alias("procedural_pages")))
 
 
-VOICE = [(1, "vào phòng  thu mở WIFI"), (2, "phòng thử và Usb"), (3, "giám thi nói wifi6"), (4, "khảo thí EOSClient")]
+SPOKEN = ("vào phòng  thu mở WIFI ngay", "trong phòng thử và Usb", "giám thi nói wifi6 rồi", "khảo thí, EOSClient; giam thi!", "không có gì")
+SPOKEN_SQL = "(" + str(list(SPOKEN)) + ")[(turn + conv_id) % 5 + 1]"
 
 
-@query()
+def _spoken(s, d):
+    said = F.element_at(F.array(*map(F.lit, SPOKEN)), ((F.col("turn") + F.col("conv_id")) % 5 + 1).cast("int"))
+    return read(s, d, "conversations").filter("text is not null").withColumn("said", said)
+
+
+FIXED_SQL = f"trim(regexp_replace({SPOKEN_SQL} || ' ' || text || '  ' || {SPOKEN_SQL}, '\\s+', ' ', 'g'))"
+for wrong, right in curation.VOICE_FIXES:
+    FIXED_SQL = f"regexp_replace({FIXED_SQL}, '(^|[^\\p{{L}}\\p{{N}}_]){wrong}($|[^\\p{{L}}\\p{{N}}_])', '\\1{right}\\2', 'gi')"
+
+
+@query(f"SELECT conv_id, turn, {FIXED_SQL} AS fixed FROM conversations WHERE text IS NOT NULL")
 def voice_fixes(s, d):
-    return s.createDataFrame(VOICE, "id int, text string").select("id", curation.voice_fixes(F.col("text")).alias("fixed"))
+    t = _spoken(s, d)
+    return t.select("conv_id", "turn", curation.voice_fixes(F.concat("said", F.lit(" "), "text", F.lit("  "), "said")).alias("fixed"))
 
 
-@query(
-    "WITH v(id, a, b) AS (VALUES (1, 'dùng usb', 'dùng USB'), (2, 'mở EOSClient', 'mở eos'), (3, 'khảo thí', 'thi'), (4, 'none', 'x'))"
-    " SELECT id, " + " AND ".join(f"(NOT contains(lower(a), '{t.lower()}') OR contains(lower(b), '{t.lower()}'))" for t in curation.VOICE_TERMS) + " AS kept FROM v"
-)
+KEPT_SQL = " AND ".join(f"(NOT contains(lower(a), '{t.lower()}') OR contains(lower(b), '{t.lower()}'))" for t in curation.VOICE_TERMS)
+
+
+@query(f"SELECT conv_id, turn, {KEPT_SQL} AS kept FROM (SELECT conv_id, turn, text || ' ' || {SPOKEN_SQL} AS a, CASE WHEN turn % 2 = 0 THEN upper({SPOKEN_SQL}) || text ELSE text || ' usb wi-fi' END AS b FROM conversations WHERE text IS NOT NULL)")
 def protected_terms(s, d):
-    v = s.createDataFrame([(1, "dùng usb", "dùng USB"), (2, "mở EOSClient", "mở eos"), (3, "khảo thí", "thi"), (4, "none", "x")], "id int, a string, b string")
-    return v.select("id", curation.preserves_terms(F.col("a"), F.col("b")).alias("kept"))
+    t = _spoken(s, d).withColumns({"a": F.concat("text", F.lit(" "), "said"), "b": F.when(F.col("turn") % 2 == 0, F.concat(F.upper("said"), "text")).otherwise(F.concat("text", F.lit(" usb wi-fi")))})
+    return t.select("conv_id", "turn", curation.preserves_terms(F.col("a"), F.col("b")).alias("kept"))
 
 
-REPLIES = ['x {"valid": true, "relevant": false, "error_text": " E1 "} y', '{"valid": "true", "relevant": true, "error_text": "a"}', "free text", '{"valid": true, "relevant": true, "error_text": 5}', '{"valid": true, "relevant": true, "error_text": "  "}', '{"valid": true, "relevant": true, "error_text": "' + "z" * 501 + '"}']
+#: Replies of a model about an image, good and bad ones, around the texts of conversations (as JSON strings).
+REPLIES = ("so {{\"relevant\": true, \"error_text\": {t}}} end", "{{\"relevant\": \"true\", \"error_text\": {t}}}", "{{\"relevant\": true, \"error_text\": 5, \"t\": {t}}}", "{{\"relevant\": true, \"error_text\": {t}", "{{\"relevant\": false, \"error_text\": {t}}}", "x {t}")
 
 
-@query()
+def _pieces(reply: str) -> list[str]:
+    return reply.replace("{{", "{").replace("}}", "}").split("{t}")
+
+
+REPLY_SQL = "CASE (turn + conv_id) % 6 " + " ".join(f"WHEN {i} THEN '{_pieces(r)[0]}' || to_json(left(text, 40 * ((turn + conv_id) % 16 + 1))) || '{_pieces(r)[1]}'" for i, r in enumerate(REPLIES)) + " END"
+
+
+@query(
+    f"WITH r AS (SELECT conv_id, turn, regexp_extract({REPLY_SQL}, '\\{{.*\\}}', 0, 's') AS j FROM conversations WHERE text IS NOT NULL),"
+    " f AS (SELECT conv_id, turn, CASE WHEN json_valid(j) AND j <> '' THEN json_extract(j, '$.relevant') END AS rel, CASE WHEN json_valid(j) AND j <> '' THEN json_extract(j, '$.error_text') END AS err FROM r),"
+    " g AS (SELECT conv_id, turn, coalesce(json_type(rel) = 'BOOLEAN' AND rel::VARCHAR = 'true', false) AS rel, CASE WHEN json_type(err) = 'VARCHAR' THEN trim(regexp_replace(json_extract_string(err, '$'), '\\s+', ' ', 'g')) END AS t FROM f)"
+    " SELECT conv_id, turn, coalesce(rel AND length(t) BETWEEN 1 AND 500, false) AS relevant, CASE WHEN coalesce(rel AND length(t) BETWEEN 1 AND 500, false) THEN t ELSE '' END AS error_text FROM g"
+)
 def json_fail_closed(s, d):
-    v = s.createDataFrame(list(enumerate(REPLIES)), "id int, reply string")
-    return v.select("id", curation.parse_verdict(F.col("reply")).alias("v")).select("id", "v.*")
+    k = F.col("turn") + F.col("conv_id")
+    short = F.expr("left(text, cast(40 * ((turn + conv_id) % 16 + 1) as int))")
+    t = read(s, d, "conversations").filter("text is not null").withColumn("short", short)
+    quoted = F.expr("substring(to_json(struct(short as t)), 6, length(to_json(struct(short as t))) - 6)")
+    forms = [F.concat(F.lit(_pieces(r)[0]), quoted, F.lit(_pieces(r)[1])) for r in REPLIES]
+    reply = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    return t.select("conv_id", "turn", curation.parse_verdict(reply).alias("v")).select("conv_id", "turn", "v.*")
 
 
-@query()
+SPLIT = r"(^|[^0-9])([0-9]{1,2}[./_-][0-9]{1,2}[./_-])20[./_-]([0-9]{2})($|[^0-9])"
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, count(*) AS n, regexp_replace(t, '" + SPLIT + r"', '\1\220\3\4', 'g') AS t FROM (SELECT l_orderkey, l_linenumber, 'ngay ' || strftime(l_shipdate, '%d.%m.20.%y') || ' den  ' || strftime(l_shipdate, '%d-%m-20_%y')"
+    " || ', so ' || (l_partkey % 1000) || '.' || l_linenumber || '.20.' || (l_suppkey % 150) || '.' AS t FROM lineitem) GROUP BY ALL"
+)
 def ocr_date_repair(s, d):
-    v = s.createDataFrame([(1, "01.02.20.24 x"), (2, "3-4-20_19"), (3, "101.02.20.24"), (4, None)], "id int, t string")
-    return v.select("id", curation.repair_dates(F.col("t")).alias("t"))
+    form = lambda pattern: F.date_format("l_shipdate", pattern)
+    t = F.concat(F.lit("ngay "), form("dd.MM.'20'.yy"), F.lit(" den  "), form("dd-MM-'20'_yy"), F.lit(", so "), (F.col("l_partkey") % 1000).cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(".20."), (F.col("l_suppkey") % 150).cast("string"), F.lit("."))
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", curation.repair_dates(t).alias("t"))
+    return rows.groupBy("l_orderkey", "l_linenumber", "t").agg(F.count("*").alias("n"))
 
 
-@query()
+ASKS = ("Hướng dẫn đăng nhập ", "bước 2 làm sao ", "HOW TO ", "tại sao ", "Các bước  ")
+STEPPED = ("1. a\nBước 2: b\n", "x\n  bước 1) ", "\n3: mot\n4. hai ", "khong ", "1. a\n 1) b")
+
+
+@query(
+    f"WITH q AS (SELECT conv_id, turn, {FOLD('(' + str(list(ASKS)) + ')[turn % 5 + 1] || text')} AS q, {FOLD('(' + str([x.replace(chr(10), '~') for x in STEPPED]) + ')[conv_id % 5 + 1] || text')} AS a0 FROM conversations WHERE text IS NOT NULL),"
+    " p AS (SELECT conv_id, turn, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS q, replace(a0, '~', chr(10)) AS a FROM q)"
+    " SELECT conv_id, turn, NOT regexp_matches(q, '\\b(?:buoc|step)\\s*\\d+\\b') AND regexp_matches(q, 'huong dan|cac buoc|cach lam|lam sao|how to')"
+    " AND len(list_distinct(regexp_extract_all(a, '(?m)(?:^|\\n)\\s*(?:buoc\\s*)?(\\d+)\\s*[.):]', 1))) >= 2 AS overview FROM p"
+)
 def procedural_overview(s, d):
-    v = s.createDataFrame([(1, "Hướng dẫn đăng nhập", "1. a\nBước 2: b"), (2, "bước 2 làm sao", "1. a\n2. b"), (3, "how to", "1) x"), (4, "why", "1. a\n2. b")], "id int, q string, a string")
-    return v.select("id", curation.procedural_overview(text.fold_ws("q"), text.fold_raw("a")).alias("overview"))
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % 5 + 1).cast("int"))
+    t = read(s, d, "conversations").filter("text is not null").withColumns({"q": F.concat(pick(ASKS, "turn"), "text"), "a": F.concat(pick(STEPPED, "conv_id"), "text")})
+    return t.select("conv_id", "turn", curation.procedural_overview(text.fold_ws("q"), text.fold_raw("a")).alias("overview"))
 
 
 @query(
