@@ -66,10 +66,15 @@ def normalize_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
-def clean_page(text: Column) -> Column:
-    """Lines with single blanks, trimmed, without empty ones; no-break spaces are spaces."""
-    lines = F.split(F.replace(nfc(text), F.lit("\u00a0"), F.lit(" ")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
+@F.pandas_udf(StringType())
+def clean_page(text: pd.Series) -> pd.Series:
+    """Lines with single blanks, trimmed, without empty ones; no-break spaces are spaces; null becomes the empty string."""
+
+    def clean(t: str | None) -> str:
+        lines = unicodedata.normalize("NFC", t or "").replace("\u00a0", " ").replace("\t", " ").splitlines()
+        return "\n".join([x for line in lines if (x := " ".join([w for w in line.split(" ") if w]))])
+
+    return text.map(clean)
 
 
 def page_text(text: Column) -> Column:
