@@ -372,7 +372,18 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_findings: int
     return fit(take(True), take(False))
 
 
-def _scan(shared_network):
+def _cut(raw: bytes, spans: list[tuple[int, int, int]], mark: bytes) -> bytes:
+    """A text with each span (in bytes, by start) replaced; overlapping ones are one."""
+    out, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            out += [raw[at:a], mark]
+        at = max(at, b)
+    return b"".join([*out, raw[at:]])
+
+
+def _scan(shared_network, mark: str | None = None):
+    """Adds the spans of each text, or with ``mark`` the text with that in their place."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
 
     def run(batches):
@@ -386,12 +397,18 @@ def _scan(shared_network):
                 if network.threshold <= 1:
                     for i, a, b in found.sure(network):
                         spans.setdefault(i, []).append((a, b, 3))
+                part = rest.slice(first, last - first)
+                if mark is not None:
+                    new = text.slice(first, last - first).to_pylist()
+                    for i, mine in spans.items():
+                        new[i] = _cut(texts[i], sorted(mine, key=lambda s: (s[0], s[2])), mark.encode()).decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, pa.string())], [*part.schema.names, "_kept_text"])
+                    continue
                 rows = [None] * len(texts)
                 for i, mine in spans.items():
                     chars = np.concatenate(([0], np.cumsum((np.frombuffer(texts[i], np.uint8) & 0xC0) != 0x80)))
                     mine.sort(key=lambda s: (s[0], s[2]))
                     rows[i] = [{"start": int(chars[a]), "end": int(chars[b]), "kind": k} for a, b, k in mine]
-                part = rest.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([r or [] for r in rows], span)], [*part.schema.names, "found"]
                 )
@@ -402,19 +419,17 @@ def _scan(shared_network):
 FOUND = "array<struct<start:bigint,end:bigint,kind:int>>"
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id and all spans ``found`` (code points; kind is an index into KINDS) of every row of ``docs``.
 
     Base spans always stay; every run of token characters, or what base spans leave of it, is a
     candidate, and is added where the network is sure enough. A null text is empty; repeated rows get
     equal spans; an empty table gives no rows; a very long text is scored whole, in blocks of
-    candidates; columns of ``docs`` named like those returned do not disturb. ``keep`` names further
-    columns to carry. Only the sample of findings is shuffled.
+    candidates; columns of ``docs`` named like those returned do not disturb. Only the sample of findings is shuffled.
     """
     network = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep), "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return map_texts(rows, _scan(network), f"{schema}, found {FOUND}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_texts(rows, _scan(network), f"doc_id long, found {FOUND}")
 
 
 def _listing(spans) -> F.Column:
@@ -440,20 +455,10 @@ def op2(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs``, with every found span replaced by ``mark``; overlapping spans are one.
 
-    ``n_chars``, where present, is set to the length of the new text.
+    ``n_chars``, where present, is set to the length of the new text. A null text stays null, repeated rows are cut
+    alike, an empty table gives no rows, and no column of ``docs`` disturbs.
     """
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    found = scan(packed, keep=("row",))
-    text = F.col("keep_row.text")
-    # Folds over the spans in order: the text so far, and the code point that it has come to.
-    state = F.aggregate(
-        "found",
-        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(
-            F.concat(s["text"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("text"),
-            x["end"].alias("at"),
-        )).otherwise(F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at"))),
-        lambda s: F.concat(s["text"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
-    new = F.when(F.size("found") > 0, state).otherwise(text)
-    return with_text(found.select(F.col("keep_row").alias("_row"), new.alias("_kept_text")), docs)
+    network = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    found = map_texts(rows, _scan(network, mark), f"_row {rows.schema['_row'].dataType.simpleString()}, _kept_text string")
+    return with_text(found, docs)

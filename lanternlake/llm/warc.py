@@ -57,13 +57,18 @@ def record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     )
 
 
+def record_id(page_id, digest: str, *more: str) -> str:
+    """Id of a record. That of a response that others may refer to follows from its page and digest alone."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(('' if page_id is None else str(page_id), digest, *more)))}>"
+
+
 def format_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One uncompressed WARC/1.1 record with its HTTP head; a revisit holds the head only."""
-    name = lambda i: f"urn:page:{'' if i is None else i}"
+    """One uncompressed WARC/1.1 record with its HTTP head; a revisit holds the head only and names the response's record."""
+    referable = kind == "response" and len(payload) >= MIN_REVISIT
     block = HTTP_HEAD if kind == "revisit" else HTTP_HEAD + payload
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name(page_id) + digest + (url or ''))}>"),
+        ("WARC-Record-ID", record_id(page_id, digest) if referable else record_id(page_id, digest, kind, url or "")),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", urllib.parse.quote(url or "", safe="%/:?#[]@!$&'()*+,;=~")),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
@@ -71,7 +76,7 @@ def format_record(page_id, url, payload: bytes, digest: str, kind: str, refers_t
         ("WARC-Payload-Length", str(len(payload))),
     ]
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{name(refers_to)}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Page-ID", str(refers_to))]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
@@ -220,7 +225,7 @@ def _read(folder: str):
                         if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{path} at {e['offset']}: the payload has another digest")
                         page = fields["warc-page-id"]
-                        refers = fields.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")
+                        refers = fields.get("warc-refers-to-page-id", "")
                         size = len(payload) if kind == "response" else int(fields["warc-payload-length"])
                         rows.append((int(page) if page else None, size, digest, kind, int(refers) if refers else None, e["offset"]))
                 if rows:

@@ -44,6 +44,16 @@ def test_files(spark):
     listing = warc.write_monolithic(warc.record_types(df), folder + "/one", roll=20_000)
     archives = warc.normalise(listing, folder + "/many")
     assert listing.count() > 2 and archives.agg(F.sum("records")).first()[0] == len(rows())
+    records = []
+    for (path,) in archives.select("path").collect():
+        cutter = warc.RecordCutter()
+        records += [warc.parse_record(r)[0] for piece in warc.inflate(open(path, "rb")) for r in cutter.feed(piece)]
+    responses = {r["warc-record-id"]: r for r in records if r["warc-type"] == "response"}
+    revisits = [r for r in records if r["warc-type"] == "revisit"]
+    assert len(revisits) > 20
+    for r in revisits:  # every reference is the id of a response with that page and payload
+        other = responses[r["warc-refers-to"]]
+        assert (other["warc-page-id"], other["warc-payload-digest"]) == (r["warc-refers-to-page-id"], r["warc-payload-digest"])
     whole = {p.rsplit("/", 1)[1]: gzip.open(p).read() for (p,) in listing.select("path").collect()}
     for (path,) in archives.select("path").collect():
         raw = open(path, "rb").read()
@@ -61,3 +71,10 @@ def test_inflate_reads_members_and_single_streams():
         cutter = warc.RecordCutter()
         cut = [r for piece in warc.inflate(io.BytesIO(stream), 100) for r in cutter.feed(piece)]
         assert b"".join(cut) == data and len(cut) == 30 and not cutter.held
+
+
+def test_a_very_long_payload(spark):
+    big = "".join(f"<p>{i}</p>" for i in range(900_000))
+    df = spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", "x")], "page_id long, url string, html string")
+    got = sorted(str(tuple(r)) for r in warc.op3(df).collect())
+    assert got == brute([(1, "u", big), (2, "v", big), (3, "w", "x")])
