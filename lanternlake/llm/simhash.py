@@ -28,8 +28,9 @@ STAR_ROUNDS = 2
 SHARED = 3
 #: Part of its shared shingles that a pair must show in such a round; it sets which pairs the round compares.
 STAR_SEEN = 0.25
-#: Texts and shingles of them from which the common shingles are known; they set an order and lose no pair.
-SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
+#: Share of the texts, at least so many, from which common shingles are known, and how many of those (16 bytes each) are
+#: broadcast; they set an order and lose no pair.
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 0.2, 20_000, 400_000
 
 
 def pivot_fingerprints(count: int = PIVOTS) -> np.ndarray:
@@ -254,7 +255,8 @@ def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     count = docs.count()
     texts = docs.select("text").filter(F.col("text").isNotNull())
     if count > SAMPLE_TEXTS:
-        texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(SAMPLE_TEXTS / count * 1_000_000))
+        share = max(SAMPLE_SHARE, SAMPLE_TEXTS / count)
+        texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
     held = map_texts(texts.dropDuplicates(["text"]), _all_shingles(width), "s long").groupBy("s").agg(F.count("*").alias("n"))
     found = held.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
     hashes, counts = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
