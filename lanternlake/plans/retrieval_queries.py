@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curation, text
 from ..operators import chunks, evidence, lexical, maintenance, retrieval, temporal
-from ..sources.work import shared_folder
+from ..sources.work import shared_folder, work_table
 from ..sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -162,29 +162,38 @@ def rule_boost(s, d):
     return _boosted(s, d).select("query_id", "idx", "combined_score", "rule_factor", "boost_reasons", "boost_rank")
 
 
-#: Children of a page are numbered below this; a document is a page here.
-PER_PAGE = 100_000
+#: Children of a document are numbered below this.
+PER_DOCUMENT = 100_000
 
 
 def _children(s, d):
-    """Chunks of all documents as a corpus for retrieval."""
-    docs = read(s, d, "documents").select("source", F.col("doc_id").cast("int").alias("page"), F.col("text").alias("content"))
-    idx = F.col("page").cast("long") * PER_PAGE + F.col("position")
-    return chunks.chunk_pages(docs).withColumn("idx", idx)
+    """Chunks of all documents as a corpus for retrieval: a source is a guide, its documents are the pages, each one a step of seven."""
+    docs = read(s, d, "documents").select("doc_id", "source", "text")
+    pages = work_table(chunks.page_numbers(docs).select("doc_id", "source", "page"), "pages")
+    step = ((F.col("page") - 1) % 7 + 1).cast("string")
+    rows = docs.join(pages.drop("source"), "doc_id").select("source", "page", F.concat(F.lit("Bước "), step, F.lit(": "), F.col("text")).alias("content"))
+    found = chunks.chunk_pages(rows.filter("content is not null")).join(pages, ["source", "page"])
+    return work_table(found.withColumn("idx", F.col("doc_id") * PER_DOCUMENT + F.col("position")), "children")
+
+
+def _asked(s, d):
+    """The questions as they are searched for; what is empty then is no question."""
+    return questions(s, d).select("query_id", text.normalize_query(F.col("text")).alias("text")).filter("text <> ''")
 
 
 def _parents(s, d, gate=False, children=None):
     """Parents of the hits of every benchmark item; a vector stands for the first child of its document."""
-    c = children if children is not None else _children(s, d).persist()
-    v = vectors(s, d).withColumn("idx", F.col("idx") * PER_PAGE).join(c.select("idx"), "idx", "left_semi")
-    q = vectors(s, d).join(read(s, d, "benchmark").select(F.col("item_id").alias("idx")), "idx", "left_semi")
-    dense = retrieval.dense_top(q.select(F.col("idx").alias("query_id"), "vector"), v)
-    sparse = retrieval.bm25_top(questions(s, d), c.select("idx", F.col("retrieval_text").alias("text")))
+    c = children if children is not None else _children(s, d)
+    asked = _asked(s, d)
+    v = vectors(s, d).withColumn("idx", F.col("idx") * PER_DOCUMENT).join(c.select("idx"), "idx", "left_semi")
+    q = vectors(s, d).join(asked.select(F.col("query_id").alias("idx")), "idx", "left_semi")
+    dense = work_table(retrieval.dense_top(q.select(F.col("idx").alias("query_id"), "vector"), v), "dense")
+    sparse = work_table(retrieval.bm25_top(asked, c.select("idx", F.col("retrieval_text").alias("text"))), "sparse")
     fused = retrieval.fuse(dense, sparse)
     if gate:
         fused = fused.join(retrieval.confident(dense, sparse, 1.1, 100.0).filter("passed").select("query_id"), "query_id", "left_semi")
     corpus = c.select("idx", "source", "heading", "section_path", F.col("retrieval_text").alias("text"))
-    boosted = retrieval.boost(fused, questions(s, d), corpus).select("query_id", "idx", F.col("boost_rank").alias("rank"), "combined_score")
+    boosted = retrieval.boost(fused, asked, corpus).select("query_id", "idx", F.col("boost_rank").alias("rank"), "combined_score")
     kids = boosted.join(c.select("idx", "parent_id", "source", "page", "heading", "section_path", F.col("parent_text").alias("content")), "idx")
     return retrieval.roll_up(kids.drop("idx"))
 
@@ -210,13 +219,13 @@ def evidence_context(s, d):
 
 
 def _editions(s, d):
-    """Versions by page: documents of a source with one first line are editions of a text.
+    """Versions by document: documents of a source with one first line are editions of a text.
 
     The tables hold no dated names, so the day of an edition is made up from its doc_id.
     """
-    first = F.nullif(F.trim(F.element_at(F.split("text", "\n", -1), 1)), F.lit(""))
+    first = F.nullif(F.trim(F.element_at(F.split("text", "\n", 2), 1)), F.lit(""))
     docs = read(s, d, "documents").select(
-        "source", F.col("doc_id").cast("int").alias("page"), F.sha2(F.concat_ws("\n", "source", first), 256).alias("family_id"),
+        "doc_id", "source", F.sha2(F.concat_ws("\n", "source", first), 256).alias("family_id"),
         F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 3650).cast("int")).cast("string").alias("day"), first.isNotNull().alias("named"),
     )
     docs = docs.filter("named").drop("named")
@@ -224,24 +233,40 @@ def _editions(s, d):
     return docs.join(ranked, ["family_id", "day"]).withColumns({"temporal_status": F.lit("verified"), "verified_visual_fact": F.lit(None).cast("string")})
 
 
-@query()
-def retrieve_context(s, d):
-    """The whole path: two retrievals, gate, fusion, boosts, parents, choice between versions, selection and context."""
-    c = _children(s, d).persist()
-    temporal.share_checkpoints(c)
-    editions = _editions(s, d).join(c.select("source", "page").distinct(), ["source", "page"], "left_semi").checkpoint()
+def _selected(s, d):
+    """Evidence of every question by the whole path, and the children that it comes from.
+
+    Questions are normalised; two retrievals, gate, fusion, boosts, parents, choice between versions and selection follow.
+    """
+    c = _children(s, d)
+    places = c.select("doc_id", "page").distinct()
+    editions = work_table(_editions(s, d).join(places, "doc_id").drop("doc_id"), "editions")
     families = temporal.catalog(editions)
     newest = editions.join(families, "family_id").filter("version_rank = newest_rank").select("family_id", "version_rank", "day", "source", "page")
     pages = c.select(F.col("parent_id").alias("cand_id"), "source", "page", "heading", "section_path", F.col("parent_text").alias("content"))
     newest = pages.join(newest, ["source", "page"]).dropDuplicates(["cand_id"])
     none = s.createDataFrame([], "source string, family_id string, day string, version_rank int, temporal_status string")
     parents = temporal.enrich(_parents(s, d, True, c).withColumnRenamed("content", "text"), none, editions)
-    parents = parents.join(questions(s, d).select("query_id", F.col("text").alias("query")), "query_id").select(
+    parents = parents.join(_asked(s, d).select("query_id", F.col("text").alias("query")), "query_id").select(
         "query_id", "query", "family_id", "version_rank", "day", F.col("parent_id").alias("cand_id"), "source", "page", "heading", "section_path",
-        F.col("text").alias("content"), F.col("combined_score").alias("score"), F.col("parent_rank").alias("position"),
+        F.col("text").alias("content"), F.col("combined_score").alias("score"), F.col("parent_rank").alias("position"), "matched",
     )
     found = temporal.resolve(parents, families, newest).withColumnsRenamed({"cand_id": "parent_id", "score": "combined_score", "rank": "parent_rank"})
-    return evidence.context(evidence.select_evidence(found.drop("query", "position")))
+    return evidence.select_evidence(found.drop("query", "position")), c
+
+
+@query()
+def retrieve_context(s, d):
+    """The text that each question is answered from."""
+    return evidence.context(_selected(s, d)[0])
+
+
+@query()
+def retrieve_sources(s, d):
+    """The list of evidence behind each text, with versions, actions and the pages of procedures."""
+    chosen, children = _selected(s, d)
+    procedures = evidence.procedure_catalogue(children.select("source", "section_path", "heading", "page", "parent_text", "text"))
+    return evidence.source_documents(chosen, procedures)
 
 
 SETS = rf"sets AS (SELECT list_sort(list_distinct(regexp_extract_all({FOLD('text')}, '[\p{{L}}\p{{N}}_]+'))) AS t, min(doc_id) AS id FROM documents GROUP BY 1)"

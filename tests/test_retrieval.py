@@ -260,3 +260,23 @@ def test_procedures_from_chunks(spark):
     assert sorted((r.source, r.section, r.page, r.group_pages) for r in got.collect()) == [
         ("A.pdf", "cai dat", 3, [3, 5]), ("A.pdf", "cai dat", 5, [3, 5]), ("A.pdf", "cai dat", 6, [6]), ("A.pdf", "cai dat > go bo", 6, [6]),
     ]
+
+
+def test_list_of_evidence(spark):
+    rows = [
+        (1, "E1", "A.pdf", 3, "p1", "Cài đặt > Bước 1: mở", None, 0.5, 2, "f", "2024-01-01", 2, None, "only_or_current_version_v3", False),
+        (1, "E2", "A.pdf", 9, "p2", "", "Cài đặt", None, None, None, None, None, "release_notice", None, None),
+        (2, "E1", "B.pdf", 1, "p3", None, None, 0.1, 1, None, None, None, None, "x", True),
+    ]
+    schema = (
+        "query_id int, evidence_id string, source string, page int, parent_id string, section_path string, heading string, combined_score double, matched int, family_id string,"
+        " day string, version_rank int, subtype string, action string, historical boolean"
+    )
+    procedures = spark.createDataFrame([("A.pdf", "cai dat", 3, [3, 5]), ("A.pdf", "khac", 9, [9])], "source string, section string, page int, group_pages array<int>")
+    found = evidence.source_documents(spark.createDataFrame(rows, schema), procedures)
+    got = {(r.query_id, r.evidence_id): r for r in found.collect()}
+    assert got[1, "E1"].procedural_pages == [3, 5] and got[1, "E1"].matched_child_count == 2 and got[1, "E1"].document_date == "2024-01-01"
+    assert got[1, "E2"].procedural_pages == [] and got[1, "E2"].score == 0.0 and got[1, "E2"].matched_child_count == 0 and got[1, "E2"].historical is False
+    assert got[2, "E1"].historical and got[2, "E1"].temporal_action == "x" and got[2, "E1"].file_name == "B.pdf"
+    few = spark.createDataFrame([r[:8] for r in rows], ", ".join(schema.split(", ")[:8]))
+    assert evidence.source_documents(few, procedures.limit(0)).filter("size(procedural_pages) = 0 and not historical").count() == 3
