@@ -16,6 +16,8 @@ from . import lexical
 
 TOP_K, FUSED, FINAL = 30, 15, 5
 RRF_K, WEIGHT = 60, 0.5
+#: Tokens that a pair of sets must share among their first ones before the whole sets are compared.
+SHARED = 3
 #: Queries that are compared at a time, and rows that are scored together.
 QUERY_BLOCK, TILE = 1024, 1024
 
@@ -160,19 +162,26 @@ def similar_sets(sets: DataFrame, threshold: float = 0.78) -> DataFrame:
 
     Ids with equal sets are one class, named by its smallest id; pairs are between classes. Exact
     prefix filter: tokens are ordered from rare to frequent, and two sets that similar share one of the
-    first |x| - ceil(t |x|) + 1 tokens of both; the rest is the size filter and a check of the whole sets.
+    first |x| - ceil(t |x|) + 1 tokens of both; places and number of the shared ones, sizes and at last the whole sets are checked.
     """
     classes = sets.filter(F.size("tokens") > 0).groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("id"))
     wide = classes.select("id", F.explode("tokens").alias("token"))
     df = wide.groupBy("token").agg(F.count("*").alias("df"))
     ordered = wide.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     ordered = ordered.select("id", F.transform("t", lambda x: x["token"]).alias("tokens"), F.size("t").alias("n"))
+    ordered = work_table(ordered, "token-sets")
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("tokens", 1, keep.cast("int"))).alias("token"))
+    prefix = ordered.select("id", "n", F.posexplode(F.slice("tokens", 1, keep.cast("int"))).alias("p", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near)
-    pairs = pairs.select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
+    # Sets that share ``need`` tokens share ``least`` of the first n - need + least of either, so a pair meets only on
+    # tokens that stand early enough in both for their two sizes, and goes unless it meets on as many.
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
+    outside = F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9) - 1
+    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), need - outside))
+    early = (F.col("a.p") < F.col("a.n") - need + least) & (F.col("b.p") < F.col("b.n") - need + least)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near & early)
+    pairs = pairs.groupBy(F.col("a.id").alias("left"), F.col("b.id").alias("right"), least.alias("least")).agg(F.count("*").alias("c")).filter("c >= least").select("left", "right")
     x = ordered.select(F.col("id").alias("left"), F.col("tokens").alias("x"))
     y = ordered.select(F.col("id").alias("right"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
