@@ -157,9 +157,41 @@ def _boosted(s, d):
     return retrieval.boost(retrieval.fuse(dense, sparse), questions(s, d), _metadata(s, d))
 
 
-@query()
+SQUEEZED = lambda c: f"trim(regexp_replace({FOLD(c)}, '\\s+', ' ', 'g'))"
+#: Identifiers: codes first, and long numbers in what they leave. Separators are doubled, as the patterns of this dialect
+#: look at neither side of a match.
+CODE = "(^|[^\\p{L}\\p{N}_])([A-Za-z]{1,12}[-_.]?[A-Za-z0-9]*[0-9]+[A-Za-z0-9_.-]*)($|[^\\p{L}\\p{N}_])"
+DOUBLED = lambda c: f"regexp_replace({c}, '([^\\p{{L}}\\p{{N}}_.-])', '\\1\\1', 'g')"
+LEFT_OVER = lambda c: f"regexp_replace(regexp_replace({DOUBLED(c)}, '{CODE}', '\\1 \\3', 'g'), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
+CODES_SQL = lambda c: (
+    f"list_transform(list_concat(regexp_extract_all({DOUBLED(c)}, '{CODE}', 2), regexp_extract_all({LEFT_OVER(c)}, '(^|[^\\p{{L}}\\p{{N}}_])([0-9]{{3,}})($|[^\\p{{L}}\\p{{N}}_])', 2)), lambda x: lower(x))"
+)
+IDENTIFIERS_SQL = lambda c, folded: f"list_sort(list_distinct(list_concat({CODES_SQL(c)}, list_filter({list(text.DOMAIN_TERMS)}, lambda t: contains({folded}, t)))))"
+TOKEN_SET_SQL = lambda c: f"list_distinct(list_filter(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1 AND NOT list_contains({list(text.STOPWORDS)}, x)))"
+PRESENT = {k: f"(contains(s, '{a}') OR contains(s, '{b}'))" for k, (a, b) in curation.INTENT_WORDS.items()}
+
+
+@query(
+    f"""{FUSED}, ranked AS (SELECT query_id, idx, combined_score, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST) AS fused_rank FROM fused),
+folded AS (SELECT item_id AS query_id, text, {SQUEEZED('text')} AS q FROM benchmark),
+asked AS (SELECT query_id, q, {IDENTIFIERS_SQL('text', 'lower(text)')} AS wanted, {TOKEN_SET_SQL('q')} AS tokens,
+  CASE WHEN contains(q, 'pea') OR regexp_matches(q, '\\bthi\\s+thuc\\s+hanh\\b') THEN 'pea' WHEN contains(q, 'eos') OR contains(q, 'ly thuyet') THEN 'eos' WHEN contains(q, 'e360') OR contains(q, 'speaking') THEN 'e360' END AS asked FROM folded),
+titled AS (SELECT doc_id AS idx, source, text, left(string_split(text, chr(10))[1], 180) AS heading FROM documents),
+placed AS (SELECT idx, source, heading, text, concat_ws(' > ', source, heading) AS path FROM titled),
+texts AS MATERIALIZED (SELECT idx, {SQUEEZED("concat_ws(' ', source, heading, path, text)")} AS s, {TOKEN_SET_SQL(SQUEEZED("concat_ws(' ', heading, path)"))} AS h FROM placed WHERE idx IN (SELECT idx FROM ranked)),
+hits AS (SELECT r.*, a.*, t.s, t.h, list_filter(a.wanted, lambda w: contains(t.s, w)) AS matched FROM ranked r JOIN asked a USING (query_id) JOIN texts t USING (idx)),
+rules AS (SELECT query_id, idx, fused_rank, combined_score,
+  CASE WHEN asked IS NULL THEN 1.0::DOUBLE WHEN {" OR ".join(f"(asked = '{k}' AND {p})" for k, p in PRESENT.items())} THEN 1.12::DOUBLE WHEN {" OR ".join(PRESENT.values())} THEN 0.88::DOUBLE ELSE 1.0::DOUBLE END AS product,
+  len(wanted) > 0 AND len(matched) = len(wanted) AS every_id, len(matched) > 0 AND len(matched) < len(wanted) AS some_id,
+  len(string_split(q, ' ')) BETWEEN 3 AND 24 AND contains(s, q) AS phrase, len(tokens) > 0 AND len(list_intersect(tokens, h)) / len(tokens) >= 0.5 AS head FROM hits),
+ruled AS (SELECT query_id, idx, fused_rank, combined_score, every_id, some_id, phrase, head, least(greatest(product * CASE WHEN every_id THEN 1.25::DOUBLE WHEN some_id THEN 1.10::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN phrase THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN head THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END, 0.80::DOUBLE), 1.45::DOUBLE) AS rule_factor FROM rules),
+boosted AS (SELECT query_id, idx, fused_rank, round(combined_score * rule_factor, 12) AS combined_score, rule_factor, concat_ws(',', CASE WHEN every_id THEN 'all_identifiers' END, CASE WHEN some_id THEN 'some_identifiers' END,
+  CASE WHEN phrase THEN 'exact_phrase' END, CASE WHEN head THEN 'heading_match' END) AS boost_reasons FROM ruled)
+SELECT query_id, idx, combined_score, rule_factor, boost_reasons, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, fused_rank) AS boost_rank FROM boosted QUALIFY boost_rank <= 15"""
+)
 def rule_boost(s, d):
-    return _boosted(s, d).select("query_id", "idx", "combined_score", "rule_factor", "boost_reasons", "boost_rank")
+    return _boosted(s, d).select("query_id", "idx", "combined_score", "rule_factor", F.array_join("boost_reasons", ",").alias("boost_reasons"), "boost_rank")
 
 
 #: Children of a document are numbered below this.
@@ -314,10 +346,10 @@ def question_intent(s, d):
     return folded.select("doc_id", curation.intent(F.col("f")).alias("intent"))
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string({IDENTIFIERS_SQL('text', 'lower(text)')}, ' ') AS identifiers FROM documents")
 def query_identifiers(s, d):
     docs = read(s, d, "documents")
-    return docs.select("doc_id", text.identifiers(F.col("text"), F.lower("text")).alias("identifiers"))
+    return docs.select("doc_id", F.array_join(text.identifiers(F.col("text"), F.lower("text")), " ").alias("identifiers"))
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations")
@@ -344,7 +376,16 @@ def chunk_index(s, d):
     return chunks.chunk_pages(docs.select("doc_id", "source", F.col("text").alias("content")).join(pages, "doc_id"))
 
 
-@query()
+LINES_SQL = "string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')[1:6]"
+LEAD_SQL = "(?i)^(?:" + "|".join(chunks.HEADING_WORDS) + ")($|[^\\p{L}\\p{N}_])|^[0-9]+[.)][\\p{L}\\p{N}_]"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, list_transform({LINES_SQL}, lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS single FROM documents),"
+    " b AS (SELECT doc_id, single, list_transform(single, lambda x: regexp_replace(x, '^[ \\-•]+|[ \\-•]+$', '', 'g')) AS bare FROM l)"
+    " SELECT doc_id, coalesce(list_filter(bare, lambda x: length(x) BETWEEN 1 AND 180 AND ((regexp_matches(x, '\\p{L}') AND len(regexp_extract_all(x, '\\p{Lu}')) >= 0.55 * len(regexp_extract_all(x, '\\p{L}')))"
+    f" OR regexp_matches(x, '{LEAD_SQL}')))[1], trim(left(single[1], 180), ' ')) AS heading FROM b"
+)
 def page_heading(s, d):
     return read(s, d, "documents").select("doc_id", chunks.page_heading(F.col("text")).alias("heading"))
 
