@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import lifecycle_queries, report_queries, retrieval_queries, temporal_queries
+from .plans import lifecycle_queries, report_queries, retrieval_queries, source_queries, temporal_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (report_queries, lifecycle_queries, retrieval_queries, temporal_queries):
+for module in (report_queries, lifecycle_queries, retrieval_queries, temporal_queries, source_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 

@@ -49,6 +49,15 @@ def fold_ws(text: pd.Series) -> pd.Series:
     return text.map(lambda t: squeeze(fold(t)))
 
 
+_MARKS = {point: None for point in range(0x300, 0x370)} | {ord("đ"): "d", ord("Đ"): "D"}
+
+
+@F.pandas_udf(StringType())
+def fold_ui(text: pd.Series) -> pd.Series:
+    """What a search box compares: without the marks U+0300 to U+036F, đ as d, lower case; ß and other marks stay."""
+    return text.map(lambda t: unicodedata.normalize("NFD", t or "").translate(_MARKS).lower())
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t or ""))
