@@ -205,7 +205,10 @@ def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
+    """The rows of ``docs`` that are not contaminated, unchanged.
+
+    Null and empty texts stay, equal rows share a verdict, an empty table gives no rows, and no column of ``docs`` disturbs.
+    """
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     return contamination(packed, benchmark, keep=("row",)).filter("not contaminated").select("keep_row.*")
 

@@ -74,3 +74,41 @@ def test_a_large_host_and_long_texts(spark):
     assert all(got[5000 + i].words_left == 2 and not got[5000 + i].kept for i in range(35)) and got[6000].words_left == 600_000
     texts = {r.doc_id: r.text for r in quality.quality_filter(df).collect()}
     assert texts[0].endswith("n54\nheld by a few") and texts[41] == rows[41][1] and 5000 not in texts and 6000 in texts
+
+
+def test_a_low_limit_depletes_documents_as_the_sql_does(spark):
+    """Over whole documents, with a limit at which many lines go and documents are depleted."""
+    import duckdb
+
+    from lanternlake.llm.queries import table
+
+    folder = "/root/testdata/sf0.01"
+    docs = table(spark, folder, "documents")
+    limit = "greatest(30, sqrt(count(DISTINCT doc)))"
+    assert limit in quality.OP1_SQL
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, text, CAST('one host' AS VARCHAR) AS source FROM '{folder}/documents.parquet'")
+    rows = con.execute(quality.OP1_SQL.replace(limit, "1.5")).fetchall()
+    names = [c[0] for c in con.description]
+    want = sorted(str([r[names.index(c)] for c in ("doc_id", "n_words", "words_left", "base_failed", "kept")]) for r in rows)
+    # A limit of 1.5 documents in SQL is one of 1 and no root here: only a host of two documents has a smaller root.
+    import pytest
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality.F, "sqrt", lambda c: F.lit(0.0))
+        got = quality.quality_decisions(docs.withColumn("source", F.lit("one host")), min_docs=1).select("doc_id", "n_words", "words_left", "base_failed", "kept").collect()
+    assert sorted(str(list(r)) for r in got) == want
+    depleted = [r for r in got if not r.base_failed and not r.kept]
+    assert len(depleted) > 5 and sum(r.words_left < r.n_words for r in got) > 100
+
+
+def test_filter_on_odd_tables(spark):
+    schema = "doc_id long, text string, source string, _removed int, _lines string"
+    empty = spark.createDataFrame([], schema)
+    assert quality.quality_filter(empty).count() == 0
+    rows = [(1, None, None, 1, "x"), (2, "", "a", 1, "x"), (None, " ".join(f"v{i}" for i in range(70)), None, 1, "x")]
+    rows += [(3, " ".join(f"u{i}" for i in range(200_000)), "a", 2, None)] * 2
+    df = spark.createDataFrame(rows, schema)
+    kept = quality.quality_filter(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "None"]
