@@ -81,17 +81,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict")
         ).alias("best")
     )
-    return (
-        pages.select("page_id", "url")
-        .join(best, "url", "left")
-        .select(
-            "page_id",
-            "url",
-            host_of(F.col("url")).alias("host"),
-            path_of(F.col("url")).alias("path"),
-            F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        )
+    rows = pages.select("page_id", "url")
+    # Rows without a host meet no rule and stay out of the join, in which they would share a key.
+    named = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    none = F.lit(None).cast(best.schema["best"].dataType).alias("best")
+    judged = rows.filter(named).join(best, "url", "left").select("page_id", "url", "best").union(rows.filter(~named).select("page_id", "url", none))
+    return judged.select(
+        "page_id",
+        "url",
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path"),
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
