@@ -28,9 +28,9 @@ STAR_ROUNDS = 2
 SHARED = 3
 #: Part of its shared shingles that a pair must show in such a round; it sets which pairs the round compares.
 STAR_SEEN = 0.25
-#: Share of the texts, at least so many, from which common shingles are known, and how many of those (16 bytes each) are
-#: broadcast; they set an order and lose no pair.
-SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 0.2, 20_000, 400_000
+#: Share of the texts, at least so many, from which common shingles are known by 32 bits of their hash, and how many of
+#: those (12 bytes each) are broadcast; they set an order and lose no pair.
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 0.15, 20_000, 400_000
 
 
 def pivot_fingerprints(count: int = PIVOTS) -> np.ndarray:
@@ -240,26 +240,30 @@ def _least_common(similarity: float, a: int, b: int) -> int:
     return int(np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def _all_shingles(width: int):
     def run(batches):
         for batch in batches:
             for _, _, texts in text_blocks(batch.column(0)):
                 sets = shingle_sets(texts, width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(_short(np.concatenate(sets)).view(np.int32))], ["s"])
 
     return run
 
 
 def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that several texts of a sample hold."""
+    """Short hashes (sorted) and counts of the shingles that several texts of a sample hold."""
     count = docs.count()
     texts = docs.select("text").filter(F.col("text").isNotNull())
     if count > SAMPLE_TEXTS:
         share = max(SAMPLE_SHARE, SAMPLE_TEXTS / count)
         texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    held = map_texts(texts.dropDuplicates(["text"]), _all_shingles(width), "s long").groupBy("s").agg(F.count("*").alias("n"))
+    held = map_texts(texts.dropDuplicates(["text"]), _all_shingles(width), "s int").groupBy("s").agg(F.count("*").alias("n"))
     found = held.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
-    hashes, counts = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    hashes, counts = found.column("s").to_numpy().view(np.uint32), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
@@ -277,8 +281,9 @@ def _prefixes(shared_common, width: int, similarity: float):
                     parity.append(parity_bits(hashes))
                     rank = np.zeros(len(hashes), np.int64)
                     if len(common):
-                        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                        rank = np.where(common[at] == hashes, counts[at], 0)
+                        short = _short(hashes)
+                        at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+                        rank = np.where(common[at] == short, counts[at], 0)
                     length = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
                     prefixes.append(hashes[np.lexsort((hashes, rank))[:length]].view(np.int64))
                 part = rest.slice(first, last - first)
