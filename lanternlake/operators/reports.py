@@ -102,7 +102,7 @@ def feedback_rates(chats: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def by_topic(chats: DataFrame, topics: DataFrame) -> DataFrame:
     """Questions of each topic; without a topic and a topic of the default's name are two rows of one label."""
-    named = chats.join(F.broadcast(topics), "topic_id", "left")
+    named = chats.join(topics, "topic_id", "left")
     return (
         named.groupBy("name")
         .agg(F.count("*").alias("questions"))
@@ -128,7 +128,7 @@ def details(chats: DataFrame, users: DataFrame, topics: DataFrame, limit: int =
     """One row per chat with names, newest first; one row beyond ``limit`` tells that more exist."""
     newest = chats.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1)
     return newest.join(users.select("user_id", "username", "is_deleted").withColumnRenamed("is_deleted", "gone"), "user_id", "left").join(
-        F.broadcast(topics), "topic_id", "left"
+        topics, "topic_id", "left"
     ).select(
         "id",
         F.date_format(local(F.col("created_at")), "yyyy-MM-dd HH:mm:ss").alias("asked_at"),
@@ -159,7 +159,7 @@ def log_page(
         out = out.filter((F.col("created_at") >= bounds[0]) & (F.col("created_at") < bounds[1]))
     if search:
         out = out.filter(F.col("question").ilike(f"%{search}%") | F.col("answer").ilike(f"%{search}%"))
-    out = out.join(F.broadcast(topics), "topic_id", "left")
+    out = out.join(topics, "topic_id", "left")
     if topic == GENERAL_TOPIC:
         out = out.filter(F.col("name").isNull() | (F.col("name") == topic))
     elif topic:

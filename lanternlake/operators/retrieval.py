@@ -107,8 +107,10 @@ def boost(fused: DataFrame, queries: DataFrame, corpus: DataFrame, cut: int = FU
     q = queries.select(
         "query_id", F.col("text").alias("query"), fold_ws("text").alias("q"), F.lower("text").alias("q_lower")
     ).withColumns({"wanted": identifiers(F.col("query"), F.col("q_lower")), "asked": intent(F.col("q")), "q_tokens": token_set(F.col("q"))})
+    # Written, so that Spark broadcasts questions only where they are small.
+    q = work_table(q, "boost-questions")
     c = corpus.select("idx", "source", "heading", "section_path", F.concat_ws(" ", "source", "heading", "section_path", "text").alias("all"), "text")
-    hits = fused.join(c, "idx").join(F.broadcast(q), "query_id")
+    hits = fused.join(c, "idx").join(q, "query_id")
     hits = hits.withColumns({"s": fold_ws("all"), "h": token_set(fold_ws(F.concat_ws(" ", "heading", "section_path")))})
     matched = F.filter("wanted", lambda x: F.contains(F.col("s"), x))
     every = (F.size("wanted") > 0) & (F.size(matched) == F.size("wanted"))

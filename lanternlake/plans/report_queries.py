@@ -88,7 +88,7 @@ def report_topics(s, d):
 )
 def top_topics(s, d):
     live = T.chat_logs(s, d).filter(~F.col("is_deleted")).groupBy("topic_id").agg(F.count("*").alias("questions"))
-    return live.join(F.broadcast(T.topics(s)), "topic_id").select(F.col("name").alias("topic"), "questions")
+    return live.join(T.topics(s), "topic_id").select(F.col("name").alias("topic"), "questions")
 
 
 @query(

@@ -280,3 +280,49 @@ def test_list_of_evidence(spark):
     assert got[2, "E1"].historical and got[2, "E1"].temporal_action == "x" and got[2, "E1"].file_name == "B.pdf"
     few = spark.createDataFrame([r[:8] for r in rows], ", ".join(schema.split(", ")[:8]))
     assert evidence.source_documents(few, procedures.limit(0)).filter("size(procedural_pages) = 0 and not historical").count() == 3
+
+
+def test_pages_that_look_alike(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for answer in range(12):
+        base = int(rng.integers(-(1 << 62), 1 << 62))
+        for position in range(9):
+            flips = rng.choice(64, int(rng.integers(0, 30)), replace=False)
+            value = base
+            for f in flips:
+                value ^= 1 << int(f)
+            rows.append((answer, position, (value + (1 << 63)) % (1 << 64) - (1 << 63)))
+    want = set()
+    for answer in range(12):
+        kept = []
+        for a, position, h in rows:
+            if a == answer and all(bin((h ^ k) & (1 << 64) - 1).count("1") > 15 for k in kept):
+                kept.append(h)
+                want.add((a, position, h))
+    got = {tuple(r) for r in evidence.unique_pages(spark.createDataFrame(rows, "answer_id long, position int, phash long")).collect()}
+    assert got == want and len(want) < len(rows)
+
+
+def test_chunks_over_the_table(spark):
+    """Every page of the smallest table: children lie in their parents, parents cover the cleaned page in order, and nothing short is kept."""
+    from lanternlake.functions.text import clean_page
+    from lanternlake.sources.tables import read
+
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("source", F.col("doc_id").cast("int").alias("page"), F.col("text").alias("content"))
+    clean = {r.page: r.c for r in docs.select("page", clean_page(F.col("content")).alias("c")).collect()}
+    pages = {}
+    for r in chunks.chunk_pages(docs, 0).collect():
+        pages.setdefault(r.page, {}).setdefault(int(r.parent_id.rsplit("-", 1)[1]), []).append(r)
+    assert set(pages) == {p for p, c in clean.items() if c}
+    for page, parents in pages.items():
+        assert sorted(parents) == list(range(len(parents)))
+        words = []
+        for number in sorted(parents):
+            rows = sorted(parents[number], key=lambda r: r.position)
+            parent = rows[0].parent_text
+            words += parent.split()
+            assert len(parent) <= chunks.PARENT and all(r.text in parent and len(r.text) <= chunks.CHILD for r in rows)
+            at = [parent.find(r.text) for r in rows]
+            assert at[0] == 0 and at == sorted(at) and rows[-1].text == parent[-len(rows[-1].text) :]
+        assert words == clean[page].split()
