@@ -30,7 +30,7 @@ SHARED = 3
 STAR_SEEN = 0.25
 #: Share of the texts, at least so many, from which common shingles are known by 32 bits of their hash, and how many of
 #: those (12 bytes each) are broadcast; they set an order and lose no pair.
-SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 0.15, 20_000, 400_000
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 0.15, 20_000, 1_000_000
 
 
 def pivot_fingerprints(count: int = PIVOTS) -> np.ndarray:
@@ -262,7 +262,7 @@ def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
         share = max(SAMPLE_SHARE, SAMPLE_TEXTS / count)
         texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
     held = map_texts(texts.dropDuplicates(["text"]), _all_shingles(width), "s int").groupBy("s").agg(F.count("*").alias("n"))
-    found = held.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
+    found = held.filter("n > 1").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
     hashes, counts = found.column("s").to_numpy().view(np.uint32), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
