@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 from ..operators import retrieval, temporal as X
 from ..sources.tables import read
 
-#: Names of documents: number, source and first word of the text, an audience and, for most, a day; all from the row.
+#: Names of documents: number, source and first words of the text, an audience and, for most, a day; all from the row.
 KINDS = ("", "GV", "SV", "", "speaking")
 
 
 def named(s, d):
     """(doc_id, source, content, day) of all documents, under names such as a library of guides has."""
-    word = F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0)), F.lit("")), F.lit("none"))
+    first = F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0)), F.lit("")), F.lit("none"))
+    second = F.lower(F.regexp_extract("text", "[A-Za-z]{3,}[^A-Za-z]+([A-Za-z]{2,})", 1))
+    word = F.concat(first, F.lit(" "), F.coalesce(second, F.lit("")))
     day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 3650).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 5 + 1).cast("int"))
     name = F.concat(
-        F.col("doc_id").cast("string"), F.lit(". HDSD "), "source", F.lit(" "), word, F.lit(" "), kind, F.lit(" "),
+        F.col("doc_id").cast("string"), F.lit(". HD "), "source", F.lit(" "), word, F.lit(" "), kind, F.lit(" "),
         F.when(F.col("doc_id") % 11 != 0, F.date_format(day, "dd.MM.yyyy")).otherwise("final"), F.lit(".pdf"),
     )
     return read(s, d, "documents").select("doc_id", name.alias("source"), F.col("text").alias("content"), F.when(F.col("doc_id") % 11 != 0, day.cast("string")).alias("day"))
 
 
-NAMED_SQL = """named AS (SELECT doc_id, doc_id || '. HDSD ' || source || ' ' || coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]{3,}', 0)), ''), 'none') || ' '
+NAMED_SQL = """named AS (SELECT doc_id, doc_id || '. HD ' || source || ' ' || coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]{3,}', 0)), ''), 'none') || ' '
+  || coalesce(lower(regexp_extract(text, '[A-Za-z]{3,}[^A-Za-z]+([A-Za-z]{2,})', 1)), '') || ' '
   || (['', 'GV', 'SV', '', 'speaking'])[doc_id % 5 + 1] || ' ' || CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2015-01-01' + CAST(doc_id % 3650 AS INT), '%d.%m.%Y') ELSE 'final' END || '.pdf' AS source,
   text AS content, CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2015-01-01' + CAST(doc_id % 3650 AS INT), '%Y-%m-%d') END AS day FROM documents)"""
 
