@@ -332,9 +332,10 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
     schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in PARITY)
     prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
-    parity = [F.first(b).alias(b) for b in PARITY]
-    sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least"), *parity), "near-sets")
-    members = prints.select("_fp", "n", F.posexplode("prefix").alias("p", "s")).distinct()
+    # Rows of one set agree in all that comes from it.
+    same = [F.first(c).alias(c) for c in ("n", "prefix", *PARITY)]
+    sets = materialise(prints.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.min("doc_id").alias("_least"), *same), "near-sets")
+    members = sets.select("_fp", "n", F.posexplode("prefix").alias("p", "s"))
     several = members.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
     shared = materialise(members.join(several, "s"), "shared-members")
 
