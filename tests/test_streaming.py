@@ -59,6 +59,20 @@ def test_online_users_are_exact_with_late_rows(spark, tmp_path):
         assert {u for u, mine in stretches(rows, 7).items() if any(a <= m <= b for a, b in mine)} == {r.user_id for r in online.online_at(found, as_of).collect()}
 
 
+def test_stretches_are_built_in_functions(spark, tmp_path):
+    add(spark, tmp_path, 0, [(0, 1), (7, 1), (14.001, 1), (3, 2), (900, 9)])
+    add(spark, tmp_path, 1, [(901, 9)])
+    stream = online.online_intervals(replay.events(spark, str(tmp_path), 1), 7, "1 hour")
+    # A state in Python costs calls for every user and batch.
+    assert "Python" not in stream._jdf.queryExecution().analyzed().toString()
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(online.INTERVAL).parquet(f"{tmp_path}/out").select("user_id", *(F.unix_millis(c).alias(c) for c in ("start", "end"))).collect()
+    zero = min(r.start for r in found)
+    # Exactly the span apart is one stretch, a little more is another one.
+    assert sorted((r.user_id, r.start - zero, r.end - zero) for r in found) == [(1, 0, 840_000), (1, 840_060, 1_260_060), (2, 180_000, 600_000)]
+
+
 def chats(events):
     return events.select(F.col("ts").cast("timestamp_ntz").alias("created_at"), "user_id", F.col("value").alias("latency_ms"))
 
