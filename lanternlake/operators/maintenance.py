@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import store
-from ..sources.work import work_table
+from ..sources.work import work_table, write_table
 from . import lexical
 
 #: Blocks of a segment are numbered below this, above those of the segments before.
@@ -66,7 +66,7 @@ def apply(root: str, rows: DataFrame, removed: DataFrame | None = None) -> str:
     rows.write.parquet(f"{name}/rows")
     rows = spark.read.parquet(f"{name}/rows")
     blocks = lexical.block_table(rows.select("idx", "text")).withColumn("block", F.col("block") + number * PER_SEGMENT)
-    blocks.write.parquet(f"{name}/blocks")
+    write_table(blocks, f"{name}/blocks")
     blocks = spark.read.schema(lexical.BLOCKS).parquet(f"{name}/blocks")
     more = lexical.totals(blocks).first()
     words = lexical.word_table(blocks)
@@ -129,7 +129,7 @@ def compact(spark: SparkSession, root: str) -> str:
     # A block without removed rows keeps all of its documents.
     wanted = F.when(F.col("gone").isNull(), F.col("idx")).otherwise(F.array_except("idx", "gone"))
     documents = kept.select("idx", "size", "held", "docs", "tf", "terms", wanted.alias("wanted")).mapInArrow(_documents, DOCUMENTS)
-    lexical.laid_out(work_table(documents, "index-documents")).write.parquet(f"{name}/blocks")
+    write_table(lexical.laid_out(work_table(documents, "index-documents")), f"{name}/blocks")
     blocks = spark.read.schema(lexical.BLOCKS).parquet(f"{name}/blocks")
     lexical.word_table(blocks).write.parquet(f"{name}/words")
     return store.note(root, {"segments": [name], "tombstones": [], "words": [f"{name}/words"], "documents": state["documents"], "length": state["length"]})

@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import write_table
+
 POINTER = "CURRENT"
 
 
@@ -64,7 +66,7 @@ def write_version(root: str, tables: dict[str, DataFrame]) -> str:
     """Write all tables as a new version, which is not current yet."""
     version = uuid.uuid4().hex
     for name, table in tables.items():
-        table.write.parquet(f"{root}/{version}/{name}")
+        write_table(table, f"{root}/{version}/{name}")
     return version
 
 

@@ -326,3 +326,25 @@ def test_chunks_over_the_table(spark):
             at = [parent.find(r.text) for r in rows]
             assert at[0] == 0 and at == sorted(at) and rows[-1].text == parent[-len(rows[-1].text) :]
         assert words == clean[page].split()
+
+
+def test_tasks_hold_small_batches(spark, tmp_path):
+    from pyarrow import dataset
+
+    from lanternlake.sources import tables, work
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "10000")
+    spark.conf.set(names[1], "64m")
+    try:
+        wide = spark.range(600).repartition(1).select("id", F.expr("transform(sequence(1, 12000), x -> xxhash64(id, x))").alias("a"))
+        work.write_table(wide, f"{tmp_path}/documents.parquet")
+        groups = [g.num_rows for f in dataset.dataset(f"{tmp_path}/documents.parquet", format="parquet").get_fragments() for g in f.row_groups]
+        assert sum(groups) == 600 and max(groups) < 300
+        spark.conf.set(names[0], "10000")
+        assert tables.read(spark, str(tmp_path), "documents").count() == 600
+        assert int(spark.conf.get(names[0])) <= work.BATCH_ROWS and int(spark.conf.get(names[1])) <= work.BATCH_BYTES
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
