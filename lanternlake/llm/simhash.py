@@ -289,7 +289,8 @@ def _prefixes(shared_common, width: int, similarity: float):
                 part = rest.slice(first, last - first)
                 found = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
                 found += [pa.array(x) for x in np.array(parity, np.int64).reshape(-1, 4).T]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "_fp", "n", "prefix", *PARITY])
+                found.append(pa.array(fingerprints_of(texts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "_fp", "n", "prefix", *PARITY, "print"])
 
     return run
 
@@ -318,9 +319,25 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
     return map_texts(pairs.join(side("a"), "a").join(side("b"), "b"), _similar(width, similarity), "a long, b long")
 
 
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets ``_fp`` that connect all whose texts have fingerprints ``print`` that op8 links.
+
+    Sets of equal fingerprints meet in the smallest of them, which also stands for its fingerprint in the links to others.
+    """
+    both = materialise(prints.select("_fp", "print").distinct(), "set-fingerprints")
+    heads = materialise(both.groupBy("print").agg(F.min("_fp").alias("head")), "distinct-fingerprints")
+    linked = materialise(links(heads.select(F.col("print").alias("_fp"))), "fingerprint-links")
+    side = lambda k: heads.select(F.col("print").alias(k), F.col("head").alias(f"set_{k}"))
+    pairs = linked.join(side("a"), "a").join(side("b"), "b").select("set_a", "set_b")
+    pairs = pairs.union(both.join(heads, "print").select("_fp", "head"))
+    return pairs.filter("set_a <> set_b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: int = NEAR_WORDS, rounds: int = STAR_ROUNDS) -> DataFrame:
     """Like near_duplicates, with all texts linked whose shingle sets have a Jaccard of ``similarity`` or more.
 
+    Fingerprints link first, as in op8, and an exact check of the sets follows. Near copies may differ in more bits
+    than exact bands of fingerprints can part a table by, so what is in different components then is compared by shingles.
     Equal sets are collapsed; texts without words are one set. In any one order of all shingles, two such sets
     share one among the first (1 - similarity) of each, so pairs meet there and none is lost. Rare shingles
     come first. In each of the ``rounds``, the sets of a shingle are compared with one set of its largest
@@ -330,7 +347,7 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), "text")
-    schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in PARITY)
+    schema = "doc_id long, _k1 long, _k2 long, _fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in PARITY) + ", print long"
     prints = materialise(map_texts(rows, _prefixes(common, width, similarity), schema), "shingle-prefixes")
     # Rows of one set agree in all that comes from it.
     same = [F.first(c).alias(c) for c in ("n", "prefix", *PARITY)]
@@ -350,8 +367,14 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
         counted = pairs.filter(sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
         return counted.filter(F.col("c") >= (need - F.greatest(rest("na"), rest("nb"))) * seen).select("a", "b")
 
-    groups = docs.sparkSession.createDataFrame([], "node long, component long")
-    open_ = shared.withColumn("component", F.col("_fp")).withColumn("size", F.lit(1).cast("long"))
+    def placed(groups: DataFrame) -> DataFrame:
+        """The members of the shingles with their components and the sizes of these, written small for a broadcast."""
+        sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "_fp")
+        found = shared.join(materialise(sized, "near-components"), "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
+        return found.withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+    groups = connected_components(materialise(_verified(docs, sets, _near_prints(prints), width, similarity), "near-links"))
+    open_ = placed(groups)
     for turn in range(rounds):
         chance, one = F.xxhash64("_fp", F.lit(turn)), F.struct("component", "_fp", "n")
         heads = open_.groupBy("s").agg(F.max_by(one, F.struct("size", "component", chance)).alias("large"), F.max_by(one, chance).alias("other"))
@@ -361,11 +384,9 @@ def similar_texts(docs: DataFrame, similarity: float = NEAR_SIMILARITY, width: i
         found = materialise(_verified(docs, sets, near(pairs, STAR_SEEN), width, similarity), "near-links")
         # What is connected already costs an edge for each set, not its links.
         groups = connected_components(found.union(groups))
-        sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "_fp")
-        placed = shared.join(sized, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
-        placed = materialise(placed.withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "near-members")
-        mixed = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-        open_ = materialise(placed.join(mixed, "s", "left_semi"), "near-open-members")
+        members = materialise(placed(groups), "near-members")
+        mixed = members.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+        open_ = materialise(members.join(mixed, "s", "left_semi"), "near-open-members")
         if found.isEmpty():
             break
     wide = open_.join(sets.select("_fp", *PARITY), "_fp")

@@ -137,3 +137,27 @@ def test_rows_with_one_id_and_text_leave_the_same_one(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>").repartition(parts)
         kept.add(tuple(r.source for r in simhash.keep_one(df).collect()))
     assert len(kept) == 1 and len(kept.pop()) == 1
+
+
+def test_fingerprints_link_before_shingles(spark, monkeypatch):
+    """Near copies are linked by their fingerprints and checked by their sets; what fingerprints miss, shingles find."""
+    plain = [f"w{j * j % 997}" for j in range(400)]
+    rows = [" ".join(plain), " ".join([*plain, "end"]), " ".join([*plain[:370], *(f"n{j}" for j in range(30))])]
+    rows += [f"{'lorem ipsum dolor ' * 300}{' '.join(f'{c}{j}' for j in range(25))}" for c in "xy"]
+    prints = [brute_fingerprint(t) for t in rows]
+    apart = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    assert apart(0, 1) <= 2 < apart(0, 2) and jaccard(rows[0], rows[2]) >= 0.8
+    assert apart(3, 4) <= 2 and jaccard(rows[3], rows[4]) < 0.8
+    seen, verified = [], simhash._verified
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct: seen.append({r._fp % (1 << 64) for r in distinct.collect()}) or links(distinct))
+
+    def spied(*args):
+        found = verified(*args)
+        seen.append((args[2].count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "_verified", spied)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    assert seen[0] == set(prints) and seen[1] == (2, 1)
