@@ -1,6 +1,8 @@
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lanternlake.functions import curation, text
@@ -348,3 +350,26 @@ def test_tasks_hold_small_batches(spark, tmp_path):
     finally:
         for n, value in zip(names, before):
             spark.conf.set(n, value)
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    """A batch of long pages is no single frame of all its chunks, and pieces are those of a search through all boundaries."""
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(["word", " ", ". ", "; ", ": ", "\n", "\u2003", "xxxxxxxxxxxxxxxxxxxxxxxx"], 400_000, p=[0.5, 0.35, 0.03, 0.02, 0.02, 0.02, 0.02, 0.04]))
+    pages = pa.table({"source": ["a.txt", None], "page": pa.array([1, 2], pa.int32()), "content": [text, "short text of one chunk"], "heading": ["Head", None]})
+    found = list(chunks._chunks(pages.to_batches()))
+    assert len(found) > 1 and max(b.nbytes for b in found) < 4 * chunks.BATCH_BYTES
+    assert found[-1].column(found[-1].schema.get_field_index("text"))[-1].as_py() == "short text of one chunk"
+    piece, size, overlap = text[:20_000], 380, 70
+    ends = [(mark, [m.end() for m in re.finditer(re.escape(mark), piece)]) for mark in chunks.BOUNDARIES]
+    words = [m.end() for m in re.finditer(r"\s", piece)]
+    start, end, want = 0, 0, []
+    while end < len(piece):
+        end = limit = min(start + size, len(piece))
+        if limit < len(piece):
+            least = start + int(size * chunks.MIN_SHARE)
+            end = next((max(good) for mark, e in ends if (good := [x for x in e if x <= limit and x - len(mark) >= least])), limit)
+        want.append((start, end))
+        at = max(end - overlap, start + 1)
+        start = min(next((w for w in words if w >= at), end), end)
+    assert list(chunks.spans(piece, size, overlap)) == want
