@@ -2,6 +2,7 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -373,3 +374,18 @@ def test_chunks_leave_a_task_in_small_batches():
         at = max(end - overlap, start + 1)
         start = min(next((w for w in words if w >= at), end), end)
     assert list(chunks.spans(piece, size, overlap)) == want
+
+
+def test_texts_are_cut_into_sets_once(spark):
+    """A filter on the sets and a second use of the classes each cut all texts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(t: pd.Series) -> pd.Series:
+        seen.add(len(t))
+        return t
+
+    rows = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "a b c d e f"), (4, ""), (5, "x y")], "id long, text string")
+    sets = rows.select("id", F.filter(F.array_distinct(F.split(counted("text"), " ")), lambda x: x != "").alias("tokens"))
+    assert [tuple(r)[:2] for r in retrieval.similar_sets(sets).collect()] == [(1, 3)]
+    assert seen.value == 5
