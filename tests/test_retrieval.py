@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lanternlake.functions import curation, text
-from lanternlake.operators import chunks, evidence, retrieval
+from lanternlake.operators import chunks, evidence, lexical, retrieval
 from lanternlake.sources import store
 
 
@@ -389,3 +390,17 @@ def test_texts_are_cut_into_sets_once(spark):
     sets = rows.select("id", F.filter(F.array_distinct(F.split(counted("text"), " ")), lambda x: x != "").alias("tokens"))
     assert [tuple(r)[:2] for r in retrieval.similar_sets(sets).collect()] == [(1, 3)]
     assert seen.value == 5
+
+
+def test_word_counts_leave_a_task_added_up(spark):
+    """Terms of several blocks are one row of a task, and the counts are those of the documents."""
+    rows = [(i, f"w{i % 3} w{i % 5} É É-1 a") for i in range(90)] + [(90, None), (91, "plain a plain")]
+    blocks = lexical.block_table(spark.createDataFrame(rows, "idx long, text string"), 4)
+    held = blocks.select("terms", "held").toArrow()
+    (batch,) = lexical._words(held.combine_chunks().to_batches())
+    want = Counter()
+    for _, t in rows:
+        want.update({f"{name}{w}" for name, form in (("raw:", str.lower), ("fold:", text.fold)) for w in form(t or "").split() if len(w) > 1})
+    found = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    assert len(found) == batch.num_rows and found == dict(want)
+    assert {r["token"]: r["df"] for r in lexical.word_table(blocks).collect()} == found
