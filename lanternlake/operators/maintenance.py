@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import store
-from ..sources.work import work_table, write_table
+from ..sources.work import small_table, work_table, write_table
 from . import lexical
 
 #: Blocks of a segment are numbered below this, above those of the segments before.
@@ -23,7 +23,7 @@ def _state(root: str, version: str | None = None) -> dict:
 
 
 def _united(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths) if paths else small_table(spark, schema)
 
 
 def _documents(batches):
@@ -102,7 +102,7 @@ def live(spark: SparkSession, root: str, version: str | None = None) -> DataFram
     state = _state(root, version)
     parts = [spark.read.parquet(f"{s}/rows").withColumn("segment", F.lit(i).cast("long")) for i, s in enumerate(state["segments"])]
     if not parts:
-        return spark.createDataFrame([], "idx long, doc_id long, text string, segment long")
+        return small_table(spark, "idx long, doc_id long, text string, segment long")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -116,7 +116,7 @@ def load(spark: SparkSession, root: str, version: str | None = None) -> dict[str
     blocks = _united(spark, [f"{s}/blocks" for s in state["segments"]], lexical.BLOCKS)
     stones = _united(spark, state["tombstones"], TOMBSTONES).groupBy("block").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     words = _united(spark, state["words"], WORDS).groupBy("token").agg(F.sum("df").alias("df")).filter("df > 0")
-    whole = spark.createDataFrame([(state["documents"], state["length"])], "documents long, length long")
+    whole = small_table(spark, "documents long, length long", state["documents"], state["length"])
     return {"blocks": blocks.join(stones, "block", "left"), "words": words, "totals": whole}
 
 

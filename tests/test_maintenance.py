@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lanternlake.operators import lexical, maintenance, retrieval
 from lanternlake.sources import store
@@ -55,3 +56,17 @@ def test_a_failed_batch_changes_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         maintenance.apply(root, rows_of(spark, [(6, "d1")]))
     assert store.current(root) == before and maintenance.live(spark, root).count() == 2
+
+
+def test_no_batch_runs_python_rdds(spark, tmp_path, monkeypatch):
+    """The tasks of a list made into rows start Python workers of a second kind, which stay on the executors."""
+    held = spark.createDataFrame([(i, i, f"a{i} b{i % 3} c1", "x") for i in range(9)], "idx long, doc_id long, text string, source string").localCheckpoint()
+    gone, asked = spark.range(2).select(F.col("id").alias("doc_id")), spark.range(1).select(F.col("id").alias("query_id"), F.lit("b2 c1").alias("text"))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("rows from a list"))
+    root = str(tmp_path)
+    assert maintenance.live(spark, root).count() == 0
+    maintenance.apply(root, held.filter("idx < 6"))
+    maintenance.apply(root, held.filter("idx > 5"), gone)
+    index = maintenance.load(spark, root)
+    assert tuple(index["totals"].first()) == (7, 42) and index["totals"].schema["length"].dataType.simpleString() == "bigint"
+    assert sorted(r.idx for r in retrieval.bm25_top(asked, None, 9, index=index).collect()) == [2, 3, 4, 5, 6, 7, 8]
