@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternlake.functions import curation, text
 from lanternlake.operators import chunks, evidence, lexical, retrieval
+from lanternlake.plans import retrieval_queries
 from lanternlake.sources import store
 
 
@@ -413,3 +414,32 @@ def test_paths_and_texts_of_chunks_are_folded_once(spark):
     got = evidence.procedure_catalogue(spark.createDataFrame(rows, "source string, section_path string, heading string, page string, parent_text string, text string").localCheckpoint())
     assert "Python" not in got._jdf.queryExecution().toString()
     assert {(r.section, r.page) for r in got.collect()} == {("cai dat", i) for i in range(40)}
+
+
+def test_ratios_are_dealt_to_all_cores(spark):
+    rows = [(1, i, "loi dang nhap he thong " * 6 + "abcdefgh"[i]) for i in range(8)] + [(2, 1, "x"), (2, 2, "y")]
+    found = evidence.near_duplicates(spark.createDataFrame(rows, "query_id int, place int, key string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The filter stays above the exchange that deals out the pairs.
+    assert -1 < plan.find("_near_sequences(") < plan.find("RepartitionByExpression")
+    assert {(r.query_id, r.place): sorted(r.like) for r in found.collect()} == {(1, i): list(range(i)) for i in range(1, 8)}
+
+
+def test_terms_come_back_from_joined_texts():
+    got = lexical._listed(pa.array(["", "a\nbb", "", "c", ""]))
+    assert got.to_pylist() == [[], ["a", "bb"], [], ["c"], []]
+    assert lexical._listed(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_only_hits_go_on_with_their_texts(spark, monkeypatch):
+    held, write = {}, retrieval_queries.work_table
+
+    def kept(df, name):
+        held[name] = write(df, name)
+        return held[name]
+
+    monkeypatch.setattr(retrieval_queries, "work_table", kept)
+    retrieval_queries.QUERIES["greedy_select"](spark, "/root/testdata/sf0.001")
+    assert "retrieval_text" not in held["children"].columns
+    assert 0 < held["hit-children"].count() == held["fused"].select("idx").distinct().count() < held["children"].count()
+    assert all(".zstd." in f for f in held["children"].inputFiles())
