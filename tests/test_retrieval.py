@@ -443,3 +443,18 @@ def test_only_hits_go_on_with_their_texts(spark, monkeypatch):
     assert "retrieval_text" not in held["children"].columns
     assert 0 < held["hit-children"].count() == held["fused"].select("idx").distinct().count() < held["children"].count()
     assert all(".zstd." in f for f in held["children"].inputFiles())
+
+
+def test_sets_move_as_numbers(spark, monkeypatch):
+    held, write = {}, retrieval.work_table
+
+    def kept(df, name):
+        held[name] = write(df, name)
+        return held[name]
+
+    monkeypatch.setattr(retrieval, "work_table", kept)
+    sets = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["d", "c", "b", "a"]), (3, ["a", "b", "c", "d", "e"]), (4, ["x"])], "id long, tokens array<string>")
+    assert [tuple(r) for r in retrieval.similar_sets(sets).collect()] == [(1, 3, 0.8)]
+    assert dict(held["token-sets"].dtypes)["tokens"] == "array<bigint>"
+    order = [r.token for r in held["token-ranks"].orderBy("rank").collect()]
+    assert order == ["e", "x", "a", "b", "c", "d"]
